@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lathe.llm import secret_scan
+from lathe.llm import bpe, secret_scan
 
 QUERIES = {
+    "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op6_secret_scan": secret_scan.op6_secret_scan,
 }
 
