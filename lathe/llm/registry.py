@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lathe.llm import bpe, secret_scan
+from lathe.llm import bpe, mixing, secret_scan, token_count
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op5_token_counts": token_count.op5_token_counts,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op8_source_mix": mixing.op8_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_source_mix": mixing.SQL}
