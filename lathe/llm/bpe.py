@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -116,7 +115,7 @@ class Merges:
             i = after[i]
         return out
 
-    def merge_many(self, words: list[list[int]]) -> list[np.ndarray]:
+    def merge_many(self, words: list[list[int]]) -> list[bytes]:
         """Words of similar length side by side: row w of each array is the word's own tree and linked list."""
         n = np.array([len(w) for w in words])
         size = 1 << max(1, int(n.max() - 1).bit_length())
@@ -155,7 +154,46 @@ class Merges:
             while nodes[0, 0] > 1:
                 nodes >>= 1
                 tree[rows, nodes] = np.minimum(tree[rows, 2 * nodes], tree[rows, 2 * nodes + 1])
-        return [s[a] for s, a in zip(sym, alive, strict=True)]
+        ids, ends = sym[alive].astype("<u4").tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+#: White space before a space: there a stretch of white space isn't parted at its spaces.
+_RUN = regex.compile(r"\s ")
+
+
+class Remembered:
+    """Token ids (little-endian, four bytes each) of texts, from those of words seen before.
+
+    The pattern puts a space with what follows it and never looks across it, unless white space comes before; so a text
+    is cut at its spaces, and each chunk with the space before it has its own ids, wherever it stands. Texts with such
+    white space, or with added tokens, are cut into words by the pattern. ``learn`` gives the ids of new words.
+    """
+
+    def __init__(self, cutter: ByteBpe, learn):
+        self.pieces, self.plain, self.added, self.learn = cutter.pieces, cutter.words, tuple(cutter.added), learn
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def know(self, words: set[str]) -> None:
+        if new := list(words.difference(self.words)):
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+                new = list(words)
+            self.words.update(zip(new, self.learn(new), strict=True))
+
+    def rows(self, texts: list[str]) -> list[bytes]:
+        cut = [None if _RUN.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
+        if len(self.chunks) > REMEMBERED:
+            self.chunks.clear()
+        chunks, pieces, plain = self.chunks, self.pieces, self.plain
+        new = {x: plain(" " + x) for x in set().union(*(c[1:] for c in cut if c)).difference(chunks)}
+        firsts = [plain(c[0]) if c else pieces(t) for c, t in zip(cut, texts, strict=True)]
+        self.know({w for ws in (*new.values(), *firsts) for w in ws})
+        word, chunk = self.words.__getitem__, chunks.__getitem__
+        for x, ws in new.items():
+            chunks[x] = word(ws[0]) if len(ws) == 1 else b"".join(map(word, ws))
+        return [b"".join([*map(word, ws), *map(chunk, c[1:])]) if c else b"".join(map(word, ws)) for c, ws in zip(cut, firsts, strict=True)]
 
 
 class ByteBpe:
@@ -179,7 +217,7 @@ class ByteBpe:
         self.merges = Merges([(vocab[a], vocab[b]) for a, b in pairs], [vocab[a + b] for a, b in pairs], size)
         self.words = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.known: dict[str, bytes] = {}
+        self.remembered = Remembered(self, self.learn)
         self.decimal = [str(k).encode() for k in range(size)]
 
     def pieces(self, text: str) -> list[str]:
@@ -193,32 +231,28 @@ class ByteBpe:
             at = m.end()
         return out + self.words(text[at:])
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes words that aren't known yet."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, first = self.known, self.first
-        for token, k in self.added.items():
-            known[token] = k.to_bytes(4, "little")
-        by_size: dict[int, list[str]] = {}
-        for word in set(words).difference(known):
-            data = word.encode("utf-8", "surrogatepass")
-            if len(data) > SIDE_BY_SIDE:
-                known[word] = np.array(self.merges.merge_one([first[b] for b in data]), dtype="<u4").tobytes()
-            else:
-                by_size.setdefault((len(data) - 1).bit_length(), []).append(word)
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The token ids of words."""
+        first = self.first
+        found: dict[str, bytes] = {token: k.to_bytes(4, "little") for token, k in self.added.items()}
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            if word not in found:
+                data = word.encode("utf-8", "surrogatepass")
+                if len(data) > SIDE_BY_SIDE:
+                    found[word] = np.array(self.merges.merge_one([first[b] for b in data]), dtype="<u4").tobytes()
+                else:
+                    by_size.setdefault((len(data) - 1).bit_length(), []).append((word, data))
         for same in by_size.values():
             for lo in range(0, len(same), 20_000):
                 part = same[lo : lo + 20_000]
-                for word, ids in zip(part, self.merges.merge_many([[first[b] for b in x.encode("utf-8", "surrogatepass")] for x in part]), strict=True):
-                    known[word] = ids.astype("<u4").tobytes()
+                for (word, _), ids in zip(part, self.merges.merge_many([[first[b] for b in data] for _, data in part]), strict=True):
+                    found[word] = ids
+        return [found[w] for w in words]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        self.learn({w for ws in split for w in ws})
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in split]
+        return [np.frombuffer(r, dtype="<u4") for r in self.remembered.rows(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lathe.llm import bpe, mixing, secret_scan, token_count
+from lathe.llm import bpe, mixing, secret_scan, token_count, wavelet
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
     "op5_token_counts": token_count.op5_token_counts,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op8_source_mix": mixing.op8_source_mix,
