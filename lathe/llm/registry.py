@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lathe.llm import bpe, mixing, order_minhash, secret_scan, token_count, wavelet
+from lathe.llm import bpe, media, mixing, order_minhash, secret_scan, token_count, wavelet
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_order_minhash": order_minhash.op9_order_minhash,
+    "op10_media_sequences": media.op10_media_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mix": mixing.SQL}
