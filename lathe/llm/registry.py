@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lathe.llm import bpe, media, mixing, order_minhash, secret_scan, token_count, wavelet
+from lathe.llm import bpe, cotrain, media, mixing, order_minhash, secret_scan, token_count, wavelet
 
 QUERIES = {
+    "op1_quality_cotraining": cotrain.op1_quality_cotraining,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
     "op5_token_counts": token_count.op5_token_counts,
