@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lathe.llm import bpe, cotrain, jaccard_join, media, mixing, order_minhash, secret_scan, token_count, wavelet
+from lathe.llm import bpe, cotrain, jaccard_join, media, mixing, order_minhash, secret_scan, substring_dedup, token_count, wavelet
 
 QUERIES = {
     "op1_quality_cotraining": cotrain.op1_quality_cotraining,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
     "op5_token_counts": token_count.op5_token_counts,
     "op6_secret_scan": secret_scan.op6_secret_scan,
