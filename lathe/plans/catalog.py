@@ -1,6 +1,6 @@
-"""Queries over the driver's tables by name, each with SQL that gives the same rows."""
+"""Queries over the driver's tables by name, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lathe.plans import evaluation, relational, requirements, texts  # noqa: F401
+from lathe.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
