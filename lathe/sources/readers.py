@@ -44,7 +44,7 @@ def keyed_files(spark: SparkSession, glob: str, schema: str | T.StructType, suff
 
 def documents(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """(documents, errors): one JSON file each, the id its name without extension; malformed files become error rows."""
-    raw = spark.read.option("wholetext", True).text(glob).select(F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "").alias("document_id"), F.col("value"))
+    raw = spark.read.text(glob, wholetext=True).select(F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "").alias("document_id"), F.col("value"))
     read = raw.withColumn("doc", F.from_json("value", DOCUMENT)).withColumn("good", F.try_parse_json("value").isNotNull() & F.col("doc").isNotNull())
     return read.where("good").select("document_id", "doc.pages"), read.where("not good").select("document_id", F.lit("malformed JSON").alias("error"))
 
@@ -87,8 +87,8 @@ def id_segments(docs: DataFrame, text: str = "text", id_col: str = "document_id"
 
 def arff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of ``id,'text',CODE`` lines after @DATA; lines in another form are parted at the first and last comma."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "raw")).withColumn("raw", strip(F.col("raw")))
-    start = spark.read.option("wholetext", True).text(path).select(F.array_position(F.transform(F.split("value", r"\r\n|\n|\r"), lambda x: F.upper(strip(x))), "@DATA").alias("start"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "raw")).withColumn("raw", strip(F.col("raw")))
+    start = spark.read.text(path, wholetext=True).select(F.array_position(F.transform(F.split("value", r"\r\n|\n|\r"), lambda x: F.upper(strip(x))), "@DATA").alias("start"))
     data = lines.crossJoin(F.broadcast(start)).where((F.col("start") > 0) & (F.col("line") >= F.col("start")) & (F.col("raw") != "") & ~F.col("raw").startswith("%") & ~F.col("raw").startswith("@"))
     return parsed_arff(data.select("line", "raw"))
 
