@@ -1,20 +1,20 @@
 """Document fingerprints by Order MinHash, in DataFrame functions alone.
 
-The items of a text are its word k-mers, each with its occurrence number (how often it stood in the text before). A hash
-of k-mer and number, from the seed, deals the items to ``bins`` and orders them within; in each bin the ``l`` least are
-selected, put back in text order, and their k-mers hashed as a tuple. A moved or replaced passage changes not only which
-k-mers there are but the order of those selected, so the signature follows edit distance, not just the set of k-mers.
-(One hash dealt into bins, as in one-permutation hashing, in place of a hash function for each entry: the text is gone
-through once.) Entries of bins without items are empty. Likeness is the share of equal entries among those that are
-not empty on both sides.
-
-Arrays of a text: k-mer hashes with positions in the low bits, sorted, so that equal k-mers stand together and their
-occurrence numbers are places within a run; then item hashes with positions, sorted, so that bins follow each other and
-the ``l`` least of a bin are the items with no item of the same bin ``l`` places before. All are of the text's length.
-
-Defined cases: a null or empty text, or one of white space only, has no items, and a signature of empty entries; texts
-with fewer than k words have one item, all their words; texts without any items on both sides are alike (1.0), with
-items on one side only unlike (0.0); equal texts have equal fingerprints; other columns are ignored.
+The items of a text are its word k-mers, each with its occurrence number (how often it stood in the text before). Items
+are ordered by a hash of the k-mer, then by occurrence number, and dealt into ``bins`` by the hash. In each bin the ``l``
+least are selected, put back in text order, and their k-mers hashed as a tuple. A moved or replaced passage changes not
+only which k-mers there are but the order of those selected, so the signature follows edit distance, not just the set
+of k-mers. (One hash dealt into bins, as in one-permutation hashing, in place of a hash function for each entry: the
+text is gone through once.) Bins without items have no entry. Likeness is the share of bins with equal entries among
+those that have an entry on either side.
+
+A k-mer's hash stands in the high bits of a long and its position in the low ones. Sorted, equal k-mers stand together
+in order of occurrence, bins follow each other, and the ``l`` least of a bin are the items with no item of the same bin
+``l`` places before.
+
+Defined cases: a null or empty text, or one of white space only, has no items and an empty signature; texts with fewer
+than k words have one item, all their words; two texts without items are alike (1.0), one with and one without unlike
+(0.0); equal texts have equal fingerprints; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,62 +24,50 @@ from pyspark.sql import functions as F
 
 from lathe.llm import common
 
-K, L, BINS, SEED = 3, 2, 32, 20260
+K, L, BINS, SEED = 2, 2, 32, 20260
 #: Low bits that hold the position: texts of up to 2 ** 26 words.
 _POSITION = 26
 _HIGH = -(1 << _POSITION)
 _LOW = (1 << _POSITION) - 1
-WHITE = r"[\x20\x09-\x0D]+"
-
-
-def _packed(hashed: Column, position: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(_HIGH)).bitwiseOR(position.cast("long"))
+_WHITE = " \t\n\x0b\f\r"
 
 
 def signed(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, bins: int = BINS, seed: int = SEED) -> DataFrame:  # noqa: E741
-    """``df`` with ``out``, the signature: array<long> of ``bins`` entries, null where the bin is empty."""
+    """``df`` with ``out``, the signature: array<long> with an entry for each bin that has items, its bin in the high bits."""
     bits = (bins - 1).bit_length()
-    if bins != 1 << bits or bits > 64 - _POSITION - 10:
-        raise ValueError("bins must be a power of two, at most 2 ** 28")
-    w, packed, items, chosen = f"_{out}_w", f"_{out}_p", f"_{out}_i", f"_{out}_c"
-    n = F.size(w)
-    kmer = lambda i: F.xxhash64(F.lit(seed), *(F.get(w, i + j) for j in range(k)))
-    at = lambda a, i: F.get(a, i)
-    same = lambda a, b, mask: a.bitwiseAND(F.lit(mask)) == b.bitwiseAND(F.lit(mask))
-    df = df.withColumn(w, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), WHITE), lambda x: x != ""))
-    places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(packed, F.sort_array(F.transform(places, lambda i: _packed(kmer(i), i))))
-    # Where runs of equal k-mers begin; an occurrence number is the distance from there.
-    m = F.size(packed)
-    indexes = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(indexes, lambda i: (i == 0) | ~same(at(packed, i), at(packed, i - 1), _HIGH))
-    df = df.withColumn(f"_{out}_s", starts)
-    s = F.col(f"_{out}_s")
-    run = lambda start, j: F.transform(F.sequence(start, F.coalesce(F.get(s, j + 1), m) - 1), lambda i: _packed(F.xxhash64(F.lit(seed + 1), at(packed, i).bitwiseAND(F.lit(_HIGH)), i - start), at(packed, i).bitwiseAND(F.lit(_LOW))))
-    df = df.withColumn(items, F.sort_array(F.flatten(F.transform(s, run))))
-    bin_mask = -(1 << (64 - bits))
-    index2 = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
-    least = F.filter(index2, lambda i: (i < l) | ~same(at(items, i), at(items, i - l), bin_mask))
-    # Bin, then position: so the chosen of a bin stand in text order.
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - bits)
-    df = df.withColumn(chosen, F.sort_array(F.transform(least, lambda i: F.shiftleft(bin_of(at(items, i)), _POSITION).bitwiseOR(at(items, i).bitwiseAND(F.lit(_LOW))))))
-    position = lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")
-    entry = lambda b: F.filter(F.col(chosen), lambda x: F.shiftrightunsigned(x, _POSITION) == b)
-    tuple_hash = lambda e: F.aggregate(e, F.lit(seed + 2).cast("long"), lambda acc, x: F.xxhash64(acc, kmer(position(x))))
-    signature = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.transform(F.array(entry(b)), lambda e: F.when(F.size(e) > 0, tuple_hash(e)))[0])
-    return df.withColumn(out, signature).drop(w, packed, items, chosen, f"_{out}_s")
+    if bins != 1 << bits or not 0 < bits <= 20:
+        raise ValueError("bins must be a power of two, from 2 to 2 ** 20")
+    words, items, least = f"_{out}_words", f"_{out}_items", f"_{out}_least"
+    none = F.array().cast("array<bigint>")
+    text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WHITE))
+    df = df.withColumn(words, F.when(text != "", F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
+    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+    item = lambda x, i: F.xxhash64(F.lit(seed), x, *(F.get(words, i + j) for j in range(1, k))).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long"))
+    df = df.withColumn(items, F.sort_array(F.transform(first, item)))
+    bin_of = lambda x: F.shiftright(x, 64 - bits)
+    df = df.withColumn(least, F.filter(items, lambda x, i: (i < l) | (bin_of(F.get(items, i - l)) != bin_of(x))))
+    # a long each for the selected of a bin, position first
+    turned = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 64 - _POSITION - 1).bitwiseOR(F.shiftrightunsigned(x, _POSITION + 1))
+    heads = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (bin_of(F.get(least, i)) != bin_of(F.get(least, i - 1))))
+
+    def entry(i: Column) -> Column:
+        head = F.get(least, i)
+        own = F.sort_array(F.transform(F.filter(F.slice(least, i + 1, F.lit(l)), lambda x: bin_of(x) == bin_of(head)), turned))
+        tupled = F.aggregate(own, F.lit(seed + 1).cast("long"), lambda acc, x: F.xxhash64(acc, x.bitwiseAND(F.lit((1 << (63 - _POSITION)) - 1))))
+        return head.bitwiseAND(F.lit(-(1 << (64 - bits)))).bitwiseOR(F.shiftrightunsigned(tupled, bits))
+
+    return df.withColumn(out, F.when(F.size(least) > 0, F.transform(heads, entry)).otherwise(none)).drop(words, items, least)
 
 
 def fingerprint(signature: Column) -> Column:
-    """The signature as text: 16 hex digits for each entry, ``-`` for an empty one, joined by colons."""
-    return F.array_join(F.transform(signature, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("-"))), ":")
+    """The signature as text: 16 hex digits for each entry, joined by colons."""
+    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ":")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    some = F.size(F.filter(both, lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
-    equal = F.size(F.filter(both, lambda x: x["a"] == x["b"]))
-    return F.when(some == 0, F.lit(1.0)).otherwise(equal / some)
+def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
+    bin_of = lambda x: F.shiftright(x, 64 - (bins - 1).bit_length())
+    some = F.size(F.array_union(F.transform(a, bin_of), F.transform(b, bin_of)))
+    return F.when(some == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / some)
 
 
 def _ranges(docs: DataFrame, n: int) -> tuple[list[int], list[int | None]]:
