@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lathe.llm import common
 
-#: Words kept with their tokens in each worker; beyond that the memory starts afresh.
-REMEMBERED = 400_000
+#: Words, and chunks between spaces, kept with their tokens in each worker; beyond that the memory starts afresh.
+REMEMBERED, CHUNKS = 200_000, 800_000
 #: Words of at most so many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
@@ -160,6 +160,7 @@ class Merges:
 
 #: White space before a space: there a stretch of white space isn't parted at its spaces.
 _RUN = regex.compile(r"\s ")
+_MARKS = frozenset(".,;:!?")
 
 
 class Remembered:
@@ -184,15 +185,27 @@ class Remembered:
 
     def rows(self, texts: list[str]) -> list[bytes]:
         cut = [None if _RUN.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        if len(self.chunks) > REMEMBERED:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        chunks, pieces, plain = self.chunks, self.pieces, self.plain
-        new = {x: plain(" " + x) for x in set().union(*(c[1:] for c in cut if c)).difference(chunks)}
-        firsts = [plain(c[0]) if c else pieces(t) for c, t in zip(cut, texts, strict=True)]
-        self.know({w for ws in (*new.values(), *firsts) for w in ws})
+        chunks, plain = self.chunks, self.plain
+        # most new chunks are letters, or letters and a mark: there the pattern need not be asked
+        letters, marked, others = [], [], {}
+        for x in set().union(*(c[1:] for c in cut if c)).difference(chunks):
+            if x.isalpha():
+                letters.append(x)
+            elif x[-1:] in _MARKS and x[:-1].isalpha():
+                marked.append(x)
+            else:
+                others[x] = plain(" " + x)
+        letters += {x[:-1] for x in marked}.difference(chunks, letters)
+        chunks.update(zip(letters, self.learn([" " + x for x in letters]), strict=True))
+        firsts = [plain(c[0]) if c else self.pieces(t) for c, t in zip(cut, texts, strict=True)]
+        self.know({*_MARKS, *(w for ws in (*others.values(), *firsts) for w in ws)})
         word, chunk = self.words.__getitem__, chunks.__getitem__
-        for x, ws in new.items():
-            chunks[x] = word(ws[0]) if len(ws) == 1 else b"".join(map(word, ws))
+        for x in marked:
+            chunks[x] = chunk(x[:-1]) + word(x[-1])
+        for x, ws in others.items():
+            chunks[x] = b"".join(map(word, ws))
         return [b"".join([*map(word, ws), *map(chunk, c[1:])]) if c else b"".join(map(word, ws)) for c, ws in zip(cut, firsts, strict=True)]
 
 

@@ -36,8 +36,8 @@ from lathe.llm.shingles import mixed, word_hashes
 WINDOW, ROUNDS = 13, 2
 #: Words that are parsed at once, and rows that a task gathers before it settles and sends them.
 WORDS_AT_ONCE, ROWS_AT_ONCE = 500_000, 2_000_000
-#: Positions, with some room for each document, up to which a table is broadcast (32 MB).
-BROADCAST_BYTES = 32 << 20
+#: Positions, with some room for each document, up to which a table is broadcast (64 MB).
+BROADCAST_BYTES = 64 << 20
 _P, _Q, _MAX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(2**64 - 1)
 
 
@@ -88,10 +88,12 @@ def recompressed(words: np.ndarray, edges: np.ndarray, rounds: int = ROUNDS) ->
     return sym, begin, end, left, right
 
 
-def anchors(words: np.ndarray, edges: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, edges: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window: where it starts, the place of its anchor (its own start if it has none) and the anchor's symbol."""
     n = len(words)
-    sym, begin, _, left, right = recompressed(words, edges)
+    sym, begin, _, left, right = recompressed(words, edges, rounds)
+    # a symbol goes by all that its making depends on: so anchors of texts that share only a few words differ
+    sym = mixed(sym ^ _stretch_hashes(words, np.clip(left, 0, n), np.clip(right, 0, n)))
     rank = np.full(n, _MAX)
     rank[begin] = np.minimum(mixed(sym), _MAX - np.uint64(1))
     name = np.zeros(n, dtype=np.uint64)
@@ -116,6 +118,15 @@ def anchors(words: np.ndarray, edges: np.ndarray, window: int = WINDOW) -> tuple
     return start, np.where(own, -1 - start, anchor), symbol
 
 
+def _stretch_hashes(words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of words: sums of words times powers of an odd number, brought to the power 0."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), _P)]))
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), np.uint64(pow(int(_P), -1, 2**64)))]))
+        sums = np.cumsum(np.concatenate([[np.uint64(0)], mixed(words) * power[:-1]]))
+        return mixed((sums[right] - sums[left]) * back[left] + (right - left).astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of each of the windows."""
     a, b = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.uint64)
@@ -180,6 +191,8 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rest = np.flatnonzero(~sent)
             keys = np.concatenate([sym[alone], _unlike(doc[rest], version[rest], place[rest])])
             take = np.concatenate([alone, rest])
+            by_text = np.argsort(order[take])  # rows of a document together shuffle smaller
+            keys, take = keys[by_text], take[by_text]
             for lo in range(0, len(take), 100_000):
                 t = take[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([_signed(keys[lo : lo + 100_000]), pa.array(doc[t]), pa.array(version[t]), pa.array(place[t].astype(np.int32)), pa.array(many[t])], names=["symbol", "doc_id", "version", "place", "shared"])
@@ -215,6 +228,15 @@ def _places(df: DataFrame, name: str) -> DataFrame:
     return common.stored(df.groupBy("doc_id", "version").agg(F.collect_list("place").alias("places")), name)
 
 
+def _runs(df: DataFrame, name: str) -> DataFrame:
+    """A stored table (doc_id, version, places): first and last of each run of places, one after the other."""
+    p = F.col("_sorted")
+    first = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))
+    last = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + 1))
+    found = df.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("place")).alias("_sorted"))
+    return common.stored(found.select("doc_id", "version", F.flatten(F.zip_with(first, last, lambda a, b: F.array(a, b))).alias("places")), name)
+
+
 def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     small = (places.agg(F.sum(F.size("places") * 4 + 48)).first()[0] or 0) <= BROADCAST_BYTES
     return docs.join(F.broadcast(places) if small else places, ["doc_id", "version"], how)
@@ -234,6 +256,8 @@ def repeated_windows(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -
             head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             gone = doc > np.repeat(doc[head], np.diff(np.append(head, len(a))))
             keys = np.where(gone, _unlike(doc, version, place), a)
+            by_text = np.argsort(order)
+            keys, b, doc, version, place, gone = (x[by_text] for x in (keys, b, doc, version, place, gone))
             for lo in range(0, len(keys), 100_000):
                 s = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays([_signed(keys[s]), pa.array(b[s].view(np.int32)), pa.array(doc[s]), pa.array(version[s]), pa.array(place[s].astype(np.int32)), pa.array(gone[s])], names=["a", "b", "doc_id", "version", "place", "gone"])
@@ -275,7 +299,7 @@ def _removed(docs: DataFrame, text_col: str, id_col: str, window: int, digest: b
     # texts that share an id are told apart
     docs = docs.withColumn("version", F.lit(0).cast("long") if n == ids else F.xxhash64("text"))
     shared = _places(shared_anchors(docs, window), "anchors")
-    gone = _places(repeated_windows(docs, shared, window), "windows")
+    gone = _runs(repeated_windows(docs, shared, window), "windows")
     last = "kept_sha256" if digest else "kept"
 
     def run(batches):
@@ -286,9 +310,9 @@ def _removed(docs: DataFrame, text_col: str, id_col: str, window: int, digest: b
                 kept = words
                 if places:
                     steps = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.unique(np.array(places))
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + window, -1)
+                    at = np.array(places)
+                    np.add.at(steps, at[::2], 1)
+                    np.add.at(steps, at[1::2] + window, -1)
                     kept = [words[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()]
                 out = b" ".join(kept)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(out).hexdigest() if digest else out.decode("utf-8", "surrogatepass")))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -183,10 +184,15 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.bits = max(1, (self.library.get_vocab_size(True) - 1).bit_length())
+        self.added = {t: k.to_bytes(4, "little") for t, k in bpe.vocabulary(path).added.items()}
+        self.chars = str.maketrans(dict(enumerate(bpe.byte_characters())))
         self.remembered = bpe.Remembered(bpe.vocabulary(path), self.learn)
 
     def learn(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Words by the library's model, which takes bytes as the characters that stand for them."""
+        model, added, chars = self.library.model, self.added, self.chars
+        tokenize = model.tokenize
+        return [added.get(w) or array("I", [t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(chars))]).tobytes() for w in words]
 
     def many(self, texts: list[str], end_id: int) -> tuple[np.ndarray, list[int]]:
         """All ids of the texts, each followed by ``end_id``, and how many each text has."""
