@@ -151,9 +151,10 @@ def from_png(png: bytes) -> bytes:
         raise ValueError("not a PNG image")
     at, width, data = 8, 0, []
     while at < len(png):
-        size, kind = struct.unpack_from(">I4s", png, at)
-        body = png[at + 8 : at + 8 + size]
-        if zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", png, at + 8 + size)[0]:
+        if at + 12 > len(png) or at + 12 + (size := int.from_bytes(png[at : at + 4])) > len(png):
+            raise ValueError("the image is cut off")
+        kind, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
+        if zlib.crc32(body, zlib.crc32(kind)) != int.from_bytes(png[at + 8 + size : at + 12 + size]):
             raise ValueError(f"damaged {kind!r} chunk")
         if kind == b"IHDR":
             width, _, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
@@ -162,6 +163,8 @@ def from_png(png: bytes) -> bytes:
         elif kind == b"IDAT":
             data.append(body)
         at += 12 + size
+    if not data:
+        raise ValueError("the image has no samples")
     raw = np.frombuffer(zlib.decompress(b"".join(data)), dtype=np.uint8).reshape(-1, width + 1)
     if raw[:, 0].any():
         raise ValueError("rows are filtered")

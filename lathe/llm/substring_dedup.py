@@ -91,6 +91,8 @@ def recompressed(words: np.ndarray, edges: np.ndarray, rounds: int = ROUNDS) ->
 def anchors(words: np.ndarray, edges: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window: where it starts, the place of its anchor (its own start if it has none) and the anchor's symbol."""
     n = len(words)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), words
     sym, begin, _, left, right = recompressed(words, edges, rounds)
     # a symbol goes by all that its making depends on: so anchors of texts that share only a few words differ
     sym = mixed(sym ^ _stretch_hashes(words, np.clip(left, 0, n), np.clip(right, 0, n)))

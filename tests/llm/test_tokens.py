@@ -1,0 +1,193 @@
+"""BPE, token counts and shards against the tokenizers library; automaton and media against plain code."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from lathe.llm import automaton, bpe, media, secret_scan, token_count, wavelet
+
+PIECES = ["'s", "'re", "'LL", " ", "  ", "\n", "\n ", "\t", "<|endoftext|>", "<|endof", "é", "the", " The", "123", "!!!", "###", "a", "中", "\x85", "🙂", "x" * 70, "ab" * 60, "Σ", "İ", "ﬁ", "word,", " next."]
+
+
+def mixed_texts(n, most=20, seed=3):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, most))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
+def test_bpe_is_the_librarys(library):
+    own = bpe.ByteBpe(bpe.default_vocabulary())
+    texts = [*mixed_texts(1500), "", "a" * 3000, " " * 500]
+    for text, ids in zip(texts, own.encode_many(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.decode(ids.tolist()) == text == library.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def test_memory_may_start_afresh(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "CHUNKS", 5)
+    own = bpe.ByteBpe(bpe.default_vocabulary())
+    for text in mixed_texts(200, seed=8):
+        assert own.encode_many([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_segment_trees_merge_leftmost_lowest(word):
+    pairs = [(0, 0), (1, 2), (0, 1), (6, 6), (3, 4), (7, 5), (8, 0)]
+    merges = bpe.Merges(pairs, list(range(6, 13)), 13)
+    want = list(word)
+    while True:
+        ranked = [(pairs.index(p), i) for i, p in enumerate(zip(want, want[1:], strict=False)) if p in pairs]
+        if not ranked:
+            break
+        r, i = min(ranked)
+        want[i : i + 2] = [6 + r]
+    assert merges.merge_one(list(word)) == want
+    assert np.frombuffer(merges.merge_many([word, word])[1], dtype="<u4").tolist() == want
+
+
+def test_counts_at_every_prefix():
+    own, lib = token_count.WordBpe(token_count.default_vocabulary()), Tokenizer.from_file(token_count.default_vocabulary())
+    for text in [*mixed_texts(150, most=9), ""]:
+        assert own.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+        full = "".join(p for p, _ in own.parts(text))
+        table = own.prefixes(text)
+        assert table.tolist() == [len(lib.encode(full[:k], add_special_tokens=False).ids) for k in range(len(full) + 1)]
+        for budget in (0, 1, 3):
+            cut = own.cut(text, budget)
+            assert max(table[: cut + 1]) <= budget and (cut == len(full) or table[cut + 1] > budget)
+
+
+def test_token_queries(spark, odd, empty, library):
+    got = {(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in bpe.tokenize(odd, ("n_tokens", "decoded_sha256")).collect()}
+    rows = odd.collect()
+    assert got == {(r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False).ids), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows}
+    ids = bpe.tokenize(odd, ("ids",))
+    assert sorted(r["text"] for r in bpe.detokenize(ids).collect()) == sorted(r["text"] or "" for r in rows)
+    assert bpe.tokenize(empty).count() == 0 and token_count.count_tokens(empty).count() == 0
+    counted = token_count.count_tokens(odd, budgets=(2,), prefixes=True).collect()
+    assert len(counted) == len(rows) and all(r["prefixes"][-1] == r["n_tokens"] for r in counted)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 513, 3000])
+def test_wavelet_matrix(n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 50257, n).astype(np.uint16)
+    ids[::3] = 7
+    starts = np.array([0, n // 2, n])
+    shard = wavelet.Shard(wavelet.pack([None, 5], starts, wavelet.WaveletMatrix.build(ids, 16)))
+    m = shard.matrix
+    assert shard.doc_ids == [None, 5] and shard.starts.tolist() == starts.tolist()
+    assert (m.decode() == ids).all()
+    assert all(m.access(i) == ids[i] for i in range(0, n, max(1, n // 40)))
+    assert m.count(7) == (ids == 7).sum() and m.count(7, n // 3, n // 2) == (ids[n // 3 : n // 2] == 7).sum()
+    where = np.flatnonzero(ids == 7)
+    assert [m.find(7, k) for k in range(0, len(where), 11)] == where[::11].tolist() and m.find(7, len(where)) == -1
+
+
+def test_shards(spark, odd, empty, library, tmp_path):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    shards = wavelet.write_shards(odd, shard_ids=2_000)
+    assert shards.count() > 1
+    got = sorted(wavelet.read_documents(shards).collect(), key=lambda r: r["start"])
+    at = 0
+    for (doc_id, text), r in zip(rows, got, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (doc_id, at, len(ids), ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        at += len(ids)
+    names = wavelet.export(shards, str(tmp_path))
+    assert len(names) == shards.count() and all(wavelet.Shard((tmp_path / n).read_bytes()).matrix.n for n in names)
+    assert wavelet.read_documents(wavelet.write_shards(empty)).count() == 0
+
+
+FRAGMENTS = ["password", "token", ":", "=", "=", " ", "'", '"', "api_key", "apikey", "abc", "AKIA", "0123456789abcdef", "f", "é", "\n", "TOKEN", "secret", "A1B2C3D4E5F6G7H8", ".", "-", "Z", "ſecret"]
+
+
+def digest_of(text):
+    base = [s for s in secret_scan.spans(text) if s[1] < 3]
+    n = [sum(r == k for _, r, _ in base) for k in range(3)]
+    return (*n, hashlib.sha256(",".join(f"{secret_scan.BASE[r].kind}:{s}:{e}" for s, r, e in base).encode()).hexdigest())
+
+
+def test_secrets_are_what_the_patterns_find():
+    rnd = random.Random(5)
+    for _ in range(4000):
+        text = "".join(rnd.choice(FRAGMENTS) for _ in range(rnd.randint(0, 25)))
+        assert digest_of(text) == secret_scan.brute_force(text)
+
+
+def test_automaton_rejects_rules_that_need_a_second_look():
+    with pytest.raises(ValueError):
+        automaton.Automaton([automaton.Rule("x", "a(bc)?")])
+    with pytest.raises(ValueError):
+        automaton.Automaton([automaton.Rule("x", "a*")])
+
+
+def test_secret_queries(spark, odd, empty):
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(odd).collect() if r["doc_id"] == 9}
+    assert [s["kind"] for s in found[9]] == ["assign"] and found[9][0]["value"] == "password = hunter22"
+    assert secret_scan.scan_secrets(empty).count() == 0
+    clean = secret_scan.redact_secrets(odd)
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+    r = clean.where("doc_id = 9").first()
+    assert "hunter22" not in r["text"] and r["n_chars"] == len(r["text"])
+    assert clean.where("doc_id = 1").first()["text"] is None
+
+
+def test_op6_query(spark, sf_dir, docs):
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = secret_scan.op6_secret_scan(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == secret_scan.brute_force(texts[r["doc_id"]])
+
+
+def test_items_keep_positions_and_captions():
+    html = '<head><title>x</title></head>Hi <b>there</b><p>one<p>two<figure><img src="sha256:ab" alt="z"><figcaption>cap <i>x</i></figcaption></figure>tail<img src=q.png alt=own><script>no</script><figcaption>loose</figcaption>'
+    got = media.items(html)
+    assert [(x["position"], x["kind"], x["text"] or x["digest"], x["caption"]) for x in got] == [(0, "text", "Hi there", None), (1, "text", "one", None), (2, "text", "two", None), (3, "media", "ab", "cap x"), (4, "text", "tail", None), (5, "media", "q.png", "own"), (6, "text", "loose", None)]
+    assert media.items("") == []
+
+
+@given(st.binary(max_size=1000))
+@settings(max_examples=100, deadline=None)
+def test_images_give_back_their_samples(data):
+    payload = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
+    assert media.from_png(media.to_png(payload)) == payload
+    with pytest.raises((ValueError, zlib.error)):
+        media.from_png(media.to_png(payload)[:-20])
+
+
+def test_media_resolve(spark, odd, empty):
+    store = media.store_texts(odd, media.text_page)
+    rows = media.exploded(media.sequences(store.select("doc_id", "n_bytes", "html")), ["doc_id", "n_bytes"])
+    found = media.resolved(rows.where("kind = 'media'"), media.described(store)).collect()
+    assert len(found) == odd.count()
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for r in found:
+        payload = media.payload_of(texts[r["doc_id"]])
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r["caption"] == f"Text of document {r['doc_id']}" and r["n_bytes"] == len(texts[r["doc_id"]].encode())
+    joined = media.assembled(media.resolved(rows.where("doc_id = 4"), media.described(store)), "doc_id", ["kind", "text", "caption", "payload_bytes"]).first()
+    assert [x["kind"] for x in joined["items"]] == ["text", "media"] and joined["items"][1]["payload_bytes"] == 64
+    lost = spark.createDataFrame([("zz", 1)], "digest string, payload_bytes long")
+    assert media.resolved(rows.where("kind = 'media'"), lost).where("payload_bytes is null").count() == odd.count()
+    assert media.store_texts(empty, media.text_page).count() == 0
+
+
+def test_pages_parse(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = media.sequences(pages)
+    assert got.columns == [*pages.columns, "items"] and got.where("size(items) > 0").count() > 0
