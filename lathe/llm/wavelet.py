@@ -229,13 +229,16 @@ def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text
             read, own_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for lo in range(0, len(read), 100):
                 tokens, n = own.many(read[lo : lo + 100], end_id)
-                ids.append(tokens.astype(kind))
-                counts += n
-                doc_ids += own_ids[lo : lo + 100]
-                held += len(tokens)
-                if held >= shard_ids:
-                    yield close()
-                    ids, doc_ids, counts, held, part = [], [], [], 0, part + 1
+                tokens = tokens.astype(kind)
+                at = 0
+                for doc_id, k in zip(own_ids[lo : lo + 100], n, strict=True):
+                    ids.append(tokens[at : at + k])
+                    doc_ids.append(doc_id)
+                    counts.append(k)
+                    at, held = at + k, held + k
+                    if held >= shard_ids:
+                        yield close()
+                        ids, doc_ids, counts, held, part = [], [], [], 0, part + 1
         if doc_ids:
             yield close()
 
