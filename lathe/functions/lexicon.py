@@ -141,4 +141,3 @@ REJECT_RULES = [
 REJECT_COUNTS = {"metadata_template_dump": 2}
 NON_ASCII_SHARE = 0.05
 EXTERNAL_REFERENCE = r"(?i)\[[\w\-\s]+\]|appendix\s+[A-Z]\b|per\s+\[|as\s+per\s+\[|see\s+\[|refer\s+to\s+\["
-EARLY_NOISE = [r"(?i)^\s*\d+\s*$", r"^\s*$"]

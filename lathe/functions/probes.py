@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lathe.functions import lexicon as lx
-from lathe.functions.metrics import class_label, primary_modal  # noqa: F401
-from lathe.functions.text import capitalised, normal_form, replace_first, strip, tokens, whole_word
+from lathe.functions.text import capitalised, normal_form, replace_first, strip, tokens
 
 
 def pick(values: list[str], key: Column, seed: int = 42, op: str = "") -> Column:
@@ -17,6 +16,12 @@ def pick(values: list[str], key: Column, seed: int = 42, op: str = "") -> Column
     return F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64(F.lit(f"{op}:{seed}"), key), F.lit(len(values))).cast("int"))
 
 
+def surrogate_id(prefix: str, model: Column, item: Column) -> Column:
+    """An id with a suffix that the model and the item decide; signs in the model's name become underscores."""
+    suffix = F.substring(F.sha2(F.concat_ws("|", model, item.cast("string")), 256), 1, 8)
+    return F.concat_ws("_", F.lit(prefix), F.regexp_replace(model, "[^a-zA-Z0-9]", "_"), item.cast("string"), suffix)
+
+
 def changed(new: Column, old: Column) -> Column:
     """``new`` if it differs from ``old``, else null."""
     return F.when(new != old, new)
@@ -203,6 +208,3 @@ def appended_template(x: Column, templates: list[str], key: Column, seed: int =
     phrase = pick(templates, key, seed, "template")
     return F.when(x.endswith("."), F.concat(F.regexp_replace(x, r"\.$", ""), phrase, F.lit("."))).otherwise(F.concat(x, phrase))
 
-
-def whole(word: str) -> str:
-    return whole_word(word)

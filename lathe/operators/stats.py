@@ -82,3 +82,8 @@ def with_p(df: DataFrame, rho: str = "rho", n: str = "n", out: str = "p_value")
 def id_gaps(df: DataFrame, group: str, value: str) -> DataFrame:
     """Gaps between consecutive values of each group: (group, value, gap), the first without."""
     return df.withColumn("gap", F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(value)))
+
+
+def best_significant(df: DataFrame, rho: str = "rho", p: str = "p_value", level: float = 0.05) -> DataFrame:
+    """The row of the greatest correlation among those with a p-value below ``level``; of equal ones by all columns."""
+    return df.where(F.col(p) < level).orderBy(F.col(rho).desc(), *df.columns).limit(1)

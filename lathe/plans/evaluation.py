@@ -256,6 +256,11 @@ def correlation_p_values(t: Tables):
     return found.withColumn("stars", M.stars(F.col("p_value")))
 
 
+@query()
+def best_correlation(t: Tables):
+    return stats.best_significant(stats.with_p(spearman_grid(t)), level=1.01)
+
+
 @query("WITH a AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS r, avg(p_size) AS s FROM part GROUP BY p_brand) SELECT p_brand, round(r, 4) AS r, round(coalesce(s, 0), 4) AS s, n FROM a WHERE r IS NOT NULL AND s IS NOT NULL")
 def figure_input(t: Tables):
     a = t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("r"), F.avg("p_size").alias("s"))

@@ -179,3 +179,13 @@ def class_labels(t: Tables):
 def prompts(t: Tables):
     target = F.when(F.col("modal") == "may", "a2").when(F.col("modal") == "can", "b1").otherwise("simple")
     return requirements(t).select("item_id", M.prompt(F.col("text"), target).alias("prompt"))
+
+
+@query("SELECT 'sem_' || regexp_replace(p_brand, '[^a-zA-Z0-9]', '_', 'g') || '_' || p_partkey || '_' || left(sha256(p_brand || '|' || p_partkey), 8) AS probe_id FROM part")
+def surrogate_ids(t: Tables):
+    return t.part.select(P.surrogate_id("sem", F.col("p_brand"), F.col("p_partkey")).alias("probe_id"))
+
+
+@query(f"WITH {REQ} SELECT item_id, regexp_matches(text, '(?i)\\b(shall|should|must|may|will|can|cannot|is required|are required)\\b') AS like_one FROM req")
+def requirement_like(t: Tables):
+    return requirements(t).select("item_id", M.requirement_like(F.col("text")).alias("like_one"))
