@@ -17,4 +17,4 @@ QUERIES = {
     "op10_media_sequences": media.op10_media_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_source_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op8_source_mix": mixing.SQL}

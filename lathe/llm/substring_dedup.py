@@ -326,3 +326,14 @@ def _removed(docs: DataFrame, text_col: str, id_col: str, window: int, digest: b
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removed(common.documents(spark, sf_dir), "text", "doc_id", WINDOW, True)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT k, min(doc_id) AS least FROM x GROUP BY k),
+g AS (SELECT x.doc_id, list(i) AS gone FROM x JOIN m ON x.k = m.k WHERE least < x.doc_id GROUP BY x.doc_id),
+c AS (SELECT d.doc_id, w, list_distinct(flatten(list_transform(gone, lambda i: range(i, i + 13)))) AS covered FROM d LEFT JOIN g ON d.doc_id = g.doc_id),
+k AS (SELECT doc_id, w, CASE WHEN covered IS NULL THEN w ELSE list_filter(w, lambda z, j: NOT list_contains(covered, j)) END AS kept FROM c)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
