@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lathe.llm import common
 
-#: Words, and chunks between spaces, kept with their tokens in each worker; beyond that the memory starts afresh.
-REMEMBERED, CHUNKS = 200_000, 800_000
+#: Words, and chunks between spaces, kept with their tokens in each worker; beyond that the later half, mostly rare ones, is forgotten.
+REMEMBERED, CHUNKS = 200_000, 1_600_000
 #: Words of at most so many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
@@ -171,7 +172,8 @@ class Remembered:
     white space, or with added tokens, are cut into words by the pattern. ``learn`` gives the ids of new words.
     """
 
-    def __init__(self, cutter: ByteBpe, learn):
+    def __init__(self, cutter: ByteBpe, learn, at_once: int = 400):
+        self.at_once = at_once
         self.pieces, self.plain, self.added, self.learn = cutter.pieces, cutter.words, tuple(cutter.added), learn
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -179,14 +181,17 @@ class Remembered:
     def know(self, words: set[str]) -> None:
         if new := list(words.difference(self.words)):
             if len(self.words) > REMEMBERED:
-                self.words.clear()
-                new = list(words)
+                self.words = dict(islice(self.words.items(), REMEMBERED // 2))
+                new = list(words.difference(self.words))
             self.words.update(zip(new, self.learn(new), strict=True))
 
     def rows(self, texts: list[str]) -> list[bytes]:
+        return [r for lo in range(0, len(texts), self.at_once) for r in self._rows(texts[lo : lo + self.at_once])]
+
+    def _rows(self, texts: list[str]) -> list[bytes]:
         cut = [None if _RUN.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
         if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
+            self.chunks = dict(islice(self.chunks.items(), CHUNKS // 2))
         chunks, plain = self.chunks, self.plain
         # most new chunks are letters, or letters and a mark: there the pattern need not be asked
         letters, marked, others = [], [], {}

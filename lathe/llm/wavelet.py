@@ -1,12 +1,13 @@
 """Token ids in shards, each one wavelet matrix: a compressed file that answers access, count and occurrence queries.
 
-Level k of the matrix holds bit k (highest first) of each id, in an order in which, level by level, zeros were moved
+Ids are coded by their rank in the shard's alphabet, the most frequent first, so that a code has as many bits as the
+shard's own ids need. Level k of the matrix holds bit k (highest first) of each code, in an order in which, level by level, zeros were moved
 stably before ones. Ranks are kept per 512-bit block; with them ``access``, ``rank`` and ``select`` of a shard take one
 step for each bit. A shard's file is
 
-    magic "LWM1", header length (4 bytes), header (JSON: n, bits, end id, plane lengths), then
+    magic "LWM1", header length (4 bytes), header (JSON: n, documents, end id, size of the alphabet, plane lengths), then
     document ids (8 bytes each), document starts within the shard (8 bytes each, one more than documents),
-    and for each level the plane, deflated if that is shorter.
+    the alphabet (4 bytes each), and for each level the plane, compressed by Zstandard if that is shorter.
 
 All numbers are little-endian. Rank directories are rebuilt on opening; they would be an eighth of the planes.
 
@@ -28,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ class WaveletMatrix:
             bit = (ids >> ids.dtype.type(k) & ids.dtype.type(1)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.frombuffer(packed.tobytes().ljust(-(-len(packed) // 8) * 8, b"\0"), dtype="<u8"))
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])  # far faster than by masks
         return cls(len(ids), planes)
 
     def bit(self, level: int, i: int) -> int:
@@ -130,46 +132,70 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little", count=self.n).view(bool)
             out = np.empty_like(value)
             zeros = self.zeros[level]
-            out[~bit] = value[:zeros]
-            out[bit] = value[zeros:] | kind(1 << (self.bits - 1 - level))
+            out[np.flatnonzero(~bit)] = value[:zeros]
+            out[np.flatnonzero(bit)] = value[zeros:] | kind(1 << (self.bits - 1 - level))
             value = out
         return value
 
 
-def pack(doc_ids: list[int | None], starts: np.ndarray, matrix: WaveletMatrix, end_id: int = END_ID) -> bytes:
+def pack(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray, end_id: int = END_ID) -> bytes:
     """The file of a shard."""
-    planes = []
+    counts = np.bincount(ids)
+    alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    code = np.zeros(len(counts), dtype=np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+    code[alphabet] = np.arange(len(alphabet))
+    matrix = WaveletMatrix.build(code[ids], max(1, (len(alphabet) - 1).bit_length()))
+    planes, squeeze = [], zstandard.ZstdCompressor(level=1).compress
     for words in matrix.planes:
         raw = words.tobytes()
-        worth = len(zlib.compress(raw[: 1 << 15], 1)) < 0.9 * len(raw[: 1 << 15])
-        small = zlib.compress(raw, 1) if worth else raw
+        small = squeeze(raw)
         planes.append((small, True) if len(small) < len(raw) else (raw, False))
-    header = json.dumps({"n": matrix.n, "bits": matrix.bits, "docs": len(doc_ids), "end_id": end_id, "planes": [[len(p), z] for p, z in planes]}).encode()
-    ids = np.array([_NO_ID if d is None else d for d in doc_ids], dtype="<i8").tobytes()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, ids, starts.astype("<i8").tobytes(), *(p for p, _ in planes)])
+    header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "end_id": end_id, "alphabet": len(alphabet), "planes": [[len(p), z] for p, z in planes]}).encode()
+    own = np.array([_NO_ID if d is None else d for d in doc_ids], dtype="<i8").tobytes()
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, own, starts.astype("<i8").tobytes(), alphabet.astype("<u4").tobytes(), *(p for p, _ in planes)])
 
 
 class Shard:
-    """An opened file: ``doc_ids``, ``starts`` and ``matrix``."""
+    """An opened file: ``doc_ids``, ``starts``, and access, counting and lookup of token ids."""
 
     def __init__(self, file: bytes):
         if file[:4] != MAGIC:
             raise ValueError("not a shard")
         at = 8 + struct.unpack_from("<I", file, 4)[0]
         head = json.loads(file[8:at])
-        n_docs = head["docs"]
+        n_docs, n_ids = head["docs"], head["alphabet"]
         self.end_id = head["end_id"]
         ids = np.frombuffer(file, dtype="<i8", count=n_docs, offset=at)
         self.doc_ids = [None if d == _NO_ID else d for d in ids.tolist()]
         self.starts = np.frombuffer(file, dtype="<i8", count=n_docs + 1, offset=at + 8 * n_docs)
         at += 16 * n_docs + 8
-        planes = []
-        for size, deflated in head["planes"]:
+        self.alphabet = np.frombuffer(file, dtype="<u4", count=n_ids, offset=at)
+        at += 4 * n_ids
+        planes, expand = [], zstandard.ZstdDecompressor().decompress
+        for size, squeezed in head["planes"]:
             raw = file[at : at + size]
-            planes.append(np.frombuffer(zlib.decompress(raw) if deflated else raw, dtype="<u8"))
+            planes.append(np.frombuffer(expand(raw) if squeezed else raw, dtype="<u8"))
             at += size
         self.matrix = WaveletMatrix(head["n"], planes)
 
+    def _code(self, token: int) -> int | None:
+        found = np.flatnonzero(self.alphabet == token)
+        return int(found[0]) if len(found) else None
+
+    def access(self, i: int) -> int:
+        return int(self.alphabet[self.matrix.access(i)])
+
+    def count(self, token: int, start: int = 0, end: int | None = None) -> int:
+        code = self._code(token)
+        return 0 if code is None else self.matrix.count(code, start, end)
+
+    def find(self, token: int, k: int) -> int:
+        code = self._code(token)
+        return -1 if code is None else self.matrix.find(code, k)
+
+    def decode(self) -> np.ndarray:
+        return self.alphabet[self.matrix.decode()]
+
 
 class Encoder:
     """The tokenizers library for words it hasn't seen, and its tokens for those it has: what it gives for a text is what
@@ -183,10 +209,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.bits = max(1, (self.library.get_vocab_size(True) - 1).bit_length())
+        self.kind = np.uint16 if self.library.get_vocab_size(True) <= 1 << 16 else np.uint32
         self.added = {t: k.to_bytes(4, "little") for t, k in bpe.vocabulary(path).added.items()}
         self.chars = str.maketrans(dict(enumerate(bpe.byte_characters())))
-        self.remembered = bpe.Remembered(bpe.vocabulary(path), self.learn)
+        self.remembered = bpe.Remembered(bpe.vocabulary(path), self.learn, at_once=32)
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Words by the library's model, which takes bytes as the characters that stand for them."""
@@ -217,28 +243,25 @@ def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         ids, doc_ids, counts, held, part = [], [], [], 0, 0
-        kind = np.uint16 if own.bits <= 16 else np.uint32
 
         def close() -> pa.RecordBatch:
             starts = np.cumsum([0, *counts])
-            matrix = WaveletMatrix.build(np.concatenate(ids), own.bits)
-            row = [[doc_ids[0]], [doc_ids[-1]], [part], [len(doc_ids)], [int(starts[-1])], [pack(doc_ids, starts, matrix, end_id)]]
+            row = [[doc_ids[0]], [doc_ids[-1]], [part], [len(doc_ids)], [int(starts[-1])], [pack(doc_ids, starts, np.concatenate(ids), end_id)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["first_id", "last_id", "part", "n_docs", "n_ids", "file"])
 
         for b in batches:
             read, own_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for lo in range(0, len(read), 100):
-                tokens, n = own.many(read[lo : lo + 100], end_id)
-                tokens = tokens.astype(kind)
-                at = 0
-                for doc_id, k in zip(own_ids[lo : lo + 100], n, strict=True):
-                    ids.append(tokens[at : at + k])
-                    doc_ids.append(doc_id)
-                    counts.append(k)
-                    at, held = at + k, held + k
-                    if held >= shard_ids:
-                        yield close()
-                        ids, doc_ids, counts, held, part = [], [], [], 0, part + 1
+            tokens, n = own.many(read, end_id)
+            tokens = tokens.astype(own.kind)
+            at = 0
+            for doc_id, k in zip(own_ids, n, strict=True):
+                ids.append(tokens[at : at + k])
+                doc_ids.append(doc_id)
+                counts.append(k)
+                at, held = at + k, held + k
+                if held >= shard_ids:
+                    yield close()
+                    ids, doc_ids, counts, held, part = [], [], [], 0, part + 1
         if doc_ids:
             yield close()
 
@@ -262,7 +285,7 @@ def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
         for b in batches:
             for first, part, file in zip(b.column("first_id").to_pylist(), b.column("part").to_pylist(), b.column("file"), strict=True):
                 shard = Shard(file.as_py())
-                tokens = shard.matrix.decode().astype("<u4")
+                tokens = shard.decode()
                 edges = shard.starts.tolist()
                 docs = [tokens[a:z] for a, z in zip(edges, edges[1:], strict=False)]
                 n = len(docs)
