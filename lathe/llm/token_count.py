@@ -20,6 +20,7 @@ import json
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lathe.llm import common
 from lathe.llm.bpe import byte_characters
 
-#: Words, and pairs of tokens, kept in each worker; beyond that the memory starts afresh.
+#: Words, and pairs of tokens, kept in each worker; beyond that the later half, mostly rare ones, is forgotten.
 REMEMBERED = 600_000
 #: The published pattern of this family of lower-case vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -138,7 +139,7 @@ class WordBpe:
         found = self.totals.get(word)
         if found is None:
             if len(self.totals) > REMEMBERED:
-                self.totals.clear()
+                self.totals = dict(islice(self.totals.items(), REMEMBERED // 2))
             data = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.as_chars)
             found = self.totals[word] = self.steps(data, every=False)[1][-1]
         return found
