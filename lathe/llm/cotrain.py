@@ -200,12 +200,12 @@ def figured(docs: DataFrame) -> DataFrame:
 
 def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL, **settings: float) -> CoTrained:
     """The models from a table of figures and (doc_id, label): two bounded samples reach the driver."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("double").alias("_label")).where("_id is not null and _label is not null")
-    marks = marks.groupBy("_id").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"))
-    joined = table.join(marks, table["doc_id"] == marks["_id"], "left").withColumn("_label", F.when(F.col("_low") == F.col("_high"), F.col("_low")))
+    marks = labels.select(F.col("doc_id").cast("long").alias("__lathe_id"), F.col(label_col).cast("double").alias("__lathe_label")).where("__lathe_id is not null and __lathe_label is not null")
+    marks = marks.groupBy("__lathe_id").agg(F.min("__lathe_label").alias("__lathe_low"), F.max("__lathe_label").alias("__lathe_high"))
+    joined = table.join(marks, table["doc_id"] == marks["__lathe_id"], "left").withColumn("__lathe_label", F.when(F.col("__lathe_low") == F.col("__lathe_high"), F.col("__lathe_low")))
     order = [F.xxhash64(F.lit("co-training"), "doc_id"), F.col("doc_id"), F.col("figures")]
-    take = lambda df, n: df.select("_label", "figures", "lang", "source", "n_chars", "doc_id").orderBy(*order).limit(n)
-    rows = [*take(joined.where("_label is not null"), labelled).collect(), *take(joined.where("_label is null"), pool).collect()]
+    take = lambda df, n: df.select("__lathe_label", "figures", "lang", "source", "n_chars", "doc_id").orderBy(*order).limit(n)
+    rows = [*take(joined.where("__lathe_label is not null"), labelled).collect(), *take(joined.where("__lathe_label is null"), pool).collect()]
     return CoTrained([r[0] for r in rows], [r[1] for r in rows], [metadata(*r[2:5]) for r in rows], **settings)
 
 
@@ -226,11 +226,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFr
     """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
     model = fit(figured(docs), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["_text", "_lang", "_source", "_n_chars"]
+    names = ["__lathe_text", "__lathe_lang", "__lathe_source", "__lathe_n_chars"]
     added = _columns(docs).columns[1:]
-    parts = docs.withColumn("_read", F.struct(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c == "text" else F.col(c).cast("long" if c == "n_chars" else "string")) if c in docs.columns else (F.char_length("text").cast("long") if c == "n_chars" else F.lit(None).cast("string")) for c in added]).alias("_read"))
-    parts = parts.select(*docs.columns, *(F.col("_read").getField(f).alias(n) for f, n in zip(parts.schema["_read"].dataType.names, names, strict=True)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    parts = docs.withColumn("__lathe_read", F.struct(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c == "text" else F.col(c).cast("long" if c == "n_chars" else "string")) if c in docs.columns else (F.char_length("text").cast("long") if c == "n_chars" else F.lit(None).cast("string")) for c in added]).alias("__lathe_read"))
+    parts = parts.select(*docs.columns, *(F.col("__lathe_read").getField(f).alias(n) for f, n in zip(parts.schema["__lathe_read"].dataType.names, names, strict=True)))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lathe_score", T.DoubleType())])
     n = len(docs.columns)
 
     def run(batches):
@@ -239,9 +239,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFr
             # as stored: figures are 32-bit floats
             rows = np.array([figures(x or "") for x in text], dtype=np.float32).tolist()
             score = shared.value.scores(rows, [metadata(*r) for r in zip(*rest, strict=True)])[2]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(score, pa.float64())], names=[*b.schema.names[:n], "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(score, pa.float64())], names=[*b.schema.names[:n], "__lathe_score"])
 
-    return common.in_batches(parts, run, schema).where(F.col("_score") >= least).drop("_score")
+    return common.in_batches(parts, run, schema).where(F.col("__lathe_score") >= least).drop("__lathe_score")
 
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

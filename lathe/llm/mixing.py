@@ -66,8 +66,8 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", m
 def with_rates(docs: DataFrame, found: DataFrame, source_col: str = "source") -> DataFrame:
     """``docs`` and, as ``_source_size``, ``_target`` and ``_rate``, what holds for their source."""
     few = found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    side = found.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    return docs.join(F.broadcast(side) if few else side, docs[source_col].cast("string").eqNullSafe(side["_source"]), "inner").drop("_source")
+    side = found.select(F.col("source").alias("__lathe_source"), F.col("source_size").alias("__lathe_source_size"), F.col("target").alias("__lathe_target"), F.col("rate").alias("__lathe_rate"))
+    return docs.join(F.broadcast(side) if few else side, docs[source_col].cast("string").eqNullSafe(side["__lathe_source"]), "inner").drop("__lathe_source")
 
 
 def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
@@ -77,14 +77,14 @@ def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     joined = with_rates(docs, rates(docs, source_col, text_col, most), source_col)
-    taken = joined.withColumn("_copies", copies(F.col("_rate"), F.col(id_col), seed)).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = joined.withColumn("__lathe_copies", copies(F.col("__lathe_rate"), F.col(id_col), seed)).where("__lathe_copies > 0")
+    return taken.withColumn("__lathe_copy", F.explode(F.sequence(F.lit(1), F.col("__lathe_copies")))).select(*docs.columns)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
     sized = with_rates(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), rates(docs))
-    return sized.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * copies(F.col("_rate"), F.col("doc_id"))).alias("taken"))
+    return sized.select("doc_id", "size", F.col("__lathe_source_size").alias("source_size"), F.col("__lathe_target").alias("target"), (F.col("size") * copies(F.col("__lathe_rate"), F.col("doc_id"))).alias("taken"))
 
 
 SQL = """

@@ -88,10 +88,10 @@ def redact(text: str, rules: tuple[Rule, ...] = tuple(RULES)) -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with secrets in ``text_col`` replaced; ``n_chars``, where there is one, follows. Null texts stay null."""
     own = tuple(rules)
-    done = common.passing(docs, lambda xs: [[redact(x, own) for x in xs]], text_col, [("_redacted", pa.string(), T.StringType())])
-    text = F.when(F.col(text_col).isNotNull(), F.col("_redacted"))
-    changed = {text_col: text} | ({"n_chars": F.when(F.col(text_col).isNotNull() & (F.col("_redacted") != F.col(text_col)), F.length("_redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return done.withColumns(changed).drop("_redacted")
+    done = common.passing(docs, lambda xs: [[redact(x, own) for x in xs]], text_col, [("__lathe_redacted", pa.string(), T.StringType())])
+    text = F.when(F.col(text_col).isNotNull(), F.col("__lathe_redacted"))
+    changed = {text_col: text} | ({"n_chars": F.when(F.col(text_col).isNotNull() & (F.col("__lathe_redacted") != F.col(text_col)), F.length("__lathe_redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.withColumns(changed).drop("__lathe_redacted")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
