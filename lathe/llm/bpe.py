@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lathe.llm import common
 
 #: Words, and chunks between spaces, kept with their tokens in each worker; beyond that the later half, mostly rare ones, is forgotten.
-REMEMBERED, CHUNKS = 200_000, 1_600_000
+REMEMBERED, CHUNKS = 200_000, 2_400_000
 #: Words of at most so many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
@@ -159,6 +159,18 @@ class Merges:
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+#: Where the pattern's library takes for letters what the tokenizers' library, with older tables, does not.
+NEW_LETTERS = "\\U000323B0-\\U0003FFFF"
+
+
+def words_of(pattern: str):
+    """``findall`` of a pattern whose letters are those of the tokenizers' library; texts with newer ones take a slower path."""
+    plain = regex.compile(pattern).findall
+    strict = regex.compile("(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{N}}[\p{{L}}--[{NEW_LETTERS}]]]").replace(r"\p{L}+", rf"[\p{{L}}--[{NEW_LETTERS}]]+")).findall
+    newer = regex.compile(f"[{NEW_LETTERS}]").search
+    return lambda text: plain(text) if text.isascii() or not newer(text) else strict(text)
+
+
 #: White space before a space: there a stretch of white space isn't parted at its spaces.
 _RUN = regex.compile(r"\s ")
 _MARKS = frozenset(".,;:!?")
@@ -196,7 +208,7 @@ class Remembered:
         # most new chunks are letters, or letters and a mark: there the pattern need not be asked
         letters, marked, others = [], [], {}
         for x in set().union(*(c[1:] for c in cut if c)).difference(chunks):
-            if x.isalpha():
+            if x.isalpha() and (x.isascii() or x == plain(x)[0]):
                 letters.append(x)
             elif x[-1:] in _MARKS and x[:-1].isalpha():
                 marked.append(x)
@@ -233,7 +245,7 @@ class ByteBpe:
             self.bytes[k] = token.encode()
         self.first = [vocab[c] for c in chars]
         self.merges = Merges([(vocab[a], vocab[b]) for a, b in pairs], [vocab[a + b] for a, b in pairs], size)
-        self.words = regex.compile(PATTERN).findall
+        self.words = words_of(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.remembered = Remembered(self, self.learn)
         self.decimal = [str(k).encode() for k in range(size)]

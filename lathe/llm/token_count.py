@@ -28,13 +28,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from lathe.llm import common
-from lathe.llm.bpe import byte_characters
+from lathe.llm.bpe import byte_characters, words_of
 
 #: Words, and pairs of tokens, kept in each worker; beyond that the later half, mostly rare ones, is forgotten.
 REMEMBERED = 600_000
 #: The published pattern of this family of lower-case vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 END = "</w>"
+#: Capitals that Python's tables don't lower yet, and the library does: by Unicode 16.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+_NEW_CAPITALS = regex.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]").search
 
 
 def default_vocabulary() -> str:
@@ -72,8 +75,7 @@ class WordBpe:
             for t in tokens:
                 body = t.removesuffix(END)
                 self.reach[form][body[-3:]] = max(len(body), self.reach[form].get(body[-3:], 0))
-        self.find = regex.compile(PATTERN).findall
-        self.iter = regex.compile(PATTERN).finditer
+        self.find = words_of(PATTERN)
         self.latin = bytes(range(256)).decode("latin-1")
         self.as_chars = str.maketrans(dict(zip(self.latin, chars, strict=True)))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -164,6 +166,8 @@ class WordBpe:
         """As the library normalises: characters are lowered one by one, so a capital sigma is never a final one."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _NEW_CAPITALS(text):
+                text = text.translate(NEW_CAPITALS)
         return text.lower()
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
@@ -200,13 +204,14 @@ class WordBpe:
                 tail = ""
             else:
                 row, at, m, tail = np.full(len(part), n, dtype=np.int64), 0, n, ""
-                for w in self.iter(part):
-                    s, e = w.span()
+                for w in self.find(part):
+                    s = part.index(w, at)
+                    e = s + len(w)
                     row[at:s] = m
-                    row[s:e] = m + self.table(w[0])[1:]
+                    row[s:e] = m + self.table(w)[1:]
                     m = int(row[e - 1])
                     at = e
-                    tail = w[0] if e == len(part) else ""
+                    tail = w if e == len(part) else ""
                 row[at:] = m
             if len(row):
                 out.append(row)

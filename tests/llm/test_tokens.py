@@ -190,3 +190,13 @@ def test_pages_parse(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = media.sequences(pages)
     assert got.columns == [*pages.columns, "items"] and got.where("size(items) > 0").count() > 0
+
+
+def test_letters_are_the_librarys(library):
+    """Each 97th code point, and all near those that newer tables have added, among letters, digits and marks."""
+    added = [*range(0x1C80, 0x1C90), *range(0xA7C0, 0xA800), *range(0x10D40, 0x10D90), *range(0x32380, 0x323C0), 0x32808, 0x3F988]
+    points = [chr(c) for c in sorted({*range(0, 0x110000, 97), *added}) if not 0xD800 <= c < 0xE000]
+    texts = [f(c) for c in points for f in (lambda c: f"a{c}b {c}{c}1{c} 's", lambda c: f"ab{c} {c}ab !{c}")]
+    own, counter, other = bpe.ByteBpe(bpe.default_vocabulary()), token_count.WordBpe(token_count.default_vocabulary()), Tokenizer.from_file(token_count.default_vocabulary())
+    assert [x.tolist() for x in own.encode_many(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [counter.count(x) for x in texts] == [len(e.ids) for e in other.encode_batch(texts, add_special_tokens=False)]
