@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lathe.llm import common
 
 #: Words, and chunks between spaces, kept with their tokens in each worker; beyond that the later half, mostly rare ones, is forgotten.
-REMEMBERED, CHUNKS = 200_000, 2_400_000
+REMEMBERED, CHUNKS = 200_000, 1_200_000
 #: Words of at most so many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
