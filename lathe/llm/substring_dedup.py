@@ -35,7 +35,7 @@ from lathe.llm.shingles import mixed, word_hashes
 
 WINDOW, ROUNDS = 13, 2
 #: Words that are parsed at once, and rows that a task gathers before it settles and sends them.
-WORDS_AT_ONCE, ROWS_AT_ONCE = 500_000, 2_000_000
+WORDS_AT_ONCE, ROWS_AT_ONCE = 250_000, 1_000_000
 #: Positions, with some room for each document, up to which a table is broadcast (64 MB).
 BROADCAST_BYTES = 64 << 20
 _P, _Q, _MAX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(2**64 - 1)
