@@ -1,16 +1,15 @@
 """Document fingerprints by Order MinHash, in DataFrame functions alone.
 
-The items of a text are its word k-mers, each with its occurrence number (how often it stood in the text before). Items
-are ordered by a hash of the k-mer, then by occurrence number, and dealt into ``bins`` by the hash. In each bin the ``l``
-least are selected, put back in text order, and their k-mers hashed as a tuple. A moved or replaced passage changes not
+The items of a text are its word k-mers. For each of ``entries`` hash functions the ``l`` items of the whole text with the least
+hashes are selected, put back in text order, and their k-mers hashed as a tuple. A moved or replaced passage changes not
 only which k-mers there are but the order of those selected, so the signature follows edit distance, not just the set
-of k-mers. (One hash dealt into bins, as in one-permutation hashing, in place of a hash function for each entry: the
-text is gone through once.) Bins without items have no entry. Likeness is the share of bins with equal entries among
-those that have an entry on either side.
+of k-mers. Likeness is the share of equal entries.
 
-A k-mer's hash stands in the high bits of a long and its position in the low ones. Sorted, equal k-mers stand together
-in order of occurrence, bins follow each other, and the ``l`` least of a bin are the items with no item of the same bin
-``l`` places before.
+An item has a code of 63 bits; the hash functions are its remainders by primes near 2 ** 31, pairwise independent as
+the product of two is below 2 ** 63. Of a text, only items below a bound that some ``l + 8`` are expected to stay under
+are put in order; where fewer than ``l`` do, all are. So each entry costs one pass over the codes.
+
+``signed`` is the cheaper sketch that deals one hash into bins, without occurrence numbers; no query uses it.
 
 Defined cases: a null or empty text, or one of white space only, has no items and an empty signature; texts with fewer
 than k words have one item, all their words; two texts without items are alike (1.0), one with and one without unlike
@@ -19,12 +18,15 @@ than k words have one item, all their words; two texts without items are alike (
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.llm import common
 
 K, L, BINS, SEED = 2, 2, 32, 20260
+ENTRIES = BINS
 #: Low bits that hold the position: texts of up to 2 ** 26 words.
 _POSITION = 26
 _HIGH = -(1 << _POSITION)
@@ -59,6 +61,46 @@ def signed(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, bins:
     return df.withColumn(out, F.when(F.size(least) > 0, F.transform(heads, entry)).otherwise(none)).drop(words, items, least)
 
 
+def _primes(n: int) -> list[int]:
+    """The ``n`` largest primes below 2 ** 31."""
+    found, at = [], (1 << 31) - 1
+    while len(found) < n:
+        if all(at % d for d in range(3, math.isqrt(at) + 1, 2)):
+            found.append(at)
+        at -= 2
+    return found
+
+
+def ordered(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, entries: int = ENTRIES, seed: int = SEED) -> DataFrame:  # noqa: E741
+    """``df`` with ``out``, the signature: array<long> of ``entries`` entries, the number of each in its high bits; empty without items."""
+    bits = (entries - 1).bit_length()
+    if entries != 1 << bits or not 0 < bits <= 10:
+        raise ValueError("entries must be a power of two, from 2 to 2 ** 10")
+    words, kmers, codes, bound, near = (f"_{out}_{x}" for x in ("words", "kmers", "codes", "bound", "near"))
+    whole, primes = F.lit((1 << 63) - 1), _primes(entries)
+    text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WHITE))
+    df = df.withColumn(words, F.when(text != "", F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
+    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+    df = df.withColumn(kmers, F.transform(first, lambda x, i: F.xxhash64(F.lit(seed), x, *(F.get(words, i + j) for j in range(1, k))).bitwiseAND(whole))).drop(words)
+    df = df.withColumn(codes, F.col(kmers))
+    share = F.least(F.lit(1.0), F.lit(l + 8.0) / F.greatest(F.size(codes), F.lit(1)))
+    df = df.withColumn(bound, F.ceil(share * F.lit(2.0**31)).cast("long"))
+    below = lambda p: F.filter(codes, lambda x: x % F.lit(p).cast("long") < F.col(bound))
+    enough = lambda own: F.size(own) >= F.least(F.lit(l), F.size(codes))
+    df = df.withColumn(near, F.transform(F.array(*map(below, primes)), lambda own: F.when(enough(own), own).otherwise(F.col(codes))))
+    by = F.array(*(F.lit(p).cast("long") for p in primes))
+
+    def entry(own: Column, j: Column) -> Column:
+        # remainder, then place in ``own``: a long each
+        ranked = F.sort_array(F.transform(own, lambda x, i: F.shiftleft(x % F.get(by, j), 31).bitwiseOR(i.cast("long"))))
+        chosen = F.transform(F.slice(ranked, 1, l), lambda r: F.get(own, r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+        at = F.sort_array(F.transform(chosen, lambda x: (F.array_position(kmers, x) - 1).cast("int")))
+        tupled = F.aggregate(at, F.lit(seed + 1).cast("long"), lambda acc, i: F.xxhash64(acc, F.get(kmers, i)))
+        return F.shiftleft(j.cast("long"), 64 - bits).bitwiseOR(F.shiftrightunsigned(tupled, bits))
+
+    return df.withColumn(out, F.when(F.size(codes) > 0, F.transform(near, entry)).otherwise(F.array().cast("array<bigint>"))).drop(kmers, codes, bound, near)
+
+
 def fingerprint(signature: Column) -> Column:
     """The signature as text: 16 hex digits for each entry, joined by colons."""
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ":")
@@ -115,17 +157,17 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) ->
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **parameters: int) -> DataFrame:
     """(doc_id, signature, fingerprint) for each row."""
-    found = signed(common.texts(docs, id_col, text_col), "text", "signature", **parameters)
+    found = ordered(common.texts(docs, id_col, text_col), "text", "signature", **parameters)
     return found.select("doc_id", "signature", fingerprint(F.col("signature")).alias("fingerprint"))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = signed(common.texts(common.documents(spark, sf_dir)), "text", "signature")
+    docs = ordered(common.texts(common.documents(spark, sf_dir)), "text", "signature")
     paired = with_next(docs, ["text", "signature"])
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     paired = paired.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
-    paired = signed(paired.drop("next_text", "text"), "_edited", "edited_signature")
+    paired = ordered(paired.drop("next_text", "text"), "_edited", "edited_signature")
     return paired.select(
         "doc_id",
         "n_chars",
