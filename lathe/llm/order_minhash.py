@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash, in DataFrame functions alone.
 
-The items of a text are its word k-mers. For each of ``entries`` hash functions the ``l`` items of the whole text with the least
+The items of a text are its word k-mers, each with its occurrence number (how often it
+stood in the text before). For each of ``entries`` hash functions the ``l`` items of the whole text with the least
 hashes are selected, put back in text order, and their k-mers hashed as a tuple. A moved or replaced passage changes not
 only which k-mers there are but the order of those selected, so the signature follows edit distance, not just the set
 of k-mers. Likeness is the share of equal entries.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lathe.llm import common
 
-K, L, BINS, SEED = 2, 2, 32, 20260
+K, L, BINS, SEED = 3, 2, 32, 20260
 ENTRIES = BINS
 #: Low bits that hold the position: texts of up to 2 ** 26 words.
 _POSITION = 26
@@ -82,7 +83,21 @@ def ordered(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, entr
     df = df.withColumn(words, F.when(text != "", F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
     first = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
     df = df.withColumn(kmers, F.transform(first, lambda x, i: F.xxhash64(F.lit(seed), x, *(F.get(words, i + j) for j in range(1, k))).bitwiseAND(whole))).drop(words)
-    df = df.withColumn(codes, F.col(kmers))
+    # Sorted by k-mer, equal ones stand together: the first of each keeps the code of its k-mer, the others take their number in.
+    packed, again, heads, places = (f"_{out}_{x}" for x in ("packed", "again", "heads", "places"))
+    place = lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")
+    same = lambda a, b: a.bitwiseAND(F.lit(_HIGH)) == b.bitwiseAND(F.lit(_HIGH))
+    none = F.array().cast("array<bigint>")
+    repeats = F.size(F.array_distinct(kmers)) < F.size(kmers)
+    df = df.withColumn(packed, F.when(repeats, F.sort_array(F.transform(kmers, lambda x, i: F.shiftleft(x, 1).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long"))))).otherwise(none))
+    df = df.withColumn(again, F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1))))
+    numbers = F.when(F.size(again) > 0, F.sequence(F.lit(0), F.size(again) - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(heads, F.filter(numbers, lambda i: (i == 0) | ~same(F.get(again, i), F.get(again, i - 1))))
+    run = lambda i, j: F.slice(again, i + 1, F.coalesce(F.get(heads, j + 1), F.size(again)) - i)
+    later = F.flatten(F.transform(heads, lambda i, j: F.transform(run(i, j), lambda x, m: F.xxhash64(F.get(kmers, place(x)), m + 1).bitwiseAND(whole))))
+    once = F.filter(packed, lambda x, i: ~F.coalesce(same(x, F.get(packed, i - 1)), F.lit(False)))
+    df = df.withColumn(places, F.when(F.size(again) > 0, F.concat(F.transform(once, place), F.transform(again, place))))
+    df = df.withColumn(codes, F.when(F.size(again) > 0, F.concat(F.transform(F.slice(places, F.lit(1), F.size(places) - F.size(again)), lambda i: F.get(kmers, i)), later)).otherwise(F.col(kmers)))
     share = F.least(F.lit(1.0), F.lit(l + 8.0) / F.greatest(F.size(codes), F.lit(1)))
     df = df.withColumn(bound, F.ceil(share * F.lit(2.0**31)).cast("long"))
     below = lambda p: F.filter(codes, lambda x: x % F.lit(p).cast("long") < F.col(bound))
@@ -94,11 +109,11 @@ def ordered(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, entr
         # remainder, then place in ``own``: a long each
         ranked = F.sort_array(F.transform(own, lambda x, i: F.shiftleft(x % F.get(by, j), 31).bitwiseOR(i.cast("long"))))
         chosen = F.transform(F.slice(ranked, 1, l), lambda r: F.get(own, r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
-        at = F.sort_array(F.transform(chosen, lambda x: (F.array_position(kmers, x) - 1).cast("int")))
+        at = F.sort_array(F.transform(chosen, lambda x: F.coalesce(F.get(places, (F.array_position(codes, x) - 1).cast("int")), (F.array_position(codes, x) - 1).cast("int"))))
         tupled = F.aggregate(at, F.lit(seed + 1).cast("long"), lambda acc, i: F.xxhash64(acc, F.get(kmers, i)))
         return F.shiftleft(j.cast("long"), 64 - bits).bitwiseOR(F.shiftrightunsigned(tupled, bits))
 
-    return df.withColumn(out, F.when(F.size(codes) > 0, F.transform(near, entry)).otherwise(F.array().cast("array<bigint>"))).drop(kmers, codes, bound, near)
+    return df.withColumn(out, F.when(F.size(codes) > 0, F.transform(near, entry)).otherwise(F.array().cast("array<bigint>"))).drop(kmers, codes, bound, near, packed, again, heads, places)
 
 
 def fingerprint(signature: Column) -> Column:

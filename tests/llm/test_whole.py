@@ -20,3 +20,12 @@ def test_short_texts_keep_their_order(spark):
     # all but the k-mers at the seams are in both texts
     found = alike(spark, [(" ".join(x), " ".join(x[10:] + x[:10])) for x in texts])
     assert 0.1 < np.mean(found) < 0.6
+
+
+def test_repeated_passages_keep_their_order(spark):
+    rnd = random.Random(6)
+    pairs = []
+    for _ in range(20):
+        x, y = ([f"w{rnd.randrange(10**6)}" for _ in range(40)] for _ in range(2))
+        pairs.append((" ".join(x + x + y + y), " ".join(y + y + x + x)))
+    assert 0.2 < np.mean(alike(spark, pairs)) < 0.65
