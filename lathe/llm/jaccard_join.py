@@ -135,8 +135,9 @@ def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: fl
     return a[good], b[good]
 
 
-def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """A stored table (doc_id, class, n, sig, bands); n is the number of shingles, 0 without words."""
+def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, hashed: bool = False) -> DataFrame:
+    """A stored table (doc_id, class, n, sig, bands); n is the number of shingles, 0 without words. ``hashed`` adds text_hash."""
+    more = ["text_hash"] if hashed else []
 
     def run(batches):
         minhash = MinHash(HASHES, ROWS)
@@ -153,9 +154,11 @@ def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 else:
                     rows.append((None, 0, None, None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True))], names=["doc_id", "class", "n", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)), *map(b.column, more)], names=["doc_id", "class", "n", "sig", "bands", *more])
 
-    return common.stored(common.in_batches(common.texts(docs, id_col, text_col), run, "doc_id long, class long, n int, sig binary, bands array<long>"), "signatures")
+    docs = common.texts(docs, id_col, text_col)
+    docs = docs.withColumn("text_hash", F.xxhash64("text")) if hashed else docs
+    return common.stored(common.in_batches(docs, run, "doc_id long, class long, n int, sig binary, bands array<long>" + ", text_hash long" * hashed), "signatures")
 
 
 def _blocked(df: DataFrame, group: str, blocks: str, member: str) -> DataFrame:
@@ -285,10 +288,11 @@ def links(docs: DataFrame, classes: DataFrame, family: DataFrame, words: int = W
     return common.stored(_grouped(_blocked(own, "family", "blocks", "class"), ["class", "copies", "sig", "shingles"], work, "class long, other long, n_links long"), "links")
 
 
-def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for each row of ``docs``."""
+def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashed: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) for each row of ``docs``; ``hashed`` adds text_hash, the xxhash64 of its text."""
     docs = common.texts(docs, id_col, text_col)
-    signed = signatures(docs, words=words)
+    signed = signatures(docs, words=words, hashed=hashed)
+    more = ["text_hash"] if hashed else []
     known = signed.where("doc_id is not null and n > 0")
     classes = common.stored(known.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     found = links(docs, classes, families(classes, threshold, tolerance), words, threshold, tolerance)
@@ -299,19 +303,21 @@ def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wor
     count = found.groupBy("class").agg(F.sum("n_links").alias("links"))
     facts = ids.join(root.join(least, "root").select("class", "least"), "class", "left").join(count, "class", "left")
     facts = facts.select("class", F.coalesce("least", "doc_id").alias("_least"), F.coalesce("links", F.lit(0)).alias("_links"), "copies")
-    out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(facts, "class", "left")
-    return out.select("doc_id", F.coalesce("_least", "doc_id").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"), *more).join(facts, "class", "left")
+    return out.select("doc_id", F.coalesce("_least", "doc_id").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *more)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, without documents whose class has one with a lesser id.
 
-    Rows with a null id stay. Of rows that repeat an id and its text one stays.
+    Rows with a null id stay. Of rows that repeat an id and its text one stays; of rows that repeat an id with unlike texts,
+    each stays or goes by its own text.
     """
-    found = common.stored(similar(docs), "similar")
-    gone = found.where("doc_id is not null and class_id < doc_id").select("doc_id").distinct()
+    found = common.stored(similar(docs, hashed=True), "similar")
+    gone = found.where("doc_id is not null and class_id < doc_id").select(F.col("doc_id").alias("__lathe_id"), F.col("text_hash").alias("__lathe_hash")).distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    same = (F.col("doc_id").cast("long") == F.col("__lathe_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__lathe_hash"))
+    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
     n, ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
         return kept

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lathe.llm import order_minhash
+from lathe.llm import jaccard_join, order_minhash
 
 
 def alike(spark, pairs):
@@ -29,3 +29,10 @@ def test_repeated_passages_keep_their_order(spark):
         x, y = ([f"w{rnd.randrange(10**6)}" for _ in range(40)] for _ in range(2))
         pairs.append((" ".join(x + x + y + y), " ".join(y + y + x + x)))
     assert 0.2 < np.mean(alike(spark, pairs)) < 0.65
+
+
+def test_repeated_id_keeps_its_unlike_text(spark):
+    rnd = random.Random(7)
+    x, y = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, x), (2, x + " more"), (2, y), (3, y + " more")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.keep_one(docs).collect())) == [(1, x), (2, y)]
