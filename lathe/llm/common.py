@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch. Texts are long and uneven, so batches are small.
+#: Rows that are worked on at once. Spark's batches are larger (by its own settings, of records and bytes, which stay as they are).
 BATCH_ROWS = 400
 
 
@@ -25,9 +26,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a folder of this machine only where none is named (tests)."""
+    """The folder that the cluster names for checkpoints; in local mode (tests) a folder of this machine where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="lathe-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,10 +46,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` on slices of so many rows: the bound goes along with the plan, whatever the session's settings are when it runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def passing(docs: DataFrame, work: Callable[[list[str]], list[list]], text_col: str, added: list[tuple[str, pa.DataType, T.DataType]]) -> DataFrame:

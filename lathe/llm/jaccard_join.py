@@ -202,8 +202,7 @@ def _grouped(df: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
         if sum(x.num_rows for x in held):
             yield from done(pa.Table.from_batches([x for x in held if x.num_rows]))
 
-    ordered.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    return ordered.mapInArrow(run, schema)
+    return common.in_batches(ordered, run, schema)
 
 
 def _first_of(table: pa.Table, x: int, y: int) -> np.ndarray | None:

@@ -6,11 +6,12 @@ hashes are selected, put back in text order, and their k-mers hashed as a tuple.
 only which k-mers there are but the order of those selected, so the signature follows edit distance, not just the set
 of k-mers. Likeness is the share of equal entries.
 
-An item has a code of 63 bits; the hash functions are its remainders by primes near 2 ** 31, pairwise independent as
-the product of two is below 2 ** 63. Of a text, only items below a bound that some ``l + 8`` are expected to stay under
-are put in order; where fewer than ``l`` do, all are. So each entry costs one pass over the codes.
-
-``signed`` is the cheaper sketch that deals one hash into bins, without occurrence numbers; no query uses it.
+The hash functions are offsets of ``hashes`` independent ones: with H of 63 bits and c one of ``entries / hashes``
+points at even distances, an item's hash is (H - c) mod 2 ** 63. Each of them alone is a uniform hash of all items, so
+that an entry is equal with the probability that Order MinHash gives it. Sorted once by H, the least items from any
+point on are those that follow it; two functions of one H are independent but for points with less than ``l`` items in between.
+In the sorted array an item is its hash, then its place in the low bits, as many as the text's own number of items needs:
+54 bits are left of a hash for texts of 500 words, and 42 for a text of two million; no text is too long.
 
 Defined cases: a null or empty text, or one of white space only, has no items and an empty signature; texts with fewer
 than k words have one item, all their words; two texts without items are alike (1.0), one with and one without unlike
@@ -19,101 +20,75 @@ than k words have one item, all their words; two texts without items are alike (
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.llm import common
 
-K, L, BINS, SEED = 3, 2, 32, 20260
-ENTRIES = BINS
-#: Low bits that hold the position: texts of up to 2 ** 26 words.
-_POSITION = 26
-_HIGH = -(1 << _POSITION)
-_LOW = (1 << _POSITION) - 1
+K, L, SEED = 3, 2, 20260
+ENTRIES, HASHES = 32, 4
+_MAX = (1 << 63) - 1
 _WHITE = " \t\n\x0b\f\r"
 
 
-def signed(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, bins: int = BINS, seed: int = SEED) -> DataFrame:  # noqa: E741
-    """``df`` with ``out``, the signature: array<long> with an entry for each bin that has items, its bin in the high bits."""
-    bits = (bins - 1).bit_length()
-    if bins != 1 << bits or not 0 < bits <= 20:
-        raise ValueError("bins must be a power of two, from 2 to 2 ** 20")
-    words, items, least = f"_{out}_words", f"_{out}_items", f"_{out}_least"
-    none = F.array().cast("array<bigint>")
-    text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WHITE))
-    df = df.withColumn(words, F.when(text != "", F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
-    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    item = lambda x, i: F.xxhash64(F.lit(seed), x, *(F.get(words, i + j) for j in range(1, k))).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long"))
-    df = df.withColumn(items, F.sort_array(F.transform(first, item)))
-    bin_of = lambda x: F.shiftright(x, 64 - bits)
-    df = df.withColumn(least, F.filter(items, lambda x, i: (i < l) | (bin_of(F.get(items, i - l)) != bin_of(x))))
-    # a long each for the selected of a bin, position first
-    turned = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 64 - _POSITION - 1).bitwiseOR(F.shiftrightunsigned(x, _POSITION + 1))
-    heads = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (bin_of(F.get(least, i)) != bin_of(F.get(least, i - 1))))
-
-    def entry(i: Column) -> Column:
-        head = F.get(least, i)
-        own = F.sort_array(F.transform(F.filter(F.slice(least, i + 1, F.lit(l)), lambda x: bin_of(x) == bin_of(head)), turned))
-        tupled = F.aggregate(own, F.lit(seed + 1).cast("long"), lambda acc, x: F.xxhash64(acc, x.bitwiseAND(F.lit((1 << (63 - _POSITION)) - 1))))
-        return head.bitwiseAND(F.lit(-(1 << (64 - bits)))).bitwiseOR(F.shiftrightunsigned(tupled, bits))
-
-    return df.withColumn(out, F.when(F.size(least) > 0, F.transform(heads, entry)).otherwise(none)).drop(words, items, least)
-
-
-def _primes(n: int) -> list[int]:
-    """The ``n`` largest primes below 2 ** 31."""
-    found, at = [], (1 << 31) - 1
-    while len(found) < n:
-        if all(at % d for d in range(3, math.isqrt(at) + 1, 2)):
-            found.append(at)
-        at -= 2
-    return found
-
-
-def ordered(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, entries: int = ENTRIES, seed: int = SEED) -> DataFrame:  # noqa: E741
+def ordered(df: DataFrame, text_col: str, out: str, k: int = K, l: int = L, entries: int = ENTRIES, hashes: int = HASHES, seed: int = SEED) -> DataFrame:  # noqa: E741
     """``df`` with ``out``, the signature: array<long> of ``entries`` entries, the number of each in its high bits; empty without items."""
     bits = (entries - 1).bit_length()
-    if entries != 1 << bits or not 0 < bits <= 10:
-        raise ValueError("entries must be a power of two, from 2 to 2 ** 10")
-    words, kmers, codes, bound, near = (f"_{out}_{x}" for x in ("words", "kmers", "codes", "bound", "near"))
-    whole, primes = F.lit((1 << 63) - 1), _primes(entries)
+    if entries != 1 << bits or not 0 < bits <= 10 or hashes < 1 or entries % hashes:
+        raise ValueError("entries must be a power of two, from 2 to 2 ** 10, and a multiple of hashes")
+    words, kmers, low, high, packed, again, heads, codes, places, halves, *own = (f"_{out}_{x}" for x in ("words", "kmers", "low", "high", "packed", "again", "heads", "codes", "places", "halves", *range(hashes)))
+    whole = F.lit(_MAX)
+    none, empty = F.array().cast("array<bigint>"), F.array().cast("array<int>")
+    place = lambda x: x.bitwiseAND(F.col(low)).cast("int")
+    ranked = lambda hash_, i: hash_.bitwiseAND(F.col(high)).bitwiseOR(i)
     text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WHITE))
     df = df.withColumn(words, F.when(text != "", F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
     first = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
     df = df.withColumn(kmers, F.transform(first, lambda x, i: F.xxhash64(F.lit(seed), x, *(F.get(words, i + j) for j in range(1, k))).bitwiseAND(whole))).drop(words)
-    # Sorted by k-mer, equal ones stand together: the first of each keeps the code of its k-mer, the others take their number in.
-    packed, again, heads, places = (f"_{out}_{x}" for x in ("packed", "again", "heads", "places"))
-    place = lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")
-    same = lambda a, b: a.bitwiseAND(F.lit(_HIGH)) == b.bitwiseAND(F.lit(_HIGH))
-    none = F.array().cast("array<bigint>")
+    wide = F.length(F.bin(F.size(kmers).cast("long")))
+    df = df.withColumn(low, F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1).withColumn(high, whole - F.col(low))
+    # Of texts that repeat k-mers: sorted by k-mer, then place, equal ones stand together. The first keeps the k-mer's code, the others take their number in.
     repeats = F.size(F.array_distinct(kmers)) < F.size(kmers)
-    df = df.withColumn(packed, F.when(repeats, F.sort_array(F.transform(kmers, lambda x, i: F.shiftleft(x, 1).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long"))))).otherwise(none))
+    df = df.withColumn(packed, F.when(repeats, F.sort_array(F.transform(kmers, ranked))).otherwise(none))
+    same = lambda a, b: a.bitwiseXOR(b) <= F.col(low)
     df = df.withColumn(again, F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1))))
-    numbers = F.when(F.size(again) > 0, F.sequence(F.lit(0), F.size(again) - 1)).otherwise(F.array().cast("array<int>"))
+    numbers = F.when(F.size(again) > 0, F.sequence(F.lit(0), F.size(again) - 1)).otherwise(empty)
     df = df.withColumn(heads, F.filter(numbers, lambda i: (i == 0) | ~same(F.get(again, i), F.get(again, i - 1))))
     run = lambda i, j: F.slice(again, i + 1, F.coalesce(F.get(heads, j + 1), F.size(again)) - i)
-    later = F.flatten(F.transform(heads, lambda i, j: F.transform(run(i, j), lambda x, m: F.xxhash64(F.get(kmers, place(x)), m + 1).bitwiseAND(whole))))
-    once = F.filter(packed, lambda x, i: ~F.coalesce(same(x, F.get(packed, i - 1)), F.lit(False)))
-    df = df.withColumn(places, F.when(F.size(again) > 0, F.concat(F.transform(once, place), F.transform(again, place))))
-    df = df.withColumn(codes, F.when(F.size(again) > 0, F.concat(F.transform(F.slice(places, F.lit(1), F.size(places) - F.size(again)), lambda i: F.get(kmers, i)), later)).otherwise(F.col(kmers)))
-    share = F.least(F.lit(1.0), F.lit(l + 8.0) / F.greatest(F.size(codes), F.lit(1)))
-    df = df.withColumn(bound, F.ceil(share * F.lit(2.0**31)).cast("long"))
-    below = lambda p: F.filter(codes, lambda x: x % F.lit(p).cast("long") < F.col(bound))
-    enough = lambda own: F.size(own) >= F.least(F.lit(l), F.size(codes))
-    df = df.withColumn(near, F.transform(F.array(*map(below, primes)), lambda own: F.when(enough(own), own).otherwise(F.col(codes))))
-    by = F.array(*(F.lit(p).cast("long") for p in primes))
-
-    def entry(own: Column, j: Column) -> Column:
-        # remainder, then place in ``own``: a long each
-        ranked = F.sort_array(F.transform(own, lambda x, i: F.shiftleft(x % F.get(by, j), 31).bitwiseOR(i.cast("long"))))
-        chosen = F.transform(F.slice(ranked, 1, l), lambda r: F.get(own, r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
-        at = F.sort_array(F.transform(chosen, lambda x: F.coalesce(F.get(places, (F.array_position(codes, x) - 1).cast("int")), (F.array_position(codes, x) - 1).cast("int"))))
-        tupled = F.aggregate(at, F.lit(seed + 1).cast("long"), lambda acc, i: F.xxhash64(acc, F.get(kmers, i)))
-        return F.shiftleft(j.cast("long"), 64 - bits).bitwiseOR(F.shiftrightunsigned(tupled, bits))
-
-    return df.withColumn(out, F.when(F.size(codes) > 0, F.transform(near, entry)).otherwise(F.array().cast("array<bigint>"))).drop(kmers, codes, bound, near, packed, again, heads, places)
+    counted = F.flatten(F.transform(heads, lambda i, j: F.transform(run(i, j), lambda x, m: F.xxhash64(F.get(kmers, place(x)), m + 1).bitwiseAND(whole))))
+    df = df.withColumn(places, F.when(F.size(again) > 0, F.transform(F.concat(F.array_except(packed, again), again), place)))
+    once = F.transform(F.slice(places, F.lit(1), F.size(places) - F.size(again)), lambda i: F.get(kmers, i))
+    df = df.withColumn(codes, F.when(F.size(again) > 0, F.concat(once, counted)).otherwise(F.col(kmers))).drop(packed, again, heads)
+    df = df.withColumn(halves, F.transform(F.sequence(F.length(F.bin(F.size(codes).cast("long"))) - 1, F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b)))
+    df = df.withColumns({name: F.sort_array(_by_hash(codes, ranked, h)) for h, name in enumerate(own)})
+    found = [_entries(name, h * (entries // hashes), entries // hashes, bits, codes, kmers, places, halves, place, l, seed) for h, name in enumerate(own)]
+    return df.withColumn(out, F.when(F.size(codes) > 0, F.concat(*found)).otherwise(none)).drop(kmers, low, high, codes, places, halves, *own)
+
+
+def _by_hash(codes: str, ranked: Callable, h: int) -> Column:
+    return F.transform(codes, lambda x, i: ranked(F.xxhash64(x, F.lit(h)), i))
+
+
+def _entries(own: str, number: int, each: int, bits: int, codes: str, kmers: str, places: str, halves: str, place: Callable, l: int, seed: int) -> Column:  # noqa: E741
+    """The entries of the ``each`` offsets of a hash, numbered from ``number`` on; ``own``: the items sorted by it."""
+    n = F.size(codes)
+    step = (1 << 63) // each
+
+    def entry(r: Column) -> Column:
+        point = r * F.lit(step) + F.lit(step // 2)
+        # how many items are below the point: by halving
+        at = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(own, at + half - 1) < point, at + half).otherwise(at))
+        spots = F.transform(F.sequence(at, at + F.least(F.lit(l), n) - 1), lambda i: _placed(places, place(F.get(own, i % n))))
+        tupled = F.aggregate(F.sort_array(spots), F.lit(seed + 1).cast("long"), lambda acc, x: F.xxhash64(acc, F.get(kmers, x)))
+        return F.shiftleft(r.cast("long") + number, 64 - bits).bitwiseOR(F.shiftrightunsigned(tupled, bits))
+
+    return F.transform(F.array(*(F.lit(r).cast("long") for r in range(each))), entry)
+
+
+def _placed(places: str, i: Column) -> Column:
+    return F.coalesce(F.get(places, i), i)
 
 
 def fingerprint(signature: Column) -> Column:
@@ -121,9 +96,9 @@ def fingerprint(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ":")
 
 
-def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
-    bin_of = lambda x: F.shiftright(x, 64 - (bins - 1).bit_length())
-    some = F.size(F.array_union(F.transform(a, bin_of), F.transform(b, bin_of)))
+def likeness(a: Column, b: Column) -> Column:
+    """The share of equal entries."""
+    some = F.greatest(F.size(a), F.size(b))
     return F.when(some == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / some)
 
 
@@ -145,26 +120,32 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(known, at + step - 1) <= key), at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``next_<column>`` of the row with the next id, after the last of the first.
+#: Bytes of text in a range.
+RANGE_BYTES = 16 << 20
+
+
+def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``work(docs)`` (doc_id, text, ...) with ``next_<column>`` of the row with the next id, after the last of the first.
 
-    Ids are cut into ranges of like size, each sorted by itself. The least row of a range is also sent to the end of the
-    range before it, so that nothing has to be looked up elsewhere: the rows are shuffled once. Rows of one id follow
-    each other by text. Per range one key reaches the driver.
+    Ids are cut into ranges of like size, as many as the texts' bytes need, each a task of its own and sorted by itself. The
+    least row of a range is also sent to the end of the range before it, so that nothing has to be looked up elsewhere: the
+    rows are shuffled once, before ``work``, which adds columns row by row. Rows of one id follow each other by text. Per
+    range one key reaches the driver.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     cuts, low = _ranges(docs, ranges)
-    if not low:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     keyed = docs.withColumn("_key", key).withColumn("_range", _range_of(F.col("_key"), cuts))
-    before = dict(zip(low, [low[-1], *low[:-1]], strict=True))
+    before = dict(zip(low, [low[-1], *low[:-1]], strict=True)) if low else {}
     # the range before is found by its least key
     table = F.from_json(F.lit(str({str(k): v for k, v in before.items()}).replace("'", '"')), "map<string, bigint>")
-    earlier = F.when(F.col("_key").isin(low) if len(low) < 200 else F.map_contains_key(table, F.col("_key").cast("string")), _range_of(F.try_element_at(table, F.col("_key").cast("string")), cuts))
+    earlier = F.when(F.map_contains_key(table, F.col("_key").cast("string")), _range_of(F.try_element_at(table, F.col("_key").cast("string")), cuts))
     own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
     guest = F.struct(earlier.alias("range"), F.lit(1).alias("guest"))
     placed = keyed.withColumn("_at", F.explode(F.array_compact(F.array(own, F.when(earlier.isNotNull(), guest))))).select("*", F.col("_at.range").alias("_place"), F.col("_at.guest").alias("_guest")).drop("_at", "_range")
+    placed = work(placed.repartitionByRange(max(1, len(low)), "_place").sortWithinPartitions("_place", "_guest", "_key", "text"))
     order = Window.partitionBy("_place").orderBy("_guest", "_key", "text")
     led = placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return led.where("_guest = 0").drop("_key", "_place", "_guest")
@@ -177,8 +158,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ordered(common.texts(common.documents(spark, sf_dir)), "text", "signature")
-    paired = with_next(docs, ["text", "signature"])
+    paired = with_next(common.texts(common.documents(spark, sf_dir)), ["text", "signature"], work=lambda df: ordered(df, "text", "signature"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     paired = paired.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))

@@ -295,8 +295,7 @@ def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["first_id", "part", "doc_id", "inner", "n_tokens", "ids_crc32", *(["ids"] * ids)])
 
     # a row is a file of some MB
-    shards.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = shards.select("first_id", "part", "file").mapInArrow(run, schema)
+    found = common.in_batches(shards.select("first_id", "part", "file"), run, schema, rows=1)
     starts = numbered(shards).select(F.col("first_id").alias("_first"), F.col("part").alias("_part"), F.col("start").alias("_start"))
     joined = found.join(starts, found["first_id"].eqNullSafe(starts["_first"]) & (found["part"] == starts["_part"]))
     return joined.select("doc_id", (F.col("_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * ids))

@@ -5,8 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from lathe.llm import common, components, cotrain, jaccard_join, mixing, order_minhash, registry, substring_dedup
@@ -200,37 +202,52 @@ def test_mix_comes_near_its_targets(spark):
 # --- Order MinHash
 
 
-def plain_signature(spark, text, k=order_minhash.K, l=order_minhash.L, bins=order_minhash.BINS):  # noqa: E741
-    """Items, bins and tuples in Python; only the hashes are Spark's."""
+def spark_hash(*values):
+    """Spark's xxhash64: ints of four bytes, ("long", x) of eight, strings; nulls are left out."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v[1].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.encode() if isinstance(v, str) else v.to_bytes(4, "little")
+            seed = xxh64_intdigest(data, seed)
+    return seed
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def plain_signature(text, k=order_minhash.K, l=order_minhash.L, entries=order_minhash.ENTRIES, hashes=order_minhash.HASHES, seed=order_minhash.SEED):  # noqa: E741
+    """Of the pairs (k-mer, occurrence), for each hash function the l least, in text order."""
     words = [w.decode() for w in text.encode().split()]
     grams = [words[i : i + k] for i in range(max(1, len(words) - k + 1))] if words else []
-    if not grams:
-        return []
-    df = spark.createDataFrame([(i, *(g + [None] * (k - len(g)))) for i, g in enumerate(grams)], "i int, " + ", ".join(f"w{j} string" for j in range(k)))
-    hashes = [r[0] for r in df.orderBy("i").select(F.xxhash64(F.lit(order_minhash.SEED), *(f"w{j}" for j in range(k)))).collect()]
-    bits, chosen, seen = bins.bit_length() - 1, defaultdict(list), Counter()
-    items = []
-    for i, h in enumerate(hashes):
-        high = h >> 26
-        items.append((high, seen[high], i))
-        seen[high] += 1
-    for high, _, i in sorted(items):
-        own = chosen[high >> (38 - bits)]
-        if len(own) < l:
-            own.append((i, high))
-    return [(b, [h >> 1 & (2**37 - 1) for _, h in sorted(own)]) for b, own in sorted(chosen.items())]
+    kmers = [spark_hash(seed, *g, *[None] * (k - len(g))) % 2**63 for g in grams]
+    seen, codes = Counter(), []
+    for x in kmers:
+        codes.append(spark_hash(("long", x), seen[x]) % 2**63 if seen[x] else x)
+        seen[x] += 1
+    out, each = [], entries // hashes
+    for e in range(entries if grams else 0):
+        h, r = divmod(e, each)
+        point = 2**63 // each * r + 2**63 // each // 2
+        least = sorted(range(len(codes)), key=lambda i: (spark_hash(("long", codes[i]), h) - point) % 2**63)[:l]
+        acc = seed + 1
+        for i in sorted(least):
+            acc = signed(spark_hash(("long", acc), ("long", kmers[i])))
+        out.append(signed(e << 59 | acc % 2**64 >> 5))
+    return out
+
+
+def plain_likeness(a, b):
+    return len(set(a) & set(b)) / max(len(a), len(b)) if a or b else 1.0
 
 
 def test_signature_entries(spark):
     rnd = random.Random(3)
-    texts = ["", "one", "a b", " ".join(rnd.choice("abcde") for _ in range(200)), " ".join(f"w{rnd.randrange(500)}" for _ in range(400)), "und " * 300]
+    texts = ["", "one", "a b", "a b c d", " ".join(rnd.choice("abc") for _ in range(200)), " ".join(f"w{rnd.randrange(500)}" for _ in range(400)), "und " * 300, "x y z " * 40 + "end"]
+    texts += [" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 90))) for _ in range(40)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for r in order_minhash.signed(df, "text", "s").collect():
-        want = plain_signature(spark, r["text"])
-        assert [x >> 59 for x in r["s"]] == [b for b, _ in want]
-        if want:
-            flat = spark.createDataFrame([(b, t) for b, t in want], "b long, t array<long>").withColumn("h", F.aggregate("t", F.lit(order_minhash.SEED + 1).cast("long"), lambda a, x: F.xxhash64(a, x)))
-            assert [x & (2**59 - 1) for x in r["s"]] == [y["h"] >> 5 & (2**59 - 1) for y in flat.orderBy("b").collect()]
+    for r in order_minhash.ordered(df, "text", "s").collect():
+        assert r["s"] == plain_signature(r["text"]), r["text"]
 
 
 def test_order_counts(spark):
@@ -240,30 +257,46 @@ def test_order_counts(spark):
     mixed = list(words)
     rnd.shuffle(mixed)
     rows = [(" ".join(words), " ".join(words)), (" ".join(words), " ".join(turned)), (" ".join(words), " ".join(mixed)), ("", ""), ("", "a")]
-    df = order_minhash.signed(order_minhash.signed(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+    df = order_minhash.ordered(order_minhash.ordered(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
     same, moved, shuffled, none, one = [r[0] for r in df.select(order_minhash.likeness(F.col("x"), F.col("y"))).collect()]
     assert same == 1 and shuffled < moved < 1 and none == 1 and one == 0
 
 
+def test_offsets_estimate_like_independent_hashes():
+    """The mean over many texts is what 32 hashes of their own give; the spread on short texts is wider."""
+    rnd = random.Random(9)
+    few, many = [], []
+    for _ in range(60):
+        x = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice((12, 40, 120)))]
+        y = x[: len(x) * 3 // 4] + [f"w{rnd.randrange(10**6)}" for _ in range(len(x) // 4)]
+        for hashes, found in ((order_minhash.HASHES, few), (order_minhash.ENTRIES, many)):
+            found.append(plain_likeness(plain_signature(" ".join(x), hashes=hashes), plain_signature(" ".join(y), hashes=hashes)))
+    assert abs(np.mean(few) - np.mean(many)) < 0.04 and np.std(few) < 1.6 * np.std(many)
+
+
 def test_next_documents(spark, odd, empty):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    for n in (1, 3, 50):
+    for n in (1, 3, 50, None):
         got = order_minhash.with_next(common.texts(odd), ["text"], ranges=n).collect()
         assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in got) == Counter((d, x, rows[(i + 1) % len(rows)][1]) for i, (d, x) in enumerate(rows))
     assert order_minhash.with_next(common.texts(empty), ["text"]).count() == 0
 
 
 def test_op9_query(spark, sf_dir, docs):
+    """Every column is what brute force gives."""
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     got = {r["doc_id"]: r for r in order_minhash.op9_order_minhash(spark, sf_dir).collect()}
-    prints = defaultdict(set)
+    assert len(got) == len(rows)
+    signatures = [plain_signature(x) for _, x in rows]
+    shown = lambda s: ":".join(f"{x % 2**64:016x}" for x in s)
     for i, (d, x) in enumerate(rows):
-        y, c = rows[(i + 1) % len(rows)][1], len(x) // 4
-        edited = x[: len(x) - c] + y[:c]
-        assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
-        prints[x].add(got[d]["fingerprint"])
-    assert all(len(p) == 1 for p in prints.values())
-    assert np.mean([r["near_edited"] for r in got.values()]) > 0.25 > 0.1 > np.mean([r["near_next"] for r in got.values()])
+        j = (i + 1) % len(rows)
+        c = len(x) // 4
+        edited = x[: len(x) - c] + rows[j][1][:c]
+        own, s = got[d], plain_signature(edited)
+        assert (own["n_chars"], own["edited_sha256"]) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
+        assert (own["fingerprint"], own["edited_fingerprint"]) == (shown(signatures[i]), shown(s))
+        assert (own["near_edited"], own["near_next"]) == (plain_likeness(signatures[i], s), plain_likeness(signatures[i], signatures[j]))
 
 
 # --- classifier and pipeline
@@ -313,6 +346,37 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()))
 
 
+def test_batches_are_bounded_by_the_plan(spark, monkeypatch):
+    """Operators leave the session's settings alone, and a plan keeps its bound whatever else was planned after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    one = common.in_batches(spark.range(2000), sizes, "n long", rows=1)
+    other = common.in_batches(spark.range(2000), sizes, "n long")
+    assert max(r[0] for r in other.collect()) == common.BATCH_ROWS and max(r[0] for r in one.collect()) == 1
+    assert spark.conf.get(key) == before
+
+
+def test_clusters_need_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_prefix_sums(spark):
     rnd = random.Random(1)
     rows = [(k, rnd.randrange(100)) for k in rnd.sample(range(-1000, 10_000), 300)]
