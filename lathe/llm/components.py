@@ -17,17 +17,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) from (a, b): the least node of each component, for every node that has an edge to another.
 
     Each round links the larger neighbours of a node, then the smaller ones, to the least of them, until every edge leads
-    to a root. Nodes with many edges are joined with one row each, so Spark can split them. Each round is stored.
+    to a root. Nodes with many edges are joined with one row each: these least neighbours are stored before they are
+    joined, so that either side of a join comes from an exchange of its own and Spark can split a hub. Each round is stored.
     """
     edges = common.stored(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), name)
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # larger neighbours of each node to the least of all its neighbours
-        large = both.where("b > a").join(_least(both, "all"), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(common.stored(_least(both, "all"), name), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         # smaller neighbours, and the node, to the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = _least(down, "smaller")
+        down = common.stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+        least = common.stored(_least(down, "smaller"), name)
         small = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b"))).distinct()
         edges = common.stored(small, name)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -2,12 +2,13 @@
 
 1. Each document becomes its set of word shingles, MinHash values of it and band hashes (``signatures``). Documents with
    equal sets form a class; classes are joined, copies are counted.
-2. Classes that share a band hash are candidates. Within a bucket their MinHash values (a byte each) are compared step by
-   step; a pair goes as soon as the posterior probability that its Jaccard reaches the threshold, given the matches so
-   far, falls below the tolerance. Survivors connect classes to families.
-3. Within each family pairs are pruned in the same way and then verified exactly on the shingles, each pair once.
+2. Classes that share a band hash are candidates. A pair belongs to the first band that it shares, so it is compared
+   once. There the MinHash values (a byte each) are compared step by step; a pair goes as soon as the posterior
+   probability that its Jaccard reaches the threshold, given the matches so far, falls below the tolerance.
+3. Classes with pairs that are left go on to the same buckets with their shingles, where these pairs, and no others, are
+   verified exactly. Connected components are taken of verified links alone.
 
-Large buckets and families are cut into blocks by hash; each pair of blocks is a group of bounded size and its own task's
+Large buckets are cut into blocks by hash; each pair of blocks is a group of bounded size and its own task's
 work. No pairs are emitted: a group gives counts of links and a forest of them for each of its members, so that results
 grow with documents also where a group of near copies is large. Two classes with a Jaccard of 0.8 share none of the 32
 bands of 4 values with probability 4e-8; the tolerance is 1e-9.
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -40,8 +41,8 @@ HASHES, ROWS = 128, 4
 STEP = 16
 #: Most members, and most shingles, of a block.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
-#: Up to so many ids are broadcast (16 MB); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many pairs of ids and hashes, 16 bytes each, are broadcast (8 MB, some 40 in the JVM's table); more are joined by shuffle.
+BROADCAST_IDS = 500_000
 _BITS = 1 << 15
 
 
@@ -210,81 +211,103 @@ def _first_of(table: pa.Table, x: int, y: int) -> np.ndarray | None:
     return None if side.null_count else np.array(side.to_pylist(), dtype=bool)
 
 
-def families(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(node, root): candidate classes, and the family of each, from (class, sig, bands)."""
-    keys = classes.select("class", F.posexplode("bands").alias("_band", "_hash")).select("class", F.xxhash64("_band", "_hash").alias("bucket"))
-    full = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = keys.join(full, "bucket").join(classes.select("class", "sig"), "class")
-    blocked = _blocked(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "bucket", "blocks", "class")
+def owned(a: np.ndarray, b: np.ndarray, bands: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that share no band before the one they meet in, ``band`` of row ``a``."""
+    for k in range(int(band.max(initial=0))):
+        if not len(a):
+            break
+        left = (bands[a, k] != bands[b, k]) | (band[a] <= k)
+        a, b = a[left], b[left]
+    return a, b
+
+
+class _Group:
+    """Columns of a table of groups as arrays, and their pairs that are left after pruning."""
+
+    def __init__(self, table: pa.Table, threshold: float, tolerance: float):
+        self.table, n = table, table.num_rows
+        self.least = least_matches(threshold, tolerance, HASHES, STEP)
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(n, HASHES)
+        self.bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), dtype=np.int64).reshape(n, HASHES // ROWS)
+        self.band = table.column("band").to_numpy()
+
+    def left(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return survivors(*owned(a, b, self.bands, self.band), self.sig, self.least)
+
+    def pairs(self, x: int, y: int):
+        """Of the group in rows ``x`` to ``y``, in portions."""
+        for a, b in pairs_of(y - x, _first_of(self.table, x, y)):
+            yield self.left(a + x, b + x)
+
+
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """A stored table (_key, _first, class, band): classes with pairs that pruning leaves, by the group in which these are; from (class, n, sig, bands)."""
+    keys = classes.select("class", "n", F.posexplode("bands").alias("band", "_hash")).select("class", "n", "band", F.xxhash64("band", "_hash").alias("bucket"))
+    full = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    full = full.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = keys.drop("n").join(full, "bucket").join(classes.select("class", "sig", packed_bands()), "class")
 
     def work(table, cuts):
-        least = least_matches(threshold, tolerance, HASHES, STEP)
-        ids = table.column("class").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), HASHES)
-        a_all, b_all = [], []
-        small: list[tuple[int, int]] = []
+        group = _Group(table, threshold, tolerance)
+        some = np.zeros(table.num_rows, dtype=bool)
+        small: list[int] = []
         for x, y in zip(cuts, cuts[1:], strict=False):
             if y - x == 2 and table.column("_first")[x].as_py() is None:
-                small.append((x, x + 1))
+                small.append(x)
                 continue
-            for a, b in pairs_of(y - x, _first_of(table, x, y)):
-                a, b = survivors(a + x, b + x, sig, least)
-                a_all.append(a)
-                b_all.append(b)
+            for a, b in group.pairs(x, y):
+                some[a] = some[b] = True
         if small:
-            a, b = survivors(*np.array(small).T, sig, least)
-            a_all.append(a)
-            b_all.append(b)
-        root = forest(len(ids), list(zip(a_all, b_all, strict=True)))
-        some = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(ids[root[some]], pa.int64())], names=["a", "b"])
+            a, b = group.left(np.array(small), np.array(small) + 1)
+            some[a] = some[b] = True
+        yield from table.select(["_key", "_first", "class", "band"]).filter(pa.array(some)).to_batches()
+
+    return common.stored(_grouped(_blocked(members, "bucket", "blocks", "class"), ["class", "band", "sig", "bands"], work, "_key long, _first boolean, class long, band int"), "candidates")
+
 
-    return components(_grouped(blocked, ["class", "sig"], work, "a long, b long"), "families")
+def packed_bands() -> Column:
+    """The band hashes as bytes, lowest first."""
+    return F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("bands")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs`` joined on ``doc_id`` with a table that is broadcast while it is small."""
+    """``docs`` joined on ``doc_id`` with (doc_id, class), which is broadcast while it is small."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def links(docs: DataFrame, classes: DataFrame, family: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """A stored table (class, other, n_links): links of each class, verified; ``other`` is a class it is connected with, or itself."""
-    member = common.stored(classes.join(family.select(F.col("node").alias("class"), F.col("root").alias("family")).union(family.select(F.col("root").alias("class"), F.col("root").alias("family")).distinct()), "class").select("class", "family", "doc_id", "copies", "n", "sig"), "members")
-    sizes = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    member = member.join(sizes, "family")
-    read = with_ids(common.texts(docs).where("doc_id is not null"), member)
+def links(docs: DataFrame, classes: DataFrame, found: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """A stored table (class, other, n_links): verified links of each class by group; ``other`` is a class it is connected with, or itself."""
+    member = classes.join(found.select("class").distinct(), "class")
+    read = with_ids(common.texts(docs).where("doc_id is not null"), member.select("doc_id", "class"))
 
     def sets(batches):
         for b in batches:
-            found = [shingle_set(t or "", words) for t in b.column("text").to_pylist()]
-            same = [len(s) and xxh64_intdigest(s.tobytes()) - 2**63 == c for s, c in zip(found, b.column("class").to_pylist(), strict=True)]
-            keep = pa.array(map(bool, same))
-            out = pa.RecordBatch.from_arrays([*(b.column(n) for n in ("family", "class", "copies", "blocks", "sig")), pa.array([s.tobytes() for s in found], pa.binary())], names=["family", "class", "copies", "blocks", "sig", "shingles"])
-            yield out.filter(keep)
+            own = [shingle_set(t or "", words) for t in b.column("text").to_pylist()]
+            same = [len(s) and xxh64_intdigest(s.tobytes()) - 2**63 == c for s, c in zip(own, b.column("class").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([s.tobytes() for s in own], pa.binary())], names=["class", "shingles"]).filter(pa.array(map(bool, same)))
 
-    own = common.in_batches(read.select("family", "class", "copies", "blocks", "sig", "text"), sets, "family long, class long, copies long, blocks int, sig binary, shingles binary").dropDuplicates(["class"])
+    own = common.in_batches(read.select("class", "text"), sets, "class long, shingles binary").dropDuplicates(["class"])
+    placed = found.join(own.join(classes.select("class", "copies", "sig", packed_bands()), "class"), "class")
 
     def work(table, cuts):
-        least = least_matches(threshold, tolerance, HASHES, STEP)
+        group = _Group(table, threshold, tolerance)
         ids, copies = table.column("class").to_numpy(), table.column("copies").to_numpy()
+        shingles = table.column("shingles")
         for x, y in zip(cuts, cuts[1:], strict=False):
-            part = table.slice(x, y - x)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint8).reshape(y - x, HASHES)
-            shingle = [np.frombuffer(s, dtype=np.uint64) for s in part.column("shingles").to_pylist()]
-            count = np.zeros(y - x, dtype=np.int64)
+            sets_ = [np.frombuffer(s, dtype=np.uint64) for s in shingles.slice(x, y - x).to_pylist()]
+            count, pairs = np.zeros(y - x, dtype=np.int64), []
             own = copies[x:y]
-            found = []
-            for a, b in pairs_of(y - x, _first_of(table, x, y)):
-                a, b = verified(*survivors(a, b, sig, least), shingle, threshold)
+            for a, b in group.pairs(x, y):
+                a, b = verified(a - x, b - x, sets_, threshold)
                 np.add.at(count, a, own[b])
                 np.add.at(count, b, own[a])
-                found.append((a, b))
-            root = forest(y - x, found)
+                pairs.append((a, b))
             some = np.flatnonzero(count)
+            root = forest(y - x, pairs)
             yield pa.RecordBatch.from_arrays([pa.array(ids[x:y][some], pa.int64()), pa.array(ids[x:y][root[some]], pa.int64()), pa.array(count[some], pa.int64())], names=["class", "other", "n_links"])
 
-    return common.stored(_grouped(_blocked(own, "family", "blocks", "class"), ["class", "copies", "sig", "shingles"], work, "class long, other long, n_links long"), "links")
+    return common.stored(_grouped(placed, ["class", "band", "copies", "sig", "bands", "shingles"], work, "class long, other long, n_links long"), "links")
 
 
 def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashed: bool = False) -> DataFrame:
@@ -294,11 +317,12 @@ def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wor
     more = ["text_hash"] if hashed else []
     known = signed.where("doc_id is not null and n > 0")
     classes = common.stored(known.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    found = links(docs, classes, families(classes, threshold, tolerance), words, threshold, tolerance)
+    found = links(docs, classes, candidates(classes, threshold, tolerance), words, threshold, tolerance)
     linked = components(found.select(F.col("class").alias("a"), F.col("other").alias("b")), "linked")
     root = linked.select(F.col("node").alias("class"), "root").union(linked.select(F.col("root").alias("class"), "root").distinct())
     ids = classes.select("class", "doc_id", "copies")
-    least = root.join(ids, "class").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # stored, so that a root of very many classes can be split in the join
+    least = common.stored(root.join(ids, "class").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     count = found.groupBy("class").agg(F.sum("n_links").alias("links"))
     facts = ids.join(root.join(least, "root").select("class", "least"), "class", "left").join(count, "class", "left")
     facts = facts.select("class", F.coalesce("least", "doc_id").alias("_least"), F.coalesce("links", F.lit(0)).alias("_links"), "copies")

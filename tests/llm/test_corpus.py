@@ -132,6 +132,32 @@ def test_join_counts_each_link(spark, monkeypatch):
     assert joined(df) == want
 
 
+def test_chains_are_compared_with_their_neighbours_alone(spark):
+    """Neighbours in a chain are too unlike to be linked and alike enough to be compared: work grows with the chain, not with its square."""
+    rnd = random.Random(8)
+
+    def compared(n):
+        words = [f"w{rnd.randrange(10**7)}" for _ in range(200 + 50 * n)]
+        rows = [(i, " ".join(words[50 * i : 50 * i + 200])) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        signed = jaccard_join.signatures(df).where("n > 0").withColumn("copies", F.lit(1).cast("long"))
+        found = jaccard_join.candidates(signed)
+        assert jaccard_join.links(df, signed, found).count() == 0
+        return sum(r["count"] ** 2 for r in found.groupBy("_key").count().collect())
+
+    few, many = compared(60), compared(240)
+    assert 0 < many < 8 * max(few, 30)
+
+
+def test_joins_by_shuffle(spark, sf_dir, docs, monkeypatch):
+    """The plans beyond the bounds of broadcasts give the same rows."""
+    want = linked([(r["doc_id"], r["text"]) for r in docs.collect()])
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.similar(docs).collect()) == want
+    ids = {d for d, c, _ in want if c != d}
+    assert {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()} == {d for d, _, _ in want} - ids
+
+
 def test_join_on_odd_rows(odd, empty):
     assert joined(odd) == linked([(r["doc_id"], r["text"]) for r in odd.collect()])
     got = {r["doc_id"]: r for r in jaccard_join.similar(odd).collect()}
