@@ -63,6 +63,11 @@ def detail_share(detail: Column, text: Column, stopwords: list[str] = lx.DETAIL_
     return F.when(F.coalesce(n, F.lit(0)) > 0, F.size(F.array_intersect(words, detail_tokens(F.coalesce(text, F.lit(""))))) / n).otherwise(1.0)
 
 
+def detail_exact(detail: Column, text: Column) -> Column:
+    """Whether a text has a detail as it stands, letters in either case; true without a detail."""
+    return F.coalesce(F.lower(F.coalesce(text, F.lit(""))).contains(F.lower(detail)), F.lit(True))
+
+
 def distractor_share(distractor: Column, rewrite: Column, stopwords: list[str] = lx.DISTRACTOR_STOPWORDS) -> Column:
     """Share of a distractor's words that occur anywhere in a rewrite, also within words; null without words."""
     words = F.array_except(F.array_distinct(tokens(F.regexp_replace(F.lower(distractor), r"(?U)[^\w\s]", ""))), _strings(stopwords))
@@ -142,6 +147,13 @@ def matched(a: Column, b: Column) -> Column:
     return F.coalesce((a == b).cast("int"), F.lit(0))
 
 
+def gold_components(rewrite: Column, gold: Column) -> Column:
+    """struct(jaccard, modal, ears_kw, combined, structural): how a rewrite agrees with a gold text, by words, first modal and trigger."""
+    j = set_jaccard(content_tokens(rewrite), content_tokens(gold))
+    m, k = matched(primary_modal(rewrite), primary_modal(gold)), matched(ears_keyword(rewrite), ears_keyword(gold))
+    return F.struct(j.alias("jaccard"), m.alias("modal"), k.alias("ears_kw"), F.round((j + m + k) / 3, 4).alias("combined"), F.round((m + k) / 2, 4).alias("structural"))
+
+
 def tier(x: Column) -> Column:
     """2 for a text that leans on another: a pronoun first, or a phrase that points back; else 1."""
     text = strip(F.lower(x))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions import lexicon as lx
@@ -13,7 +13,8 @@ def pick(values: list[str], key: Column, seed: int = 42, op: str = "") -> Column
     """One of ``values``, by a hash of the key."""
     if len(values) == 1:
         return F.lit(values[0])
-    return F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64(F.lit(f"{op}:{seed}"), key), F.lit(len(values))).cast("int"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{op}:{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
 
 
 def surrogate_id(prefix: str, model: Column, item: Column) -> Column:
@@ -175,6 +176,20 @@ def neighbourhood(x: Column, modal: Column, key: Column) -> Column:
     return F.array_compact(F.array(*invariance, direction, added))
 
 
+def probe_stats(probes: Column) -> Column:
+    """struct(invariance, directional, shortcut, failed): probes by family, and how many of two, one and one are missing."""
+    of = lambda f: F.size(F.filter(probes, lambda p: p["probe_family"] == f))
+    missing = F.greatest(2 - of("invariance"), F.lit(0)) + F.greatest(1 - of("directional"), F.lit(0)) + F.greatest(1 - of("shortcut"), F.lit(0))
+    return F.struct(of("invariance").alias("invariance"), of("directional").alias("directional"), of("shortcut").alias("shortcut"), missing.alias("failed"))
+
+
+def injected(items: DataFrame, extra: DataFrame, excluded: DataFrame, id_col: str = "item_id", probes_col: str = "probes") -> DataFrame:
+    """``items`` with a probe before their own: ``extra`` (id, probe) by id, but for ids that ``excluded`` has."""
+    allowed = extra.join(excluded.select(id_col).distinct(), id_col, "left_anti").select(id_col, F.col("probe").alias("_extra"))
+    found = items.join(allowed, id_col, "left")
+    return found.withColumn(probes_col, inject(F.col(probes_col), F.col("_extra"), F.lit(True))).drop("_extra")
+
+
 def inject(probes: Column, extra: Column, when: Column) -> Column:
     """``extra`` before the others where ``when`` holds."""
     return F.when(when & extra.isNotNull(), F.concat(F.array(extra), probes)).otherwise(probes)

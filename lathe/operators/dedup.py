@@ -46,7 +46,12 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by a seeded hash: the same ones in each run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return df.orderBy(shuffled(F.col(key), seed), F.col(key)).limit(n)
+
+
+def shuffled(key: Column, seed: int = 42) -> Column:
+    """What to order by instead of a shuffle."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
 def split_in_three(df: DataFrame, order: list, out: str = "shard") -> DataFrame:

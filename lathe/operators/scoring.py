@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ def with_base(probe_outputs: DataFrame, probes: DataFrame, base_outputs: DataFra
     return joined.where(~(needs & F.col("base_text").isNull())).withColumn("base_text", F.coalesce("base_text", F.lit("")))
 
 
-def rule_scored(df: DataFrame, similarity_least: float = lx.SIMILARITY_THRESHOLD, delta_most: float = lx.READABILITY_DELTA_MAX) -> DataFrame:
-    """``similarity``, ``read_delta``, ``overlap``, ``detail_share``, ``rule_score`` and ``scoring_method`` from base_text, probe_text,
-    probe_family, probe_subtype and critical_detail. Thresholds hold for unrounded values; semantic probes wait for the judge."""
+def rule_scored(df: DataFrame, similarity_least: float = lx.SIMILARITY_THRESHOLD, delta_most: float = lx.READABILITY_DELTA_MAX, readability: Callable[[Column], Column] = M.mean_token_length) -> DataFrame:
+    """``similarity``, ``read_delta``, ``overlap``, ``detail_share``, ``detail_exact_match``, ``rule_score``, ``scoring_method`` and ``rule_reason``
+    from base_text, probe_text, probe_family, probe_subtype and critical_detail. Thresholds hold for unrounded values; semantic probes
+    wait for the judge. ``readability``: a grade of a text (``metrics.grade_level`` for Flesch-Kincaid)."""
     df = df.withColumn("_f1", M.word_f1(F.col("base_text"), F.col("probe_text")))
-    df = df.withColumn("_delta", F.abs(M.mean_token_length(F.col("base_text")) - M.mean_token_length(F.col("probe_text"))))
+    df = df.withColumn("_shift", readability(F.col("base_text")) - readability(F.col("probe_text"))).withColumn("_delta", F.abs("_shift"))
     df = df.withColumn("_detail", M.detail_share(F.col("critical_detail"), F.col("probe_text")))
+    df = df.withColumn("_exact", M.detail_exact(F.col("critical_detail"), F.col("probe_text")))
     family = F.col("probe_family")
     semantic = (family == "invariance") & (F.coalesce(F.col("probe_subtype"), F.lit("")) == "semantic")
     one = lambda c: c.cast("int")
@@ -33,20 +37,23 @@ def rule_scored(df: DataFrame, similarity_least: float = lx.SIMILARITY_THRESHOLD
         .when(family == "shortcut", one(F.col("_detail") >= lx.DETAIL_SHARE_MIN))
     )
     method = F.when(semantic, "judge_only").when(family == "invariance", "rule_then_judge").otherwise("rule_only")
-    return df.withColumns({
+    df = df.withColumns({
         "similarity": F.round("_f1", 4), "read_delta": F.round("_delta", 2), "overlap": F.when(family == "directional", F.round("_f1", 4)),
-        "detail_share": F.when(family == "shortcut", F.round("_detail", 3)), "rule_score": score, "scoring_method": method,
-    }).drop("_f1", "_delta", "_detail")
+        "detail_share": F.when(family == "shortcut", F.round("_detail", 3)), "detail_exact_match": F.when(family == "shortcut", one(F.col("_exact"))),
+        "rule_score": score, "scoring_method": method,
+    })
+    return df.withColumn("rule_reason", _rule_reason(similarity_least, delta_most)).drop("_f1", "_shift", "_delta", "_detail", "_exact")
 
 
-def rule_reason(df: DataFrame) -> Column:
-    """Why a rule gave its score, for people: numbers are rounded as printed."""
+def _rule_reason(similarity_least: float, delta_most: float) -> Column:
+    """Why a rule gave its score, for people: decided by the values as they are, which are rounded in print alone."""
     mark = lambda c: F.when(c, "PASS").otherwise("FAIL")
+    yes = lambda c: F.when(c, "YES").otherwise("NO")
     return (
         F.when(F.col("scoring_method") == "judge_only", "semantic_probe:word_f1_invalid_for_paraphrase:deferred_to_judge")
-        .when(F.col("probe_family") == "invariance", F.format_string("sim=%s(%.3f),read_delta=%s(%.1f)", mark(F.col("similarity") >= lx.SIMILARITY_THRESHOLD), F.col("similarity"), mark(F.col("read_delta") <= lx.READABILITY_DELTA_MAX), F.col("read_delta")))
-        .when(F.col("probe_family") == "directional", F.format_string("read_shift=%s(%.1f),diff=%s(%.3f)", mark(F.col("read_delta") > lx.DIRECTIONAL_DELTA_MIN), F.col("read_delta"), mark(F.col("overlap") < lx.DIRECTIONAL_OVERLAP_MAX), F.col("overlap")))
-        .otherwise(F.format_string("detail_preserved=%s", F.when(F.col("rule_score") == 1, "YES").otherwise("NO")))
+        .when(F.col("probe_family") == "invariance", F.format_string("sim=%s(%.3f),read_delta=%s(%.1f)", mark(F.col("_f1") >= similarity_least), F.round("_f1", 3), mark(F.col("_delta") <= delta_most), F.round("_delta", 1)))
+        .when(F.col("probe_family") == "directional", F.format_string("read_shift=%s(%.1f),diff=%s(%.3f)", mark(F.col("_delta") > lx.DIRECTIONAL_DELTA_MIN), F.when(F.round("_shift", 1) == 0, 0.0).otherwise(F.round("_shift", 1)), mark(F.col("_f1") < lx.DIRECTIONAL_OVERLAP_MAX), F.round("_f1", 3)))
+        .otherwise(F.format_string("detail_preserved=%s,exact=%s", yes(F.col("rule_score") == 1), yes(F.col("_exact"))))
     )
 
 
@@ -121,6 +128,20 @@ def directional_passed(operation: Column, base: Column, probe: Column, base_stre
     return F.when(expected == "weaken", probe_strength <= base_strength).when(expected == "strengthen", probe_strength >= base_strength).otherwise(True)
 
 
+def gold_scored(rewrites: DataFrame, rewrite: str = "rewrite", gold: str = "gold") -> DataFrame:
+    """``rewrites`` with jaccard, modal, ears_kw, combined and structural; rows with a blank gold text or rewrite go."""
+    some = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    return rewrites.where(some(gold) & some(rewrite)).withColumn("_gold", M.gold_components(F.col(rewrite), F.col(gold))).select("*", "_gold.*").drop("_gold")
+
+
+def gold_alignment(scored: DataFrame, by: str) -> DataFrame:
+    """Means of each component, rounded, and scores of the rounded means."""
+    mean = lambda c: F.round(F.avg(c), 4)
+    found = scored.groupBy(by).agg(F.count("*").alias("n"), *(mean(c).alias(c) for c in ("jaccard", "modal", "ears_kw")))
+    j, m, k = F.col("jaccard"), F.col("modal"), F.col("ears_kw")
+    return found.withColumn("combined", F.round((j + m + k) / 3, 4)).withColumn("structural", F.round((m + k) / 2, 4))
+
+
 def macro_mean(rates: list[Column], digits: int = 4) -> Column:
     """Mean of the rates that are there; null without any."""
     total, n = F.lit(0.0), F.lit(0)

@@ -52,7 +52,8 @@ REQ = f"req AS ({REQUIREMENTS.replace('STRING', 'VARCHAR')})"
 
 
 def requirements(tables: Tables) -> DataFrame:
-    return tables.orders.selectExpr("o_orderkey AS item_id", "o_custkey AS doc_id", "o_orderpriority AS source", f"{MODAL} AS modal", f"{TEXT} AS text")
+    """The sentence comes out of a generator, so that filters and projections above it read it and don't make it again."""
+    return tables.orders.selectExpr("o_orderkey AS item_id", "o_custkey AS doc_id", "o_orderpriority AS source", f"{MODAL} AS modal", f"explode(array({TEXT})) AS text")
 
 
 #: Documents with the scores that labels give them: no label, no score.
@@ -67,10 +68,11 @@ def scored(tables: Tables) -> DataFrame:
 
 FAMILIES = ["en", "de", "fr", "es"]
 
-#: First and second turns of a conversation as the texts of a base item and its probe.
-PAIRS = "pairs AS (SELECT a.conv_id AS id, a.text AS base, b.text AS probe FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn = 0)"
+#: Each turn of a conversation and the next one as the texts of a base item and its probe.
+PAIR_ID = "conv_id + turn * 1000000000"
+PAIRS = "pairs AS (SELECT a.conv_id + a.turn * 1000000000 AS id, a.text AS base, b.text AS probe FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 def pairs(tables: Tables) -> DataFrame:
-    turn = lambda k, name: tables.conversations.where(F.col("turn") == k).select(F.col("conv_id").alias("id"), F.col("text").alias(name))
-    return turn(0, "base").join(turn(1, "probe"), "id")
+    after = tables.conversations.selectExpr("conv_id + (turn - 1) * 1000000000 AS id", "text AS probe")
+    return tables.conversations.selectExpr(f"{PAIR_ID} AS id", "text AS base").join(after, "id")

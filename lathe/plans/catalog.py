@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lathe.plans import evaluation, relational, requirements, texts  # noqa: F401
+from lathe.plans import evaluation, fixtures, relational, requirements, texts  # noqa: F401
 from lathe.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -181,29 +181,65 @@ def readability_mean_token_length(t: Tables):
 )
 def rule_score_final(t: Tables):
     kinds = t.spark.createDataFrame([(0, "invariance", "lexical"), (1, "invariance", "semantic"), (2, "directional", "ose"), (3, "shortcut", "detail")], "k int, probe_family string, probe_subtype string")
-    turns = t.conversations
-    outputs = turns.where("turn = 1").select(F.col("conv_id").alias("_id"), F.col("text").alias("probe_text")).crossJoin(kinds.select("k")).select((F.col("_id") * 4 + F.col("k")).alias("probe_id"), "probe_text")
-    base = turns.where("turn = 0").select(F.col("conv_id").alias("base_item_id"), F.col("text").alias("base_text"))
+    both = pairs(t)
+    outputs = both.crossJoin(kinds.select("k")).select((F.col("id") * 4 + F.col("k")).alias("probe_id"), F.col("probe").alias("probe_text"))
+    base = both.select(F.col("id").alias("base_item_id"), F.col("base").alias("base_text"))
     probes = base.crossJoin(kinds).select((F.col("base_item_id") * 4 + F.col("k")).alias("probe_id"), "base_item_id", "probe_family", "probe_subtype", F.col("base_text").alias("critical_detail"))
     ruled = S.rule_scored(S.with_base(outputs, probes, base), similarity_least=0.05)
     return S.adjudicated(ruled, S.agreement_strict(judged(t))).select("probe_id", "probe_family", "scoring_method", "rule_score", "similarity", "judge_verified", "final_score")
 
 
 # Outputs of models: some missing, some failed, some of probes.
-_OUT = "o AS (SELECT o_orderkey % 500 AS item_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'P' || CAST(o_orderkey % 4 AS VARCHAR) END AS probe_id, 'm' || CAST(o_orderkey % 3 AS VARCHAR) AS model_id, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_orderpriority END AS rewrite, CASE WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'ok' END AS run_status, o_orderkey FROM orders WHERE o_orderkey < 3000), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, probe_id, model_id ORDER BY o_orderkey) AS k FROM o) WHERE k = 1)"
+_OUT = "o AS (SELECT o_custkey AS item_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'P' || CAST(o_orderkey % 4 AS VARCHAR) END AS probe_id, 'm' || CAST(o_orderkey % 3 AS VARCHAR) AS model_id, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_orderpriority END AS rewrite, CASE WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'ok' END AS run_status, o_orderkey FROM orders), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, probe_id, model_id ORDER BY o_orderkey) AS k FROM o) WHERE k = 1)"
 
 
 def outputs(t: Tables):
-    o = t.orders.where("o_orderkey < 3000").selectExpr("o_orderkey % 500 AS item_id", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'P' || CAST(o_orderkey % 4 AS STRING) END AS probe_id", "'m' || CAST(o_orderkey % 3 AS STRING) AS model_id", "CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_orderpriority END AS rewrite", "CASE WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'ok' END AS run_status", "o_orderkey")
+    o = t.orders.selectExpr("o_custkey AS item_id", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'P' || CAST(o_orderkey % 4 AS STRING) END AS probe_id", "'m' || CAST(o_orderkey % 3 AS STRING) AS model_id", "CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_orderpriority END AS rewrite", "CASE WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'ok' END AS run_status", "o_orderkey")
     return keep_first(o, ["item_id", "probe_id", "model_id"], ["o_orderkey"]).drop("o_orderkey")
 
 
-_QUEUE = "q AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'P1' END AS probe_id, m.model_id FROM part CROSS JOIN (VALUES ('m0'), ('m1'), ('m2')) m(model_id) WHERE p_partkey < 600)"
+_QUEUE = "q AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'P1' END AS probe_id, m.model_id FROM part CROSS JOIN (VALUES ('m0'), ('m1'), ('m2')) m(model_id))"
+
+
+#: Reasons, with numbers as printed: half up, on values that are decided before they are rounded.
+_GRADE = "CASE WHEN len({1}) > 0 THEN 0.39e0 * len({1}) / greatest(len(regexp_extract_all({0}, '[.!?]+')), 1) + 11.8e0 * greatest(len(regexp_extract_all(lower({0}), '[aeiouy]+')), len({1})) / len({1}) - 15.59e0 ELSE 0.0 END"
+_TOK = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda z: z <> '')"
+
+
+@query(
+    f"WITH {PAIRS}, {_TOKENS}, {_DETAIL}, t AS (SELECT id, base, probe, {_TOK.format('base')} AS tb, {_TOK.format('probe')} AS tp FROM pairs), fam(probe_family, probe_subtype) AS (VALUES ('invariance', 'lexical'), ('invariance', 'semantic'), ('directional', 'ose'), ('shortcut', 'detail')), "
+    f"m AS (SELECT tok.id, CAST({_SETF1} AS DOUBLE) AS f1, CAST({_GRADE.format('t.base', 'tb')} - ({_GRADE.format('t.probe', 'tp')}) AS DOUBLE) AS shift, CASE WHEN len(d) > 0 THEN len(list_intersect(d, w)) / CAST(len(d) AS DOUBLE) ELSE 1.0 END AS share, contains(lower(t.probe), lower(t.base)) AS exact FROM tok JOIN detail ON tok.id = detail.id JOIN t ON t.id = tok.id) "
+    "SELECT id, probe_family, probe_subtype, CASE WHEN probe_subtype = 'semantic' THEN NULL WHEN probe_family = 'invariance' THEN CAST(f1 >= 0.05 AND abs(shift) <= 3.0 AS INTEGER) WHEN probe_family = 'directional' THEN CAST(abs(shift) > 0.5 AND f1 < 0.95 AS INTEGER) ELSE CAST(share >= 0.7 AS INTEGER) END AS rule_score, "
+    "CASE WHEN probe_family = 'shortcut' THEN CAST(exact AS INTEGER) END AS detail_exact_match, "
+    "CASE WHEN probe_subtype = 'semantic' THEN 'semantic_probe:word_f1_invalid_for_paraphrase:deferred_to_judge' "
+    "WHEN probe_family = 'invariance' THEN 'sim=' || CASE WHEN f1 >= 0.05 THEN 'PASS' ELSE 'FAIL' END || printf('(%.3f)', round(f1, 3)) || ',read_delta=' || CASE WHEN abs(shift) <= 3.0 THEN 'PASS' ELSE 'FAIL' END || printf('(%.1f)', round(abs(shift), 1)) "
+    "WHEN probe_family = 'directional' THEN 'read_shift=' || CASE WHEN abs(shift) > 0.5 THEN 'PASS' ELSE 'FAIL' END || printf('(%.1f)', CASE WHEN round(shift, 1) = 0 THEN 0.0 ELSE round(shift, 1) END) || ',diff=' || CASE WHEN f1 < 0.95 THEN 'PASS' ELSE 'FAIL' END || printf('(%.3f)', round(f1, 3)) "
+    "ELSE 'detail_preserved=' || CASE WHEN share >= 0.7 THEN 'YES' ELSE 'NO' END || ',exact=' || CASE WHEN exact THEN 'YES' ELSE 'NO' END END AS rule_reason FROM m CROSS JOIN fam"
+)
+def rule_reasons(t: Tables):
+    """Scores by Flesch-Kincaid grades, and why."""
+    kinds = t.spark.createDataFrame([("invariance", "lexical"), ("invariance", "semantic"), ("directional", "ose"), ("shortcut", "detail")], "probe_family string, probe_subtype string")
+    made = pairs(t).crossJoin(kinds).select("id", "probe_family", "probe_subtype", F.col("base").alias("base_text"), F.col("probe").alias("probe_text"), F.col("base").alias("critical_detail"))
+    return S.rule_scored(made, similarity_least=0.05, readability=M.grade_level).select("id", "probe_family", "probe_subtype", "rule_score", "detail_exact_match", "rule_reason")
+
+
+@query(f"WITH {PAIRS}, t AS (SELECT id, {_TOK.format('probe')} AS w, probe FROM pairs) SELECT id, round(CAST({_GRADE.format('probe', 'w')} AS DOUBLE), 6) AS grade FROM t")
+def grade_levels(t: Tables):
+    return pairs(t).select("id", F.round(M.grade_level(F.col("probe")), 6).alias("grade"))
+
+
+@query(f"WITH {PAIRS}, {_TOKENS} SELECT id, {_SETF1} >= 0.85 AS same FROM tok")
+def semantic_matches(t: Tables):
+    """Pairs whose similarity, by the stand-in for a model, reaches the threshold."""
+    from lathe.functions import lexicon as lx
+    from lathe.functions.models import similarity
+
+    return pairs(t).select("id", (similarity(F.col("base"), F.col("probe")) >= lx.SEMANTIC_F1_MIN).alias("same"))
 
 
 def queue(t: Tables):
     models = t.spark.createDataFrame([("m0",), ("m1",), ("m2",)], "model_id string")
-    return S.every_model(t.part.where("p_partkey < 600").selectExpr("p_partkey AS item_id", "CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'P1' END AS probe_id"), models)
+    return S.every_model(t.part.selectExpr("p_partkey AS item_id", "CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'P1' END AS probe_id"), models)
 
 
 @query(f"WITH {_OUT}, {_QUEUE} SELECT q.item_id, q.probe_id, q.model_id, coalesce(u.rewrite, '') AS rewrite FROM q LEFT JOIN u ON q.item_id = u.item_id AND q.probe_id IS NOT DISTINCT FROM u.probe_id AND q.model_id = u.model_id AND coalesce(u.run_status, 'ok') = 'ok' AND trim(u.rewrite) <> ''")
@@ -224,14 +260,14 @@ def mean_over_all_items(t: Tables):
     return found.groupBy("model_id").agg(F.count("*").alias("items"), F.round(F.avg(F.when(F.col("rewrite") != "", 1.0).otherwise(0.0)), 4).alias("answered"))
 
 
-@query(f"WITH {_OUT}, h AS (SELECT model_id, count(DISTINCT item_id) AS have FROM u WHERE coalesce(run_status, 'ok') = 'ok' AND trim(rewrite) <> '' GROUP BY model_id) SELECT m.model_id, coalesce(have, 0) AS have, greatest(400 - coalesce(have, 0), 0) AS gap FROM (VALUES ('m0'), ('m1'), ('m2'), ('m9')) m(model_id) LEFT JOIN h ON m.model_id = h.model_id")
+@query(f"WITH {_OUT}, h AS (SELECT model_id, count(DISTINCT item_id) AS have FROM u WHERE coalesce(run_status, 'ok') = 'ok' AND trim(rewrite) <> '' GROUP BY model_id) SELECT m.model_id, coalesce(have, 0) AS have, greatest((SELECT count(*) FROM part) - coalesce(have, 0), 0) AS gap FROM (VALUES ('m0'), ('m1'), ('m2'), ('m9')) m(model_id) LEFT JOIN h ON m.model_id = h.model_id")
 def coverage_gap(t: Tables):
     from lathe.streaming.incremental import done
 
     models = t.spark.createDataFrame([("m0",), ("m1",), ("m2",), ("m9",)], "model_id string")
     have = done(outputs(t)).groupBy("model_id").agg(F.count_distinct("item_id").alias("have"))
     have = models.join(have, "model_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    return have.withColumn("gap", F.greatest(F.lit(400) - F.col("have"), F.lit(0)))
+    return have.withColumn("gap", F.greatest(F.lit(t.part.count()) - F.col("have"), F.lit(0)))
 
 
 @query("WITH p AS (SELECT l_suppkey, sum(l_quantity) AS q, sum(l_extendedprice) AS e, avg(l_discount) AS d, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_suppkey), u AS (SELECT * FROM p UNPIVOT (x FOR score IN (q, e, d))), g AS (SELECT u.l_suppkey, u.score, u.x, p.n AS y FROM u JOIN p ON u.l_suppkey = p.l_suppkey), r AS (SELECT score, rank() OVER (PARTITION BY score ORDER BY x) + (count(*) OVER (PARTITION BY score, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY score ORDER BY y) + (count(*) OVER (PARTITION BY score, y) - 1) / 2.0 AS ry FROM g) SELECT score, round(corr(rx, ry), 4) AS rho, count(*) AS n FROM r GROUP BY score")
@@ -250,17 +286,45 @@ def average_ranks(t: Tables):
     return stats.average_rank(t.part.select("p_partkey", "p_type", "p_size"), "p_size", "place", ["p_type"]).drop("p_size")
 
 
-@query()
+#: Two-sided p-value of a correlation of n rows, n even: the closed form of the t distribution for even degrees of freedom.
+_P = "CASE WHEN rho IS NULL OR n < 3 THEN NULL WHEN abs(rho) >= 1 THEN 0.0 ELSE abs(round(1 - abs(rho) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - rho * rho, k))), 4)) END"
+_SPEARMAN = "p AS (SELECT l_suppkey, sum(l_quantity) AS q, sum(l_extendedprice) AS e, avg(l_discount) AS d, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_suppkey), u AS (SELECT * FROM p UNPIVOT (x FOR score IN (q, e, d))), g AS (SELECT u.l_suppkey, u.score, u.x, p.n AS y FROM u JOIN p ON u.l_suppkey = p.l_suppkey), r AS (SELECT score, rank() OVER (PARTITION BY score ORDER BY x) + (count(*) OVER (PARTITION BY score, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY score ORDER BY y) + (count(*) OVER (PARTITION BY score, y) - 1) / 2.0 AS ry FROM g), sp AS (SELECT score, round(corr(rx, ry), 4) AS rho, count(*) AS n FROM r GROUP BY score)"
+_WITH_P = f"{_SPEARMAN}, pv AS (SELECT *, CAST({_P} AS DOUBLE) AS p_value FROM sp)"
+
+
+@query(f"WITH {_WITH_P} SELECT *, CASE WHEN p_value IS NULL OR p_value = 0 THEN '' WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS stars FROM pv")
 def correlation_p_values(t: Tables):
     found = stats.with_p(spearman_grid(t))
     return found.withColumn("stars", M.stars(F.col("p_value")))
 
 
-@query()
+@query(f"WITH {_WITH_P} SELECT * FROM pv WHERE p_value < 1.01 ORDER BY rho DESC, score, rho, n, p_value LIMIT 1")
 def best_correlation(t: Tables):
     return stats.best_significant(stats.with_p(spearman_grid(t)), level=1.01)
 
 
+@query("WITH a AS (SELECT n_nationkey, n_regionkey, n_name FROM nation), x AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) AS rx, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS ry FROM a) SELECT round(1 - 6 * sum((rx - ry) * (rx - ry)) / (count(*) * (count(*) * count(*) - 1)), 4) AS rho, count(*) AS n FROM x")
+def ordinal_spearman(t: Tables):
+    """The formula for places without ties."""
+    placed = stats.ordinal_rank(stats.ordinal_rank(t.nation, "n_name", "n_nationkey", "rx", descending=False), "n_regionkey", "n_nationkey", "ry", descending=False)
+    return placed.agg(stats.ordinal_spearman(F.col("rx"), F.col("ry")).alias("rho"), F.count("*").alias("n"))
+
+
+@query("WITH a AS (SELECT o_orderpriority AS model, o_orderstatus AS family, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY ALL) SELECT model, " + ", ".join(f"coalesce(max(CASE WHEN family = '{f}' THEN score END), 0.0) AS {f}" for f in "FOP") + " FROM a GROUP BY model")
+def figure_bars(t: Tables):
+    """The input of grouped bars: a row for each model, a column for each family."""
+    scores = t.orders.groupBy(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("family")).agg(F.round(F.avg("o_totalprice"), 4).alias("score"))
+    return A.pivoted(scores, "model", "family", list("FOP"), "score")
+
+
+@query("SELECT n_name AS label, round(avg(s_acctbal), 4) AS x, round(avg(c_acctbal), 4) AS y FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name HAVING avg(s_acctbal) IS NOT NULL AND avg(c_acctbal) IS NOT NULL")
+def figure_scatter(t: Tables):
+    """The input of a scatter plot: labelled points, none with a missing coordinate."""
+    x = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.avg("s_acctbal").alias("x"))
+    y = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("y"))
+    return t.nation.join(x, "n_nationkey").join(y, "n_nationkey").select(F.col("n_name").alias("label"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query("WITH a AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS r, avg(p_size) AS s FROM part GROUP BY p_brand) SELECT p_brand, round(r, 4) AS r, round(coalesce(s, 0), 4) AS s, n FROM a WHERE r IS NOT NULL AND s IS NOT NULL")
 def figure_input(t: Tables):
     a = t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("r"), F.avg("p_size").alias("s"))

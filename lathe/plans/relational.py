@@ -10,6 +10,7 @@ from lathe.operators import dedup as D
 from lathe.operators import stats
 from lathe.plans.base import Tables, query
 from lathe.sources.writers import padded
+from lathe.streaming import incremental
 
 _NEAR = "left(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 60)"
 
@@ -178,10 +179,9 @@ def group_summary(t: Tables):
     return t.documents.groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), A.percent_floor(long, F.count("*")).alias("long_percent"), F.round(100.0 * long / F.count("*"), 1).alias("long_exact"))
 
 
-@query("SELECT c_custkey, c_name, coalesce(CAST(c_acctbal AS VARCHAR), '') AS c_acctbal, '' AS detail_found FROM customer WHERE c_custkey < 50")
+@query("SELECT c_custkey, c_name, coalesce(CAST(c_acctbal AS VARCHAR), '') AS c_acctbal, '' AS detail_found FROM customer")
 def column_padding(t: Tables):
-    found = t.customer.where("c_custkey < 50")
-    return padded(found, ["c_custkey", "c_name", "c_acctbal", "detail_found"]).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    return padded(t.customer, ["c_custkey", "c_name", "c_acctbal", "detail_found"]).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
 @query("SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS priority FROM orders")
@@ -210,22 +210,18 @@ def integrity_checks(t: Tables):
     return A.checks(t.orders, {"price": F.col("o_totalprice") > 0, "status": F.col("o_orderstatus").isin("F", "O"), "key": F.col("o_orderkey").isNotNull()})
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50")
 def seeded_sample(t: Tables):
     return D.hash_sample(t.documents.select("doc_id", "source"), "doc_id", 50)
 
 
-@query()
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents) WHERE k <= 5")
 def first_k_after_shuffle(t: Tables):
-    return D.top_k(t.documents.select("doc_id", "source"), "source", [F.xxhash64(F.lit(42), "doc_id"), "doc_id"], 5)
+    return D.top_k(t.documents.select("doc_id", "source"), "source", [D.shuffled(F.col("doc_id")), "doc_id"], 5)
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+@query("SELECT DISTINCT user_id, 'new' AS state FROM events")
 def streaming_first_seen(t: Tables):
-    """Events as a stream of files: per user the least event so far, from a complete-mode aggregate."""
-    spark = t.spark
-    name = "first_seen"
-    rows = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
-    q = rows.groupBy("user_id").agg(F.min("event_id").alias("event_id")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return spark.table(name)
+    """Events as a stream of files: each user once, appended by micro-batch below the shared folder and read back."""
+    rows = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]").select("user_id", F.lit("new").alias("state"))
+    return incremental.finished(incremental.first_seen(rows, "user_id"), "first-seen")

@@ -112,25 +112,129 @@ def shortcut_probe(t: Tables):
     return requirements(t).select("item_id", s["category"].alias("category"), s["text"].alias("variant"))
 
 
-@query()
+def _picked(values: list[str], op: str, put: str) -> str:
+    """SQL for ``put`` with the value that ``pick`` takes by a row's item_id."""
+    if len(values) == 1:
+        return put.format(values[0])
+    which = f"CAST('0x' || left(md5('{op}:42:' || item_id), 8) AS BIGINT) % {len(values)}"
+    return f"CASE {which} " + " ".join(f"WHEN {i} THEN {put.format(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _synonym_sql() -> str:
+    plural, cases = "regexp_matches(text, '^[A-Z][a-z]+s\\s')", []
+    for m, synonyms in lx.MODAL_SYNONYMS.items():
+        put = f"regexp_replace(text, '(?i)\\b{m}\\b', '{{}}')"
+        narrow = [x for x in synonyms if not x.startswith("is ")]
+        loose = _picked(synonyms, "modal_synonym", put)
+        stiff = _picked(narrow, "modal_synonym", put) if narrow else "NULL"
+        cases.append(f"WHEN '{m}' THEN CASE WHEN {plural} OR regexp_matches(lower(text), '\\b{m}\\s+be\\b') THEN {stiff} ELSE {loose} END")
+    return f"CASE modal {' '.join(cases)} END"
+
+
+def _condition_sql() -> str:
+    whens = (f"WHEN starts_with(lower(text), '{w} ') THEN " + _picked([x.capitalize() for x in synonyms], "condition_synonym", "'{}'") + f" || substring(text, {len(w) + 1})" for w, synonyms in lx.CONDITION_SYNONYMS.items())
+    return f"CASE {' '.join(whens)} END"
+
+
+def _direction_sql() -> str:
+    steps = [("strengthen", a, b) for a, b in lx.CONDITION_STRENGTHENERS] + [("weaken", a, b) for a, b in lx.CONDITION_WEAKENERS]
+    probe = "{{'operation': '{0}', 'direction': '{1}', 'text': {2}}}"
+    moved = lambda old, new: f"regexp_replace(text, '(?i)\\b{old}\\b', '{new}')"
+    scope = " ".join(f"WHEN lower(text) LIKE '%{old}%' AND {moved(old, new)} <> text THEN " + probe.format(f"condition_scope_{d}", d, moved(old, new)) for d, old, new in steps)
+    moves = {m: (new, "strengthen") for m, new in lx.MODAL_STRENGTHEN.items()} | {m: (new, "weaken") for m, new in lx.MODAL_WEAKEN.items()}
+    modal = " ".join(f"WHEN '{m}' THEN " + probe.format("modal_substitution", d, moved(m, new)) for m, (new, d) in moves.items())
+    conditional = f"regexp_matches(text, '(?i)\\b({'|'.join(lx.CONDITION_KEYWORDS)})\\b')"
+    return f"coalesce(CASE WHEN {conditional} THEN CASE {scope} END END, CASE modal {modal} END)"
+
+
+def _phrase_sql() -> str:
+    return "CASE category " + " ".join(f"WHEN '{c}' THEN " + _picked(v, "distractor", "'{}'") for c, v in lx.DISTRACTORS.items()) + " END"
+
+
+_REPHRASE = "'(?i)^(.{4,60}?)\\s+(?:shall|must)\\s+(.+)$'"
+#: (item_id, kind, place, probe...) of each probe, in the order of the neighbourhood.
+_NEIGHBOURS = (
+    f"{REQ}, c AS (SELECT *, {_CATEGORY} AS category FROM req), d AS (SELECT *, {_phrase_sql()} AS phrase, "
+    f"[{{'operation': 'modal_synonym', 'text': {_synonym_sql()}}}, {{'operation': 'condition_syn', 'text': {_condition_sql()}}}, "
+    "{'operation': 'clause_expand', 'text': CASE WHEN regexp_matches(text, '\\bThe system\\b') THEN regexp_replace(text, '\\bThe system\\b', 'The software system') END}, "
+    f"{{'operation': 'subject_rephrase', 'text': CASE WHEN modal IN ('shall', 'must') AND NOT regexp_matches(text, '(?i)^(if|when|while|where|unless)\\b') AND regexp_matches(text, {_REPHRASE}) "
+    f"AND len(regexp_split_to_array(regexp_replace(text, {_REPHRASE}, 'It is required that \\1 \\2'), '\\s+')) >= 8 THEN rtrim(regexp_replace(text, {_REPHRASE}, 'It is required that \\1 \\2'), '.') || '.' END}}] AS made, "
+    f"{_direction_sql()} AS moved FROM c), "
+    "v AS (SELECT *, list_filter(made, lambda z: z.text IS NOT NULL AND z.text <> text)[1:2] AS same, CASE WHEN category = 'retry_trigger' AND regexp_matches(text, '(?i)\\b(?:if|when|while|unless)\\b\\s+[^,.]{3,40}?\\s*[,.]') THEN regexp_replace(text, '(?i)(\\b(?:if|when|while|unless)\\b\\s+[^,.]{3,40}?)(\\s*[,.])', '\\1 ' || phrase || '\\2') "
+    "WHEN category <> 'response_trigger' THEN regexp_replace(text, '(?i)(\\b(?:shall|should|must|may|will|can)\\b)\\s*', '\\1 ' || phrase || ' ') WHEN text LIKE '%.' THEN left(text, len(text) - 1) || ', ' || phrase || '.' ELSE text || ' ' || phrase || '.' END AS added FROM d), "
+    "nb AS (SELECT item_id, 'INV_1' AS probe_id, 'invariance' AS probe_family, same[1].text AS probe_text, 'stable' AS expected_relation, same[1].operation AS operation, NULL AS direction, NULL AS distractor FROM v WHERE len(same) > 0 "
+    "UNION ALL SELECT item_id, 'INV_2', 'invariance', same[2].text, 'stable', same[2].operation, NULL, NULL FROM v WHERE len(same) > 1 "
+    "UNION ALL SELECT item_id, 'DIR_1', 'directional', moved.text, 'directional', moved.operation, moved.direction, NULL FROM v WHERE moved IS NOT NULL "
+    "UNION ALL SELECT item_id, 'SHC_1', 'shortcut', added, 'no_shortcut', 'distractor_insertion', NULL, phrase FROM v WHERE added <> text)"
+)
+
+
+def neighbourhoods(t: Tables):
+    made = requirements(t).select("item_id", P.neighbourhood(F.col("text"), F.col("modal"), F.col("item_id")).alias("probes"))
+    return made.select("item_id", F.explode(F.array("probes")).alias("probes"))
+
+
+@query(f"WITH {_NEIGHBOURS}, n AS (SELECT item_id, count(*) AS probe_count FROM nb GROUP BY item_id) SELECT nb.item_id, CAST(n.probe_count AS INTEGER) AS probe_count, probe_id, probe_family, probe_text, expected_relation, operation, CASE WHEN probe_family = 'invariance' THEN 'rule' ELSE 'rule' END AS generation_method, direction, distractor FROM nb JOIN n ON nb.item_id = n.item_id")
 def probe_neighbourhoods(t: Tables):
-    made = requirements(t).withColumn("probes", P.neighbourhood(F.col("text"), F.col("modal"), F.col("item_id")))
-    made = made.withColumn("probes", P.fill_method(F.col("probes"), {"invariance": "rule"})).withColumn("probe_count", F.size("probes"))
-    return made.select("item_id", "probe_count", F.to_json("probes").alias("probes"))
+    """Every probe of every item; a method that is missing is filled in by family."""
+    made = neighbourhoods(t).withColumn("probes", P.fill_method(F.col("probes"), {"invariance": "rule"}))
+    return made.select("item_id", F.size("probes").alias("probe_count"), F.explode("probes").alias("p")).select("item_id", "probe_count", "p.*")
 
 
-@query()
+@query(f"WITH {_NEIGHBOURS} SELECT probe_family, operation, count(*) AS n FROM nb GROUP BY ALL")
 def probe_family_counts(t: Tables):
-    made = requirements(t).select(F.explode(P.neighbourhood(F.col("text"), F.col("modal"), F.col("item_id"))).alias("p"))
-    return made.groupBy("p.probe_family", "p.operation").agg(F.count("*").alias("n"))
+    return neighbourhoods(t).select(F.explode("probes").alias("p")).groupBy("p.probe_family", "p.operation").agg(F.count("*").alias("n"))
+
 
+@query(f"WITH {_NEIGHBOURS}, s AS (SELECT req.item_id, CAST(count(CASE WHEN probe_family = 'invariance' THEN 1 END) AS INTEGER) AS invariance, CAST(count(CASE WHEN probe_family = 'directional' THEN 1 END) AS INTEGER) AS directional, CAST(count(CASE WHEN probe_family = 'shortcut' THEN 1 END) AS INTEGER) AS shortcut FROM req LEFT JOIN nb ON req.item_id = nb.item_id GROUP BY req.item_id) SELECT *, CAST(greatest(2 - invariance, 0) + greatest(1 - directional, 0) + greatest(1 - shortcut, 0) AS INTEGER) AS failed FROM s")
+def probe_stats(t: Tables):
+    return neighbourhoods(t).select("item_id", P.probe_stats(F.col("probes")).alias("s")).select("item_id", "s.*")
 
-@query()
+
+@query(
+    f"WITH {_NEIGHBOURS}, chk AS (SELECT count(CASE WHEN probe_family = 'invariance' AND expected_relation <> 'stable' THEN 1 END) AS relation_invariance, count(CASE WHEN probe_family = 'directional' AND expected_relation <> 'directional' THEN 1 END) AS relation_directional, "
+    "count(CASE WHEN probe_family = 'shortcut' AND expected_relation <> 'no_shortcut' THEN 1 END) AS relation_shortcut, CAST(0 AS BIGINT) AS method, count(CASE WHEN NOT coalesce(len(probe_text) > 0, false) THEN 1 END) AS text, count(CASE WHEN operation = 'modal_substitution' THEN 1 END) AS unmoved FROM nb), "
+    'u AS (UNPIVOT chk ON relation_invariance, relation_directional, relation_shortcut, method, text, unmoved INTO NAME "check" VALUE failures) SELECT "check", failures, CASE WHEN failures = 0 THEN \'PASS\' ELSE \'FAIL\' END AS status FROM u'
+)
 def probe_integrity(t: Tables):
-    made = requirements(t).select("item_id", P.neighbourhood(F.col("text"), F.col("modal"), F.col("item_id")).alias("probes")).select("item_id", F.explode("probes").alias("p")).select("item_id", "p.*")
+    """Checks of all probes; the last one, that no modal was substituted, is there to fail."""
+    made = neighbourhoods(t).select("item_id", F.explode("probes").alias("p")).select("item_id", "p.*")
     relation = {"invariance": "stable", "directional": "directional", "shortcut": "no_shortcut"}
     rules = {f"relation_{f}": (F.col("probe_family") != f) | (F.col("expected_relation") == r) for f, r in relation.items()}
-    return A.checks(made, rules | {"method": F.col("generation_method").isNotNull(), "text": F.length("probe_text") > 0})
+    return A.checks(made, rules | {"method": F.col("generation_method").isNotNull(), "text": F.length("probe_text") > 0, "unmoved": F.col("operation") != "modal_substitution"})
+
+
+@query(
+    f"WITH {_NEIGHBOURS}, x AS (SELECT o_orderkey AS item_id FROM orders WHERE o_orderstatus = 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)) "
+    "SELECT item_id, probe_id, probe_text FROM nb UNION ALL SELECT item_id, 'OWN_1', 'It shall stay as it is.' FROM x"
+)
+def probes_injected(t: Tables):
+    """A probe by id before the others, but for an exclusion set of ids."""
+    null = F.lit(None).cast("string")
+    own = {"probe_id": F.lit("OWN_1"), "probe_family": F.lit("invariance"), "probe_text": F.lit("It shall stay as it is."), "expected_relation": F.lit("stable"), "operation": F.lit("own"), "generation_method": null, "direction": null, "distractor": null}
+    extra = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("item_id"), F.struct(*(v.alias(k) for k, v in own.items())).alias("probe"))
+    excluded = t.lineitem.where("l_quantity > 40").select(F.col("l_orderkey").alias("item_id"))
+    found = P.injected(neighbourhoods(t), extra, excluded)
+    return found.select("item_id", F.explode("probes").alias("p")).select("item_id", "p.probe_id", "p.probe_text")
+
+
+_GOLDS = "g AS (SELECT item_id, m.model, CASE WHEN item_id % 10 = 0 THEN '  ' ELSE text END AS gold, CASE WHEN item_id % 9 = 0 THEN '' WHEN m.model = 'm0' THEN regexp_replace(text, '(?i)\\b' || modal || '\\b', 'shall') ELSE 'If so, stop.' || text END AS rewrite FROM req CROSS JOIN (VALUES ('m0'), ('m1')) m(model))"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda z: len(z) > 2 AND NOT list_contains({1}, z)))"
+_FIRST_MODAL = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '(?i)\\b{m}\\b') THEN '{m}'" for m in lx.MODAL_ORDER) + " END"
+_KEYWORD = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '(?i)\\b{k}\\b') THEN '{k}'" for k in lx.TRIGGERS) + " WHEN regexp_matches(trim({0}), '(?i)^(ubiquitous\\b|the\\s)') THEN 'UBIQUITOUS' ELSE 'NONE' END"
+
+
+@query(
+    f"WITH {REQ}, {_GOLDS}, w AS (SELECT *, {_WORDS.format('rewrite', lx.BOILERPLATE)} AS x, {_WORDS.format('gold', lx.BOILERPLATE)} AS y FROM g WHERE trim(gold) <> '' AND trim(rewrite) <> ''), "
+    f"s AS (SELECT model, round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 4) AS j, coalesce(CAST({_FIRST_MODAL.format('rewrite')} = {_FIRST_MODAL.format('gold')} AS INTEGER), 0) AS m, CAST({_KEYWORD.format('rewrite')} = {_KEYWORD.format('gold')} AS INTEGER) AS k FROM w), "
+    "a AS (SELECT model, count(*) AS n, round(avg(j), 4) AS jaccard, round(avg(m), 4) AS modal, round(avg(k), 4) AS ears_kw FROM s GROUP BY model) SELECT *, round((jaccard + modal + ears_kw) / 3, 4) AS combined, round((modal + ears_kw) / 2, 4) AS structural FROM a"
+)
+def gold_alignment(t: Tables):
+    models = t.spark.createDataFrame([("m0",), ("m1",)], "model string")
+    swapped = F.coalesce(*(F.when(F.col("modal") == m, F.regexp_replace("text", rf"(?i)\b{m}\b", "shall")) for m in lx.MODAL_ORDER))
+    rewrite = F.when(F.col("item_id") % 9 == 0, "").when(F.col("model") == "m0", swapped).otherwise(F.concat(F.lit("If so, stop."), "text"))
+    made = S.every_model(requirements(t), models).select("model", F.when(F.col("item_id") % 10 == 0, "  ").otherwise(F.col("text")).alias("gold"), rewrite.alias("rewrite"))
+    return S.gold_alignment(S.gold_scored(made), "model")
 
 
 @query(f"WITH {REQ} SELECT item_id, CASE modal WHEN 'shall' THEN 'is required to' WHEN 'must' THEN 'is required to' WHEN 'should' THEN 'is expected to' ELSE 'is permitted to' END = CASE modal WHEN 'shall' THEN 'is required to' WHEN 'must' THEN 'is required to' WHEN 'should' THEN 'is expected to' WHEN 'may' THEN 'is permitted to' WHEN 'can' THEN 'is permitted to' END AS kept FROM req WHERE NOT regexp_matches(text, '(?i)\\brequired\\b')")
@@ -152,7 +256,16 @@ def context_tier(t: Tables):
     return requirements(t).select("item_id", M.tier(F.col("text")).alias("tier"))
 
 
-@query()
+_MODALS = "shall|must|should|will|may|can"
+
+
+@query(
+    f"WITH {REQ}, r AS (SELECT item_id, regexp_replace(text, '\\.+$', '') AS x FROM req), p AS (SELECT *, trim(regexp_extract(x, '(?i)^(.*?)\\s+(?:{_MODALS})\\b', 1)) AS s0, trim(regexp_extract(x, '(?i)\\b(?:{_MODALS})\\b\\s+(.*)', 1)) AS action, "
+    f"trim(regexp_extract(x, '(?i)\\b(?:if|when|whenever|while|once|after)\\b(.+?)(?:,\\s*|\\s+(?:the\\s+)?(?:\\w+\\s+)?(?:{_MODALS})\\b)', 1)) AS condition, "
+    + "CASE " + " ".join(f"WHEN regexp_matches(x, '(?i)\\b{m}\\b') THEN '{k}'" for m, k in lx.REWRITE_MODALS) + " ELSE 'SHALL' END AS modal, CASE " + " ".join(f"WHEN regexp_matches(x, '(?i){p}') THEN '{k}'" for p, k in lx.REWRITE_TRIGGERS) + " END AS trigger_ FROM r), "
+    "q AS (SELECT *, CASE WHEN s0 = '' OR len(regexp_split_to_array(s0, '\\s+')) > 8 THEN 'the system' ELSE s0 END AS s FROM p) "
+    "SELECT item_id, CASE WHEN trigger_ IS NOT NULL AND condition <> '' THEN trigger_ || ' ' || condition || ', ' || s || ' ' || modal || ' ' || action || '.' ELSE upper(left(s, 1)) || lower(substring(s, 2)) || ' ' || modal || ' ' || action || '.' END AS rewrite FROM q"
+)
 def rule_rewrites(t: Tables):
     return requirements(t).select("item_id", M.rule_rewrite(F.col("text")).alias("rewrite"))
 

@@ -13,7 +13,12 @@ from lathe.sources.readers import blocks, id_based, id_segments, parsed_arff, re
 from lathe.sources.writers import report
 
 
-@query()
+@query(
+    "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda z: regexp_replace(z, '^\\s+|\\s+$', '', 'g')), lambda z: z <> '') AS parts FROM documents), "
+    "u AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS place FROM s), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(left(sentence, 80)) ORDER BY place) AS r FROM u WHERE len(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda z: z <> '')) BETWEEN 5 AND 80) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS ordinal, sentence FROM k WHERE r = 1"
+)
 def sentence_split(t: Tables):
     """Sentences of each document in order, those of 5 to 80 words, the first of those that start alike."""
     s = t.documents.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
@@ -33,7 +38,18 @@ def block_flatten(t: Tables):
 _NUMBERED = "CAST(1000 + o_orderkey % 900 AS VARCHAR)"
 
 
-@query()
+#: Numbers below 5000 that aren't years, without a look ahead.
+_ID = "\\b(0\\d{3}|1[0-8]\\d{2}|2[1-9]\\d{2}|[34]\\d{3})\\b"
+
+
+@query(
+    f"WITH {REQ}, d AS (SELECT doc_id, string_agg(lpad(CAST(100 + item_id % 1700 AS VARCHAR), 4, '0') || ' - ' || text, ' ' ORDER BY item_id) AS x FROM req GROUP BY doc_id), "
+    f"p AS (SELECT doc_id, string_split(regexp_replace(x, '{_ID}', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:] AS parts FROM d), "
+    "u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ordinal FROM p), "
+    "c AS (SELECT doc_id, ordinal, string_split(part, chr(2))[1] AS raw, trim(string_split(part, chr(2))[2]) AS chunk FROM u), "
+    "b AS (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(chunk, '^[A-Z][A-Za-z\\s/-]+?(\\s+[A-Z][a-z]|\\s+The\\s|\\s+If\\s|\\s+When\\s|\\s+WHEN|\\s+WHERE)', '\\1')), '^[-–—]\\s*', ''), '\\s+', ' ', 'g')) AS body FROM c WHERE chunk <> ''), "
+    "w AS (SELECT *, len(list_filter(string_split(body, ' '), lambda z: z <> '')) AS n FROM b) SELECT doc_id AS document_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(doc_id AS VARCHAR) || '_' || raw AS requirement_id, body AS requirement_text, n AS word_count FROM w WHERE n BETWEEN 5 AND 80"
+)
 def requirement_segments(t: Tables):
     """Sentences of a customer's orders in one text, each after a number; parted again at the numbers."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: F.concat(F.lpad((100 + x["item_id"] % 1700).cast("string"), 4, "0"), F.lit(" - "), x["text"])), " ")
@@ -41,7 +57,11 @@ def requirement_segments(t: Tables):
     return id_segments(docs).select("document_id", "ordinal", "requirement_id", "requirement_text", "word_count")
 
 
-@query()
+@query(
+    "WITH i AS (SELECT DISTINCT o_custkey, (o_orderkey % 130) * 10 AS v FROM orders), g AS (SELECT o_custkey, v, v - lag(v) OVER (PARTITION BY o_custkey ORDER BY v) AS gap FROM i), "
+    "a AS (SELECT o_custkey, count(*) AS n, count(CASE WHEN gap > 100 THEN 1 END) AS far, count(CASE WHEN v % 10 = 0 THEN 1 END) AS tens, count(gap) AS gaps, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS l FROM g GROUP BY o_custkey) "
+    "SELECT o_custkey, CAST(n AS INTEGER) AS n, CASE WHEN n < 3 OR far > gaps * 0.4 THEN false WHEN tens > n * 0.5 THEN true ELSE l[gaps // 2 + 1] <= 50 AND n >= 5 END AS by_id FROM a"
+)
 def numbered_documents(t: Tables):
     text = F.array_join(F.sort_array(F.collect_list(F.lpad(((F.col("o_orderkey") % 130) * 10).cast("string"), 4, "0"))), " ")
     ids = t.orders.groupBy("o_custkey").agg(text.alias("text")).select("o_custkey", requirement_ids(F.col("text")).alias("ids"))
@@ -89,14 +109,14 @@ def arff_rows(t: Tables):
     return rows
 
 
-@query()
+@query("WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '') AS l FROM conversations) SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_transform(l, lambda z: sha256('stub:' || text || ':' || z) || z)), lambda z: z[65:]), ' ') AS output FROM w")
 def model_stub_map(t: Tables):
-    """Answers of the offline stub to the first turns."""
-    asked = t.conversations.where("turn = 0").select("conv_id", F.lit("stub").alias("model_id"), F.col("text").alias("prompt"))
-    return call_models(asked).select("conv_id", "output")
+    """Answers of the offline stub to every turn."""
+    asked = t.conversations.select("conv_id", "turn", F.lit("stub").alias("model_id"), F.col("text").alias("prompt"))
+    return call_models(asked).select("conv_id", "turn", "output")
 
 
-@query()
+@query("WITH l AS (SELECT '{' || string_agg('\"' || lang || '\":\"' || n || '\"', ',' ORDER BY lang) || '}' AS j FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)), s AS (SELECT '{' || string_agg('\"' || source || '\":\"' || n || '\"', ',' ORDER BY source) || '}' AS j FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)) SELECT '{\"lang\":' || l.j || ',\"source\":' || s.j || '}' AS report FROM l, s")
 def data_card(t: Tables):
     """One JSON document: documents by language and by source."""
     by = lambda c: t.documents.groupBy(c).agg(F.count("*").alias("n"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,10 +87,11 @@ def id_segments(docs: DataFrame, text: str = "text", id_col: str = "document_id"
 
 
 def arff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of ``id,'text',CODE`` lines after @DATA; lines in another form are parted at the first and last comma."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "raw")).withColumn("raw", strip(F.col("raw")))
-    start = spark.read.text(path, wholetext=True).select(F.array_position(F.transform(F.split("value", r"\r\n|\n|\r"), lambda x: F.upper(strip(x))), "@DATA").alias("start"))
-    data = lines.crossJoin(F.broadcast(start)).where((F.col("start") > 0) & (F.col("line") >= F.col("start")) & (F.col("raw") != "") & ~F.col("raw").startswith("%") & ~F.col("raw").startswith("@"))
+    """(rows, errors) of ``id,'text',CODE`` lines after @DATA, of one file or each of several; lines in another form are parted at the first and last comma."""
+    files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r\n|\n|\r").alias("_lines"))
+    files = files.withColumn("_start", F.array_position(F.transform("_lines", lambda x: F.upper(strip(x))), "@DATA"))
+    lines = files.select("_start", F.posexplode("_lines").alias("line", "raw")).withColumn("raw", strip(F.col("raw")))
+    data = lines.where((F.col("_start") > 0) & (F.col("line") >= F.col("_start")) & (F.col("raw") != "") & ~F.col("raw").startswith("%") & ~F.col("raw").startswith("@"))
     return parsed_arff(data.select("line", "raw"))
 
 
@@ -115,27 +117,44 @@ def sheet_name(name: str, templates: Iterable[str] = TEMPLATES) -> tuple[str, st
     return None
 
 
+CELLS = "project string, template string, row int, req_id string, text string, label string"
+
+
 def workbook(spark: SparkSession, sheets: dict[str, list[tuple]] | str) -> DataFrame:
-    """(project, template, row, req_id, text, label) of a workbook: a path (needs openpyxl; a zip's first workbook too) or sheets as rows of cells."""
+    """(project, template, row, req_id, text, label) of workbooks: a path (needs openpyxl; a zip's first workbook too) or sheets as rows of cells.
+
+    Files are read and parsed in tasks, a file at a time; only sheets given as rows come from the driver.
+    """
     if isinstance(sheets, str):
-        sheets = _cells(sheets)
-    rows = []
-    for name, cells in sheets.items():
-        if parsed := sheet_name(name):
-            rows += [(*parsed, i, *(None if c is None else str(c) for c in (*row, None, None, None)[:3])) for i, row in enumerate(cells)]
-    df = spark.createDataFrame(rows, "project string, template string, row int, req_id string, text string, label string")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("project", pa.string()), ("template", pa.string()), ("row", pa.int32()), ("req_id", pa.string()), ("text", pa.string()), ("label", pa.string())])
+            for b in batches:
+                for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                    found = list(_rows(_cells(path, content.as_py())))
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in found], schema=schema)
+
+        df = spark.read.format("binaryFile").load(sheets).select("path", "content").mapInArrow(run, CELLS)
+    else:
+        df = spark.createDataFrame(list(_rows(sheets.items())), CELLS)
     return df.where((F.col("row") >= FIRST_ROW) & F.col("text").isNotNull() & ~F.col("text").startswith("=") & (F.size(tokens(F.col("text"))) >= 3))
 
 
-def _cells(path: str) -> dict[str, list[tuple]]:
+def _rows(sheets: Iterable[tuple[str, Iterable[tuple]]]) -> Iterator[tuple]:
+    for name, cells in sheets:
+        if parsed := sheet_name(name):
+            for i, row in enumerate(cells):
+                yield (*parsed, i, *(None if c is None else str(c) for c in (*row, None, None, None)[:3]))
+
+
+def _cells(path: str, content: bytes) -> Iterator[tuple[str, Iterable[tuple]]]:
     import io
     import zipfile
 
     import openpyxl
 
-    source: object = path
     if path.endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
-            source = io.BytesIO(z.read(next(n for n in z.namelist() if n.endswith(".xlsx"))))
-    book = openpyxl.load_workbook(source, read_only=True)
-    return {ws.title: list(ws.iter_rows(values_only=True)) for ws in book.worksheets}
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            content = z.read(next(n for n in z.namelist() if n.endswith(".xlsx")))
+    book = openpyxl.load_workbook(io.BytesIO(content), read_only=True)
+    return ((ws.title, ws.iter_rows(values_only=True)) for ws in book.worksheets)

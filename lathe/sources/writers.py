@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster names for checkpoints; in local mode below a folder of this machine where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="lathe-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/lathe-{name}-{uuid.uuid4().hex}"
+
+
 def json_lines(df: DataFrame, path: str, append: bool = False, by: list[str] = ()) -> None:
     """One file for each task; concurrent tasks need no lock."""
     writer = df.write.mode("append" if append else "overwrite")

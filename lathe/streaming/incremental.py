@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.operators.scoring import pending
+from lathe.sources.writers import shared_path
 
 KEYS = ["item_id", "probe_id", "model_id"]
 
@@ -46,3 +47,13 @@ def append(rows: DataFrame, path: str, checkpoint: str, work: Callable[[DataFram
         work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finished(rows: DataFrame, name: str) -> DataFrame:
+    """All rows of a stream over what is there now: appended below the shared folder, waited for without a limit, read back. A failure of the stream is raised."""
+    path = shared_path(rows.sparkSession, name)
+    query = append(rows, f"{path}/rows", f"{path}/checkpoint")
+    query.awaitTermination()
+    if fault := query.exception():
+        raise fault
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows").select(*rows.columns)
