@@ -326,6 +326,8 @@ def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wor
     count = found.groupBy("class").agg(F.sum("n_links").alias("links"))
     facts = ids.join(root.join(least, "root").select("class", "least"), "class", "left").join(count, "class", "left")
     facts = facts.select("class", F.coalesce("least", "doc_id").alias("_least"), F.coalesce("links", F.lit(0)).alias("_links"), "copies")
+    # stored as well: a class of very many copies is split
+    facts = common.stored(facts, "facts")
     out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"), *more).join(facts, "class", "left")
     return out.select("doc_id", F.coalesce("_least", "doc_id").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *more)
 
