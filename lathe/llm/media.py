@@ -2,9 +2,13 @@
 
 ``sequences`` turns HTML into an array of structs (position, kind, text, digest, caption) in document order: stretches of
 text between block elements, and references to media whose ``src`` is ``sha256:<digest>`` (or any other reference, kept
-as it is). A caption is the figure's own, or else the ``alt`` text. ``resolved`` joins stored media by digest; positions
-and captions stay with their reference. Media are stored once for each digest that a task meets, as 8-bit grey PNG
-images of 64 columns, deflated, and read back through their own parser.
+as it is). A caption is the figure's own, or else the ``alt`` text. ``resolved`` joins references with stored media by
+digest, each digest's facts stored first so that Spark can split a digest that very many pages refer to; ``assembled``
+puts texts and resolved references of a page back in order, positions and captions with them. Media are stored once for
+each digest that a task meets, as 8-bit grey PNG images of 64 columns, deflated, and read back through their own parser.
+
+The query makes a page of each text: its lines as paragraphs, the whole text as a captioned image before them, its first
+line as an image after the first paragraph. Pages are parsed, their references resolved, and the sequences assembled.
 
 Defined cases: null HTML has no items; a null or empty text has the payload of 64 zero bytes; references to payloads that
 aren't stored stay, with null columns; texts and payloads of any length are handled whole; repeated rows stay apart;
@@ -17,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -118,13 +123,15 @@ def exploded(sequenced: DataFrame, keep: list[str], col: str = "items") -> DataF
 
 
 def resolved(rows: DataFrame, media: DataFrame) -> DataFrame:
-    """Rows with a ``digest``, joined with ``media``, which has a row for each digest. Text rows and unknown digests stay, with null columns."""
-    return rows.join(media, "digest", "left")
+    """Items, those with a ``digest`` joined with ``media``, which has a row for each digest and no null one. Text rows and unknown digests stay, with null columns."""
+    # rows without a digest are no part of the join: they would all meet in one task
+    found = rows.where("digest is not null").join(media, "digest", "left")
+    return found.unionByName(rows.where("digest is null"), allowMissingColumns=True)
 
 
-def assembled(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Back to a sequence for each id, in order of position: as many items as the page has."""
-    return rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("position", *[c for c in columns if c != "position"]))).alias("items"))
+def assembled(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Back to a sequence for each page, in order of position: as many items as the page has."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", *[c for c in columns if c != "position"]))).alias("items"))
 
 
 def payload_of(text: str) -> bytes:
@@ -182,27 +189,37 @@ def feature(payload: bytes) -> str:
     return f"{''.join(f'{int(v) * 255 // n:02x}' for v in levels)}:{total * 100 // n}:{int(deviation * 100)}:{bits:016x}"
 
 
-def store_texts(docs: DataFrame, page: Callable[[int | None, str], str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A stored table (doc_id, n_bytes, html, digest, media): each text as a payload, and a page that refers to it by digest.
+MEDIA = pa.list_(pa.struct([("digest", pa.string()), ("media", pa.binary())]))
+
 
-    ``media`` is null where the task has stored the digest already.
+def paged(docs: DataFrame, page: Callable[[str, Callable[[str], str]], str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, html, stored): a page for each text, ``page(text, store)``; ``store`` takes a text as a payload and gives its digest.
+
+    ``stored`` has the images of the page that the task hasn't met before.
     """
-    schema = "doc_id long, n_bytes long, html string, digest string, media binary"
+    schema = "doc_id long, n_bytes long, html string, stored array<struct<digest: string, media: binary>>"
 
     def run(batches):
         known: set[str] = set()
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                png = to_png(payload_of(text))
-                digest = hashlib.sha256(png).hexdigest()
-                if len(known) > REMEMBERED:
-                    known.clear()
-                rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), page(doc_id, digest), digest, None if digest in known else png))
-                known.add(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "html", "digest", "media"])
+                new: list[dict] = []
+
+                def store(part: str, new: list[dict] = new) -> str:
+                    png = to_png(payload_of(part))
+                    digest = hashlib.sha256(png).hexdigest()
+                    if digest not in known:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        known.add(digest)
+                        new.append({"digest": digest, "media": png})
+                    return digest
 
-    return common.stored(common.in_batches(common.texts(docs, id_col, text_col), run, schema), "media")
+                rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), page(text, store), new))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), MEDIA), strict=True)], names=["doc_id", "n_bytes", "html", "stored"])
+
+    return common.in_batches(common.texts(docs, id_col, text_col), run, schema)
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -219,15 +236,30 @@ def described(media: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return common.in_batches(media.where("media is not null").select("digest", "media"), run, schema).dropDuplicates(["digest"])
+    return common.stored(common.in_batches(media.where("media is not null").select("digest", "media"), run, schema).dropDuplicates(["digest"]), "described")
+
+
+WHOLE, FIRST = "the whole text", "the first line"
 
 
-def text_page(doc_id: int | None, digest: str) -> str:
-    return f'<article><h1>Document {doc_id}</h1><figure><img src="sha256:{digest}" alt="text"><figcaption>Text of document {doc_id}</figcaption></figure></article>'
+def text_page(text: str, store: Callable[[str], str]) -> str:
+    """A text's lines as paragraphs between two images: of all of it, with a caption of the figure, and of its first line, with one of its own."""
+    first, *rest = text.split("\n")
+    paragraphs = "".join(f"<p>{escape(x, quote=False)}</p>" for x in rest)
+    return f'<article><figure><img src="sha256:{store(text)}"><figcaption>{WHOLE}</figcaption></figure><p>{escape(first, quote=False)}</p><img src="sha256:{store(first)}" alt="{FIRST}">{paragraphs}</article>'
 
 
 def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text is a payload in a page of its own; its media reference, resolved, gives the row."""
-    store = store_texts(common.documents(spark, sf_dir), text_page)
-    references = exploded(sequences(store.select("doc_id", "n_bytes", "html")), ["doc_id", "n_bytes"]).where("kind = 'media'")
-    return resolved(references, described(store)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """The facts of each text's own image, and its page's resolved sequence as a digest; texts of paragraphs go by their digests."""
+    parsed = sequences(paged(common.documents(spark, sf_dir), text_page))
+    brief = F.transform("items", lambda x: x.withField("text", F.sha2(x["text"], 256)))
+    # a key of its own tells rows of one id apart; written with the rows, so it is the same wherever they are read
+    table = common.stored(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", brief.alias("items"), "stored"), "pages")
+    facts = described(table.select(F.explode("stored").alias("_one")).select("_one.*"))
+    keys = ["row", "doc_id", "n_bytes"]
+    items_ = resolved(exploded(table, keys), facts)
+    own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    whole = assembled(items_, keys, ["kind", "text", "digest", "caption", *own])
+    shown = F.transform("items", lambda x: F.concat_ws("|", x["position"].cast("string"), x["kind"], F.coalesce(x["text"], F.lit("")), F.coalesce(x["payload_sha256"], F.lit("")), F.coalesce(x["feature"], F.lit("")), F.coalesce(x["caption"], F.lit(""))))
+    image = F.get(F.filter("items", lambda x: x["caption"] == WHOLE), F.lit(0))
+    return whole.select("doc_id", "n_bytes", *(image[c].alias(c) for c in own), F.size("items").alias("n_items"), F.size(F.filter("items", lambda x: x["kind"] == "media")).alias("n_media"), F.sha2(F.array_join(shown, "\n"), 256).alias("sequence_sha256"))
