@@ -8,7 +8,11 @@ table answers for any prefix of the text how many tokens it has, and for any bud
 anything again.
 
 Prefixes are of the normalised text (NFC, white space as spaces, lower case), in its code points. Words end where the
-library's pattern ends them; the few words that a cut changes (contractions, special strings) are looked up as cut.
+library's pattern ends them; the few words that a cut changes (contractions, special strings) enter the table as cut.
+
+A table is kept as its steps, a byte for each code point and deflated (one prefix has at most as many tokens more or fewer
+than the one before as the longest token has bytes): ``prefix_tables`` stores one for each text, and ``answered`` reads counts,
+and cuts for budgets, from them alone.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; texts of any length are counted whole; repeated rows
 give repeated results; other columns are ignored.
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from bisect import bisect_right
+import zlib
 from functools import lru_cache
 from itertools import islice
 
@@ -76,6 +80,9 @@ class WordBpe:
                 body = t.removesuffix(END)
                 self.reach[form][body[-3:]] = max(len(body), self.reach[form].get(body[-3:], 0))
         self.find = words_of(PATTERN)
+        self.pieces = words_of(PATTERN + r"|\s+")
+        self.space = regex.compile(r"\s+").fullmatch
+        self.steps_of: dict[str, bytes] = {}
         self.latin = bytes(range(256)).decode("latin-1")
         self.as_chars = str.maketrans(dict(zip(self.latin, chars, strict=True)))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -192,36 +199,55 @@ class WordBpe:
                     n += known(w) or total(w)
         return n
 
+    def word_steps(self, piece: str) -> bytes:
+        """How the count changes at each code point of a word, or of white space."""
+        found = self.steps_of.get(piece)
+        if found is None:
+            if len(self.steps_of) > REMEMBERED:
+                self.steps_of = dict(islice(self.steps_of.items(), REMEMBERED // 2))
+            found = self.steps_of[piece] = bytes(len(piece)) if self.space(piece) else np.diff(self.table(piece)).astype(np.int8).tobytes()
+        return found
+
+    def prefix_steps(self, text: str) -> bytes:
+        """The table of a text as its steps, a signed byte for each code point of the normalised text."""
+        parts = self.parts(text)
+        if len(parts) > 1:
+            return np.diff(self._with_specials(parts)).astype(np.int8).tobytes()
+        known, own = self.steps_of.get, self.word_steps
+        return b"".join([known(w) or own(w) for w in self.pieces(parts[0][0])])
+
     def prefixes(self, text: str) -> np.ndarray:
         """Entry k: the tokens of the first k code points of the normalised text."""
+        return counts_of(self.prefix_steps(text))
+
+    def _with_specials(self, parts: list[tuple[str, bool]]) -> np.ndarray:
         out = [np.zeros(1, dtype=np.int64)]
         n, tail = 0, ""
-        for part, special in self.parts(text):
+        for part, special in parts:
             if special:
                 # a cut special string is plain text, and goes with the word that it touches
                 before = n - (self.total(tail) if tail else 0)
                 row = np.array([before + self.count(tail + part[:k]) for k in range(1, len(part))] + [n + 1], dtype=np.int64)
                 tail = ""
             else:
-                row, at, m, tail = np.full(len(part), n, dtype=np.int64), 0, n, ""
-                for w in self.find(part):
-                    s = part.index(w, at)
-                    e = s + len(w)
-                    row[at:s] = m
-                    row[s:e] = m + self.table(w)[1:]
-                    m = int(row[e - 1])
-                    at = e
-                    tail = w if e == len(part) else ""
-                row[at:] = m
+                row, last = n + counts_of(b"".join(map(self.word_steps, self.pieces(part))))[1:], self.pieces(part)[-1:]
+                tail = last[0] if last and not self.space(last[0]) else ""
             if len(row):
                 out.append(row)
                 n = int(row[-1])
         return np.concatenate(out)
 
     def cut(self, text: str, budget: int) -> int:
-        """The most code points of the normalised text whose tokens, and those of every shorter prefix, are within ``budget``."""
-        highest = np.maximum.accumulate(self.prefixes(text))
-        return bisect_right(highest.tolist(), budget) - 1
+        return cut_of(self.prefixes(text), budget)
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, dtype=np.int8), dtype=np.int64)])
+
+
+def cut_of(counts: np.ndarray, budget: int) -> int:
+    """The most code points whose tokens, and those of every shorter prefix, are within ``budget``."""
+    return int(np.searchsorted(np.maximum.accumulate(counts), budget, side="right")) - 1
 
 
 @lru_cache(maxsize=2)
@@ -250,5 +276,36 @@ def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text
     return common.in_batches(common.texts(docs, id_col, text_col), run, schema)
 
 
+def prefix_tables(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A stored table (doc_id, n_bytes, steps): the prefix table of each text, its steps deflated."""
+    path = path or default_vocabulary()
+
+    def run(batches):
+        bpe = vocabulary(path)
+        for b in batches:
+            read = b.column("text").to_pylist()
+            sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in read], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, pa.array([zlib.compress(bpe.prefix_steps(t), 1) for t in read], pa.binary())], names=["doc_id", "n_bytes", "steps"])
+
+    return common.stored(common.in_batches(common.texts(docs, id_col, text_col), run, "doc_id long, n_bytes long, steps binary"), "prefixes")
+
+
+def answered(tables: DataFrame, budgets: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, fits) from stored tables alone: ``fits`` has for each budget the code points of the normalised text within it."""
+
+    def run(batches):
+        for b in batches:
+            counts = [counts_of(zlib.decompress(x.as_py())) for x in b.column("steps")]
+            out = [pa.array([int(c[-1]) for c in counts], pa.int64()), pa.array([[cut_of(c, k) for k in budgets] for c in counts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *out], names=["doc_id", "n_bytes", "n_tokens", "fits"])
+
+    return common.in_batches(tables, run, "doc_id long, n_bytes long, n_tokens long, fits array<long>")
+
+
+LIMIT = 2048
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(common.documents(spark, sf_dir)).selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 over_limit")
+    """Counts, and the code points within the limit, read from each text's stored prefix table."""
+    found = answered(prefix_tables(common.documents(spark, sf_dir)), (LIMIT,))
+    return found.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {LIMIT} AS over_limit", "fits[0] AS chars_within_limit")
