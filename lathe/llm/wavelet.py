@@ -11,8 +11,9 @@ step for each bit. A shard's file is
 
 All numbers are little-endian. Rank directories are rebuilt on opening; they would be an eighth of the planes.
 
-Shards are rows of a table below the shared folder (first id, number, file): Spark's writers commit them whole, to
-whatever store that folder is in, also when executors are lost. ``export`` writes the files themselves.
+Shards are files below the shared folder, or another that pyarrow can open: a task writes each under a name of its own
+attempt and names it in a stored table (order, first id, path, sizes), which Spark commits whole; so a task that is run again
+leaves files that nothing names, and readers see each shard once. They open the files that the table names.
 
 Defined cases: a null or empty text has the end id alone; null document ids come first; rows of one id keep a fixed
 order (by text) and are written one after the other; other columns are ignored; an empty table gives no shards.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,22 +235,38 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """A stored table (first_id, last_id, part, n_docs, n_ids, file): the shards, in ascending order of ``first_id, part``."""
+def opened(folder: str):
+    """(store, path within it) of a folder or file: a URI, or a path of a shared file system."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID, shard_ids: int = SHARD_IDS, folder: str | None = None) -> DataFrame:
+    """A stored table (place, first_id, last_id, n_docs, n_ids, path): the shards written, in ascending order of ``place``."""
     from lathe.llm import bpe
 
     path = path or bpe.default_vocabulary()
+    folder = folder or f"{common.shared_dir(docs.sparkSession)}/lathe-shard-files-{uuid.uuid4().hex}"
     ordered = common.texts(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    schema = "first_id long, last_id long, part int, n_docs long, n_ids long, file binary"
+    names = ["place", "first_id", "last_id", "n_docs", "n_ids", "path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        task = TaskContext.get()
+        store, at_folder = opened(folder)
         ids, doc_ids, counts, held, part = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
+            # ranges are in the order of partitions
+            place = (task.partitionId() << 32) + part
+            name = f"shard-{place:016x}-{task.taskAttemptId()}.lwm"
             starts = np.cumsum([0, *counts])
-            row = [[doc_ids[0]], [doc_ids[-1]], [part], [len(doc_ids)], [int(starts[-1])], [pack(doc_ids, starts, np.concatenate(ids), end_id)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["first_id", "last_id", "part", "n_docs", "n_ids", "file"])
+            store.create_dir(at_folder, recursive=True)
+            with store.open_output_stream(f"{at_folder}/{name}") as out:
+                out.write(pack(doc_ids, starts, np.concatenate(ids), end_id))
+            row = [[place], [doc_ids[0]], [doc_ids[-1]], [len(doc_ids)], [int(starts[-1])], [f"{folder}/{name}"]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 5, pa.string()], strict=True)], names=names)
 
         for b in batches:
             read, own_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
@@ -265,58 +284,48 @@ def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text
         if doc_ids:
             yield close()
 
-    return common.stored(common.in_batches(ordered, run, schema), "shards")
+    return common.stored(common.in_batches(ordered, run, "place long, first_id long, last_id long, n_docs long, n_ids long, path string"), "shards")
 
 
-def numbered(shards: DataFrame) -> DataFrame:
-    """(first_id, part, start): ids in all shards before each. Shards are few: one for each couple of million ids."""
-    from pyspark.sql import Window
+def read_shard(path: str) -> Shard:
+    store, at = opened(path)
+    with store.open_input_file(at) as f:
+        return Shard(f.read())
 
-    small = shards.select("first_id", "last_id", "part", "n_ids")
-    in_order = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "part")
-    return small.select("first_id", "part", (F.sum("n_ids").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")).alias("start"))
+
+def numbered(shards: DataFrame) -> DataFrame:
+    """(place, start): ids in all shards before each, summed by ranges of shards."""
+    return common.prefix_sums(shards.select("place", "n_ids"), "place", "n_ids", "start").select("place", "start")
 
 
 def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, from the files alone."""
-    schema = "first_id long, part int, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
+    """(doc_id, start, n_tokens, ids_crc32, last_id, n_end_ids[, ids]) of each document, from the files alone.
+
+    The ids are the shard's, decoded; the last one is looked up by access, and end ids are counted by ranks.
+    """
+    schema = "place long, doc_id long, inner long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long" + ", ids array<int>" * ids
 
     def run(batches):
         for b in batches:
-            for first, part, file in zip(b.column("first_id").to_pylist(), b.column("part").to_pylist(), b.column("file"), strict=True):
-                shard = Shard(file.as_py())
+            for place, path in zip(b.column("place").to_pylist(), b.column("path").to_pylist(), strict=True):
+                shard = read_shard(path)
                 tokens = shard.decode()
                 edges = shard.starts.tolist()
                 docs = [tokens[a:z] for a, z in zip(edges, edges[1:], strict=False)]
                 n = len(docs)
-                columns = [pa.array([first] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(edges[:-1], pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())]
+                last = [shard.access(z - 1) for z in edges[1:]]
+                ends = [shard.count(shard.end_id, a, z) for a, z in zip(edges, edges[1:], strict=False)]
+                numbers = [[place] * n, shard.doc_ids, edges[:-1], [len(d) for d in docs], [zlib.crc32(d.tobytes()) for d in docs], last, ends]
+                columns = [pa.array(c, pa.int64()) for c in numbers]
                 if ids:
                     columns.append(pa.array([d.astype(np.int32) for d in docs], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["first_id", "part", "doc_id", "inner", "n_tokens", "ids_crc32", *(["ids"] * ids)])
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "inner", "n_tokens", "ids_crc32", "last_id", "n_end_ids", *(["ids"] * ids)])
 
-    # a row is a file of some MB
-    found = common.in_batches(shards.select("first_id", "part", "file"), run, schema, rows=1)
-    starts = numbered(shards).select(F.col("first_id").alias("_first"), F.col("part").alias("_part"), F.col("start").alias("_start"))
-    joined = found.join(starts, found["first_id"].eqNullSafe(starts["_first"]) & (found["part"] == starts["_part"]))
-    return joined.select("doc_id", (F.col("_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * ids))
-
-
-def export(shards: DataFrame, folder: str) -> list[str]:
-    """Writes the files themselves, ``shard-<first id>-<part>.lwm``, to a folder or URI that pyarrow can open; names by first id."""
-
-    def run(batches):
-        from pyarrow import fs
-
-        for b in batches:
-            names = []
-            for first, part, file in zip(b.column("first_id").to_pylist(), b.column("part").to_pylist(), b.column("file"), strict=True):
-                store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-                names.append(f"shard-{first}-{part}.lwm")
-                with store.open_output_stream(f"{at}/{names[-1]}") as out:
-                    out.write(file.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(names)], names=["name"])
-
-    return sorted(r[0] for r in shards.select("first_id", "part", "file").mapInArrow(run, "name string").toLocalIterator())
+    # a row stands for a file of some MB: few to a task
+    listed = shards.select("place", "path").repartition(max(1, -(-shards.count() // 4)), "place")
+    found = common.in_batches(listed, run, schema, rows=1)
+    joined = found.join(numbered(shards), "place")
+    return joined.select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "last_id", "n_end_ids", *(["ids"] * ids))
 
 
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lathe.llm import automaton, bpe, media, secret_scan, token_count, wavelet
@@ -106,11 +108,53 @@ def test_shards(spark, odd, empty, library, tmp_path):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (doc_id, at, len(ids), ids)
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
         at += len(ids)
-    names = wavelet.export(shards, str(tmp_path))
-    assert len(names) == shards.count() and all(wavelet.Shard((tmp_path / n).read_bytes()).matrix.n for n in names)
+        assert r["last_id"] == 0 and r["n_end_ids"] == ids.count(0)
+    own = wavelet.write_shards(odd, folder=str(tmp_path / "files"))
+    assert {r["path"] for r in own.collect()} <= {str(f) for f in (tmp_path / "files").iterdir()} and all(wavelet.read_shard(r["path"]).matrix.n == r["n_ids"] for r in own.collect())
     assert wavelet.read_documents(wavelet.write_shards(empty)).count() == 0
 
 
+def test_op4_query(spark, sf_dir, docs, library):
+    got = sorted(wavelet.op4_wavelet_tokens(spark, sf_dir).collect(), key=lambda r: r["doc_id"])
+    at = 0
+    for r, own in zip(docs.orderBy("doc_id").collect(), got, strict=True):
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        assert tuple(own) == (r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), 0, ids.count(0))
+        at += len(ids)
+
+
+def test_op2_query(spark, sf_dir, docs, library):
+    got = {r["doc_id"]: r for r in bpe.op2_bpe_roundtrip(spark, sf_dir).collect()}
+    read = docs.collect()
+    assert len(got) == len(read)
+    for r in read:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        own = got[r["doc_id"]]
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (own["n_tokens"], own["ids_sha256"], own["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_op5_query(spark, sf_dir, docs):
+    other = Tokenizer.from_file(token_count.default_vocabulary())
+    got = {r["doc_id"]: r for r in token_count.op5_token_counts(spark, sf_dir).collect()}
+    read, own = docs.collect(), token_count.WordBpe(token_count.default_vocabulary())
+    assert len(got) == len(read)
+    for r in read:
+        text = r["text"] or ""
+        n = len(other.encode(text, add_special_tokens=False).ids)
+        assert tuple(got[r["doc_id"]])[:4] == (r["doc_id"], len(text.encode()), n, n > 2048)
+        cut, whole = got[r["doc_id"]]["chars_within_limit"], "".join(p for p, _ in own.parts(text))
+        assert cut == len(whole) or len(other.encode(whole[:cut], add_special_tokens=False).ids) <= 2048 < n
+
+
+def test_stored_tables_answer_budgets(spark, odd, empty):
+    tables = token_count.prefix_tables(odd)
+    own = token_count.WordBpe(token_count.default_vocabulary())
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], tuple(r["fits"])) for r in token_count.answered(tables, (0, 2, 100)).collect())
+    assert got == Counter((r["doc_id"], len((r["text"] or "").encode()), own.count(r["text"] or ""), tuple(own.cut(r["text"] or "", k) for k in (0, 2, 100))) for r in odd.collect())
+    assert token_count.answered(token_count.prefix_tables(empty)).count() == 0
+
+
 FRAGMENTS = ["password", "token", ":", "=", "=", " ", "'", '"', "api_key", "apikey", "abc", "AKIA", "0123456789abcdef", "f", "é", "\n", "TOKEN", "secret", "A1B2C3D4E5F6G7H8", ".", "-", "Z", "ſecret"]
 
 
@@ -169,21 +213,45 @@ def test_images_give_back_their_samples(data):
         media.from_png(media.to_png(payload)[:-20])
 
 
-def test_media_resolve(spark, odd, empty):
-    store = media.store_texts(odd, media.text_page)
-    rows = media.exploded(media.sequences(store.select("doc_id", "n_bytes", "html")), ["doc_id", "n_bytes"])
-    found = media.resolved(rows.where("kind = 'media'"), media.described(store)).collect()
-    assert len(found) == odd.count()
-    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
-    for r in found:
-        payload = media.payload_of(texts[r["doc_id"]])
-        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["caption"] == f"Text of document {r['doc_id']}" and r["n_bytes"] == len(texts[r["doc_id"]].encode())
-    joined = media.assembled(media.resolved(rows.where("doc_id = 4"), media.described(store)), "doc_id", ["kind", "text", "caption", "payload_bytes"]).first()
-    assert [x["kind"] for x in joined["items"]] == ["text", "media"] and joined["items"][1]["payload_bytes"] == 64
+def sequence_of(text):
+    """What the query gives for a text, by the page's items and the payloads themselves."""
+    stored = {}
+
+    def store(part):
+        png = media.to_png(media.payload_of(part))
+        stored[hashlib.sha256(png).hexdigest()] = png
+        return hashlib.sha256(png).hexdigest()
+
+    found, shown = media.items(media.text_page(text, store)), []
+    for x in found:
+        payload = media.from_png(stored[x["digest"]]) if x["digest"] else None
+        shown.append("|".join([str(x["position"]), x["kind"], hashlib.sha256(x["text"].encode()).hexdigest() if x["text"] else "", hashlib.sha256(payload).hexdigest() if payload else "", media.feature(payload) if payload else "", x["caption"] or ""]))
+    payload = media.payload_of(text)
+    png = media.to_png(payload)
+    return (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), media.feature(payload), len(found), 2, hashlib.sha256("\n".join(shown).encode()).hexdigest())
+
+
+def test_op10_query(spark, sf_dir, docs, odd, empty, monkeypatch):
+    """Every column is what brute force gives; copies have equal values."""
+    for table in (docs, odd):
+        monkeypatch.setattr(media.common, "documents", lambda spark, sf_dir, table=table: table)
+        got = Counter(map(tuple, media.op10_media_sequences(spark, sf_dir).collect()))
+        assert got == Counter((r["doc_id"], *sequence_of(r["text"] or "")) for r in table.collect())
+    monkeypatch.setattr(media.common, "documents", lambda spark, sf_dir: empty)
+    assert media.op10_media_sequences(spark, sf_dir).count() == 0
+
+
+def test_sequences_are_interleaved(spark):
+    docs = spark.createDataFrame([(1, "one\ntwo <b>\n\nthree"), (2, "one\nfour")], "doc_id long, text string")
+    table = media.sequences(media.paged(docs, media.text_page))
+    facts = media.described(table.select(F.explode("stored").alias("x")).select("x.*"))
+    rows = media.resolved(media.exploded(table, ["doc_id"]), facts)
+    got = {r["doc_id"]: [(x["kind"], x["text"] or x["caption"], x["payload_bytes"]) for x in r["items"]] for r in media.assembled(rows, ["doc_id"], ["kind", "text", "caption", "payload_bytes"]).collect()}
+    assert got[1] == [("media", media.WHOLE, 64), ("text", "one", None), ("media", media.FIRST, 64), ("text", "two <b>", None), ("text", "three", None)]
+    assert [x[1] for x in got[2]] == [media.WHOLE, "one", media.FIRST, "four"]
     lost = spark.createDataFrame([("zz", 1)], "digest string, payload_bytes long")
-    assert media.resolved(rows.where("kind = 'media'"), lost).where("payload_bytes is null").count() == odd.count()
-    assert media.store_texts(empty, media.text_page).count() == 0
+    left = media.resolved(media.exploded(table, ["doc_id"]), lost)
+    assert left.where("digest is not null and payload_bytes is null").count() == 4 and left.count() == 9
 
 
 def test_pages_parse(spark, sf_dir):
