@@ -216,6 +216,38 @@ def test_targets_reshare_until_none_is_above(spark):
     assert (got["a"], got["b"]) == (30, 3) and got[None] == pytest.approx(1078 / 4) and got["c"] == pytest.approx(1078 * 3 / 4)
 
 
+def water_filled(sizes, most=3):
+    """Targets by resharing the excess, source by source."""
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    weight = {n: 1 + i % 3 for i, n in enumerate(names)}
+    target, open_ = dict.fromkeys(names, 0.0), set(names)
+    while True:
+        left = sum(sizes.values()) - sum(target[n] for n in names if n not in open_)
+        share = {n: left * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        over = {n for n in open_ if share[n] > most * sizes[n]}
+        if not over:
+            return target | share
+        for n in over:
+            target[n] = most * sizes[n]
+        open_ -= over
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(11)
+    sizes = {**{f"host{rnd.randrange(10**6)}": int(rnd.paretovariate(0.6)) for _ in range(700)}, None: 50, "": 9}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()}
+    want = water_filled(sizes)
+    assert set(got) == set(want) and all(got[n] == pytest.approx(want[n]) for n in want)
+
+
+def test_null_ids_draw_by_text(spark):
+    rows = [(None, f"w{i} x", s) for i in range(400) for s in "ab"] + [(None, "y", "c")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = {r["source"]: r["rate"] for r in mixing.rates(df).collect()}
+    taken = Counter(r["source"] for r in mixing.mix(df).collect())
+    assert all(abs(taken[s] - 400 * rate[s]) < 60 for s in "ab")
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, f"s{i % 3}", "w " * (1 + i % 50)) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
