@@ -6,7 +6,6 @@ copies of it; repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import lru_cache
 
@@ -101,13 +100,3 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin(*[r.kind for r in BASE]))
     joined = lambda a: F.array_join(F.transform(a, text), ",")
     return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-
-
-def brute_force(text: str) -> tuple[int, int, int, str]:
-    """The base counts and digest by Python's ``re``, for tests."""
-    found = [(m.start(), 0, m.end()) for m in re.finditer(_ASSIGN.pattern.decode(), text, re.ASCII) if len(m[1]) >= 6]
-    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-    found.sort()
-    n = [sum(r == k for _, r, _ in found) for k in range(3)]
-    return (*n, hashlib.sha256(",".join(f"{BASE[r].kind}:{s}:{e}" for s, r, e in found).encode()).hexdigest())

@@ -2,17 +2,20 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from lathe.llm import common, components, cotrain, jaccard_join, mixing, order_minhash, registry, substring_dedup
+from lathe.llm import bpe, common, components, cotrain, jaccard_join, mixing, order_minhash, registry, substring_dedup
 from lathe.llm.shingles import shingle_set
+from tests.llm.test_tokens import plain_redact
 
 
 # --- repeated passages
@@ -450,6 +453,31 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()))
 
 
+def test_pipeline_by_brute_force(spark):
+    """Each stage on its own input in plain Python; scores by the fitted models on figures made here."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs, library = common.documents(spark, sf_dir), Tokenizer.from_file(bpe.default_vocabulary())
+    model = cotrain.fit(cotrain.figured(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    read = docs.collect()
+    seen = [cotrain.figures(r["text"] or "") for r in read]
+    every = cotrain.Rows(np.array([f for f, _ in seen], dtype=np.float32), [w for _, w in seen], [cotrain.metadata(r["lang"], r["source"], r["n_chars"]) for r in read], [None] * len(read))
+    good = [r for r, score in zip(read, model.scores(every)[2], strict=True) if round(score, 6) >= cotrain.KEEP]
+    least = {d: c for d, c, _ in linked([(r["doc_id"], r["text"]) for r in good])}
+    own = [(r["doc_id"], plain_redact(r["text"]), r["source"]) for r in good if least[r["doc_id"]] == r["doc_id"]]
+    sizes = Counter()
+    for _, text, source in own:
+        sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    target, want = water_filled(sizes), Counter()
+    for d, text, source in own:
+        rate = target[source] / sizes[source] if sizes[source] else 0.0
+        chance = int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:8], 16) / 2**32
+        ids = library.encode(text, add_special_tokens=False).ids
+        n = int(rate) + (chance < rate - int(rate))
+        if n:
+            want[d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()] += n
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
 def test_batches_are_bounded_by_the_plan(spark, monkeypatch):
     """Operators leave the session's settings alone, and a plan keeps its bound whatever else was planned after it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
