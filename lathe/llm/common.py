@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -49,12 +50,27 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` on slices of so many rows: the bound goes along with the plan, whatever the session's settings are when it runs."""
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                yield b.slice(k, rows)
+            del b
+            released()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return work(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        yield from work(sliced(batches))
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Gives back to the system what a worker has freed: workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def passing(docs: DataFrame, work: Callable[[list[str]], list[list]], text_col: str, added: list[tuple[str, pa.DataType, T.DataType]]) -> DataFrame:
     """``docs`` with all its columns and ``added`` after them, computed batch by batch from the texts."""
     names = [n for n, _, _ in added]
