@@ -222,18 +222,26 @@ def paged(docs: DataFrame, page: Callable[[str, Callable[[str], str]], str], tex
     return common.in_batches(common.texts(docs, id_col, text_col), run, schema)
 
 
-def described(media: DataFrame) -> DataFrame:
-    """What the stored bytes of each digest give: (digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+def described(media: DataFrame, packed: bool = False) -> DataFrame:
+    """What the stored bytes of each digest give, once: (digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, feature).
+
+    The digest is the stored bytes' own sha256; bytes that have another are damaged, which is an error. ``packed``: digests as
+    bytes, half as long to shuffle. The table is stored, so that in a join with it Spark can split a digest of very many rows.
+    """
+    kind, digests = ("binary", pa.binary()) if packed else ("string", pa.string())
+    schema = f"digest {kind}, payload_bytes long, payload_sha256 {kind}, tail_crc32 long, media_bytes long, feature string"
+    types = (digests, pa.int64(), digests, pa.int64(), pa.int64(), pa.string())
 
     def run(batches):
         for b in batches:
             rows = []
             for digest, png in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                payload = from_png(png)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature(payload)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
+                payload, own = from_png(png), hashlib.sha256(png)
+                if own.hexdigest() != digest:
+                    raise ValueError(f"the image of {digest} is damaged")
+                found = hashlib.sha256(payload)
+                rows.append((own.digest() if packed else digest, len(payload), found.digest() if packed else found.hexdigest(), zlib.crc32(payload[-64:]), len(png), feature(payload)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return common.stored(common.in_batches(media.where("media is not null").select("digest", "media"), run, schema).dropDuplicates(["digest"]), "described")
@@ -250,16 +258,21 @@ def text_page(text: str, store: Callable[[str], str]) -> str:
 
 
 def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of each text's own image, and its page's resolved sequence as a digest; texts of paragraphs go by their digests."""
+    """The facts of each text's own image, and its page's resolved sequence as a digest; here texts of paragraphs go by hashes, and digests as bytes."""
     parsed = sequences(paged(common.documents(spark, sf_dir), text_page))
-    brief = F.transform("items", lambda x: x.withField("text", F.sha2(x["text"], 256)))
+    brief = F.transform("items", lambda x: F.struct(x["position"].alias("position"), F.xxhash64(x["text"]).alias("text"), F.unhex(x["digest"]).alias("digest"), x["caption"].alias("caption")))
     # a key of its own tells rows of one id apart; written with the rows, so it is the same wherever they are read
     table = common.stored(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", brief.alias("items"), "stored"), "pages")
-    facts = described(table.select(F.explode("stored").alias("_one")).select("_one.*"))
-    keys = ["row", "doc_id", "n_bytes"]
-    items_ = resolved(exploded(table, keys), facts)
-    own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    whole = assembled(items_, keys, ["kind", "text", "digest", "caption", *own])
-    shown = F.transform("items", lambda x: F.concat_ws("|", x["position"].cast("string"), x["kind"], F.coalesce(x["text"], F.lit("")), F.coalesce(x["payload_sha256"], F.lit("")), F.coalesce(x["feature"], F.lit("")), F.coalesce(x["caption"], F.lit(""))))
+    facts = described(table.select(F.explode("stored").alias("_one")).select("_one.*"), packed=True)
+    # the id and the size go along with the first item alone
+    first = F.when(F.col("position") == 0, F.struct("doc_id", "n_bytes")).alias("of")
+    items_ = resolved(exploded(table, ["row", "doc_id", "n_bytes"]).select("row", first, "position", "text", "digest", "caption"), facts)
+    own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
+    whole = assembled(items_, ["row"], ["of", "text", "digest", "caption", *own])
+    shown = F.transform("items", lambda x: F.concat_ws("|", x["position"].cast("string"), F.coalesce(F.lower(F.hex(x["payload_sha256"])), x["text"].cast("string")), F.coalesce(x["feature"], F.lit("")), F.coalesce(x["caption"], F.lit(""))))
     image = F.get(F.filter("items", lambda x: x["caption"] == WHOLE), F.lit(0))
-    return whole.select("doc_id", "n_bytes", *(image[c].alias(c) for c in own), F.size("items").alias("n_items"), F.size(F.filter("items", lambda x: x["kind"] == "media")).alias("n_media"), F.sha2(F.array_join(shown, "\n"), 256).alias("sequence_sha256"))
+    sha = {"payload_sha256": F.lower(F.hex(image["payload_sha256"])), "media_sha256": F.lower(F.hex(image["digest"]))}
+    of = F.get("items", F.lit(0))["of"]
+    columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    n_media = F.size(F.filter("items", lambda x: x["digest"].isNotNull()))
+    return whole.select(of["doc_id"].alias("doc_id"), of["n_bytes"].alias("n_bytes"), *(sha.get(c, image[c] if c in own else None).alias(c) for c in columns), F.size("items").alias("n_items"), n_media.alias("n_media"), F.sha2(F.array_join(shown, "\n"), 256).alias("sequence_sha256"))

@@ -78,6 +78,12 @@ def test_repeats_in_odd_rows(odd, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_places_by_shuffle(spark, sf_dir, docs, monkeypatch):
+    """The plan beyond the bound of broadcasts gives the same rows."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
+    assert Counter(map(tuple, substring_dedup.op3_substring_dedup(spark, sf_dir).collect())) == repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_op3_query(spark, sf_dir, docs):
     assert Counter(map(tuple, substring_dedup.op3_substring_dedup(spark, sf_dir).collect())) == repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
 

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from lathe.llm import automaton, bpe, media, secret_scan, token_count, wavelet
 
@@ -270,7 +271,8 @@ def sequence_of(text):
     found, shown = media.items(media.text_page(text, store)), []
     for x in found:
         payload = media.from_png(stored[x["digest"]]) if x["digest"] else None
-        shown.append("|".join([str(x["position"]), x["kind"], hashlib.sha256(x["text"].encode()).hexdigest() if x["text"] else "", hashlib.sha256(payload).hexdigest() if payload else "", media.feature(payload) if payload else "", x["caption"] or ""]))
+        own = hashlib.sha256(payload).hexdigest() if payload else int.from_bytes(xxh64_intdigest(x["text"].encode(), 42).to_bytes(8), signed=True)
+        shown.append("|".join([str(x["position"]), str(own), media.feature(payload) if payload else "", x["caption"] or ""]))
     payload = media.payload_of(text)
     png = media.to_png(payload)
     return (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), media.feature(payload), len(found), 2, hashlib.sha256("\n".join(shown).encode()).hexdigest())
