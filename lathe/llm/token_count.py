@@ -36,6 +36,8 @@ from lathe.llm.bpe import byte_characters, words_of
 
 #: Words, and pairs of tokens, kept in each worker; beyond that the later half, mostly rare ones, is forgotten.
 REMEMBERED = 600_000
+#: Characters of a prefix that is remembered for other words.
+SHARED = 8
 #: The published pattern of this family of lower-case vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 END = "</w>"
@@ -83,6 +85,7 @@ class WordBpe:
         self.pieces = words_of(PATTERN + r"|\s+")
         self.space = regex.compile(r"\s+").fullmatch
         self.steps_of: dict[str, bytes] = {}
+        self.states: dict[str, tuple[str, int, int]] = {}
         self.latin = bytes(range(256)).decode("latin-1")
         self.as_chars = str.maketrans(dict(zip(self.latin, chars, strict=True)))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -123,25 +126,46 @@ class WordBpe:
             self.own[token] = self.plain(self.symbols(token)) == [token]
         return self.own[token]
 
+    def _last(self, word: str, i: int, end: str, last: list[str]) -> tuple[str, int]:
+        """The last token of the encoding of the first ``i`` characters, in one of its forms, and where it begins."""
+        tokens, reach = (self.ended, self.reach[1]) if end else (self.going, self.reach[0])
+        known = self.pairs.get
+        longest = reach.get(word[i - 3 if i > 3 else 0 : i], 2)
+        for j in range(i - longest if i > longest else 0, i):
+            token = word[j:i] + end
+            if token in tokens:
+                if j:
+                    good = known((last[j], token))
+                    if good is None:
+                        good = self.together(last[j], token)
+                else:
+                    good = self.itself(token)
+                if good:
+                    return token, j
+        raise AssertionError(f"no last token at {i} of {word!r}")
+
     def steps(self, word: str, every: bool) -> tuple[list[int], list[int]]:
-        """Tokens of each prefix of ``word`` (characters that stand for bytes), going on and, if ``every``, ended; else only the whole ended."""
+        """Tokens of each prefix of ``word`` (characters that stand for bytes), going on and, if ``every``, ended; else only the whole ended.
+
+        With ``every``, what is found for short prefixes is remembered: very many words share them.
+        """
         n = len(word)
         last, count = [""] * (n + 1), [0] * (n + 1)
         closed = [0] * (n + 1)
-        forms = [("", self.going, self.reach[0]), (END, self.ended, self.reach[1])]
         for i in range(1, n + 1):
-            for end, tokens, reach in forms if every and i < n else forms[i == n :][:1]:
-                longest = reach.get(word[i - 3 if i > 3 else 0 : i], 2)
-                for j in range(i - longest if i > longest else 0, i):
-                    token = word[j:i] + end
-                    if token in tokens and (self.together(last[j], token) if j else self.itself(token)):
-                        if end:
-                            closed[i] = count[j] + 1
-                        else:
-                            last[i], count[i] = token, count[j] + 1
-                        break
-                else:
-                    raise AssertionError(f"no last token at {i} of {word!r}")
+            known = self.states.get(word[:i]) if every and i <= SHARED else None
+            if known:
+                last[i], count[i], closed[i] = known
+                continue
+            if every or i < n:
+                last[i], j = self._last(word, i, "", last)
+                count[i] = count[j] + 1
+            if every or i == n:
+                closed[i] = count[self._last(word, i, END, last)[1]] + 1
+            if every and i <= SHARED:
+                if len(self.states) > REMEMBERED // 2:
+                    self.states.clear()
+                self.states[word[:i]] = last[i], count[i], closed[i]
         return count, closed
 
     def total(self, word: str) -> int:
@@ -205,7 +229,15 @@ class WordBpe:
         if found is None:
             if len(self.steps_of) > REMEMBERED:
                 self.steps_of = dict(islice(self.steps_of.items(), REMEMBERED // 2))
-            found = self.steps_of[piece] = bytes(len(piece)) if self.space(piece) else np.diff(self.table(piece)).astype(np.int8).tobytes()
+            if self.space(piece):
+                found = bytes(len(piece))
+            elif piece.isascii() and piece[0] != "'":
+                # a character is a byte: the table's differences as they come
+                counts = self.steps(piece.translate(self.as_chars), every=True)[1]
+                found = bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
+            else:
+                found = np.diff(self.table(piece)).astype(np.int8).tobytes()
+            self.steps_of[piece] = found
         return found
 
     def prefix_steps(self, text: str) -> bytes:
