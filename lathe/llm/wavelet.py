@@ -127,6 +127,30 @@ class WaveletMatrix:
             i = self.select(level, b, i - self.zeros[level] if b else i)
         return i
 
+    def ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """``rank1`` of many places at once."""
+        words = self.planes[level]
+        sums = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+        whole, rest = at >> 6, (at & 63).astype(np.uint64)
+        part = words[np.minimum(whole, len(words) - 1)] & ((np.uint64(1) << rest) - np.uint64(1))
+        return sums[whole] + np.bitwise_count(part)
+
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(at), dtype=np.int64)
+        for level in range(self.bits):
+            bit = (self.planes[level][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            ones = self.ranks(level, at)
+            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+            value = value << 1 | bit
+        return value
+
+    def count_many(self, value: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How often an id stands in each of many stretches."""
+        for level in range(self.bits):
+            a, b = self.ranks(level, start), self.ranks(level, end)
+            start, end = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.bits - 1 - level) & 1 else (start - a, end - b)
+        return end - start
+
     def decode(self) -> np.ndarray:
         """All ids in order: each level's moves undone, from the lowest up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
@@ -192,6 +216,13 @@ class Shard:
         code = self._code(token)
         return 0 if code is None else self.matrix.count(code, start, end)
 
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        return self.alphabet[self.matrix.access_many(at)]
+
+    def count_many(self, token: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        code = self._code(token)
+        return np.zeros(len(start), dtype=np.int64) if code is None else self.matrix.count_many(code, start, end)
+
     def find(self, token: int, k: int) -> int:
         code = self._code(token)
         return -1 if code is None else self.matrix.find(code, k)
@@ -313,8 +344,8 @@ def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
                 edges = shard.starts.tolist()
                 docs = [tokens[a:z] for a, z in zip(edges, edges[1:], strict=False)]
                 n = len(docs)
-                last = [shard.access(z - 1) for z in edges[1:]]
-                ends = [shard.count(shard.end_id, a, z) for a, z in zip(edges, edges[1:], strict=False)]
+                last = shard.access_many(shard.starts[1:] - 1).tolist()
+                ends = shard.count_many(shard.end_id, shard.starts[:-1], shard.starts[1:]).tolist()
                 numbers = [[place] * n, shard.doc_ids, edges[:-1], [len(d) for d in docs], [zlib.crc32(d.tobytes()) for d in docs], last, ends]
                 columns = [pa.array(c, pa.int64()) for c in numbers]
                 if ids:

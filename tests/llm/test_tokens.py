@@ -95,6 +95,9 @@ def test_wavelet_matrix(n):
     assert (m.decode() == ids).all()
     assert all(m.access(i) == ids[i] for i in range(0, n, max(1, n // 40)))
     assert m.count(7) == (ids == 7).sum() and m.count(7, n // 3, n // 2) == (ids[n // 3 : n // 2] == 7).sum()
+    at = np.arange(0, n, max(1, n // 40))
+    assert (m.access_many(at) == ids[at]).all()
+    assert m.count_many(7, at[:-1], at[1:]).tolist() == [int((ids[a:b] == 7).sum()) for a, b in zip(at, at[1:], strict=False)] and m.count_many(7, np.array([0]), np.array([n]))[0] == (ids == 7).sum()
     where = np.flatnonzero(ids == 7)
     assert [m.find(7, k) for k in range(0, len(where), 11)] == where[::11].tolist() and m.find(7, len(where)) == -1 == m.find(60000, 0) and m.count(60000) == 0
 
