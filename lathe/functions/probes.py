@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +79,18 @@ def subject_rephrase(x: Column, modal: Column) -> Column:
     return F.when(~text.rlike(r"(?i)^(if|when|while|where|unless)\b") & (F.size(tokens(found)) >= 8), found)
 
 
-def candidates(x: Column, modal: Column, n: int = 2, key: Column | None = None) -> Column:
-    """array<struct<operation, text>>: what the rule operations give, without what repeats the source or each other, the first n."""
-    made = [("modal_synonym", modal_synonym(x, modal, key)), ("condition_syn", condition_synonym(x, key)), ("clause_expand", clause_expand(x)), ("subject_rephrase", subject_rephrase(x, modal))]
-    every = F.array(*(F.struct(F.lit(name).alias("operation"), text.alias("text")) for name, text in made))
+#: Operations that keep the meaning, in the order in which they are tried: (text, modal, key or None) -> variant or null.
+OPERATIONS: dict[str, Callable[[Column, Column, Column | None], Column]] = {
+    "modal_synonym": modal_synonym,
+    "condition_syn": lambda x, modal, key: condition_synonym(x, key),
+    "clause_expand": lambda x, modal, key: clause_expand(x),
+    "subject_rephrase": lambda x, modal, key: subject_rephrase(x, modal),
+}
+
+
+def candidates(x: Column, modal: Column, n: int = 2, key: Column | None = None, operations: dict[str, Callable[[Column, Column, Column | None], Column]] = OPERATIONS) -> Column:
+    """array<struct<operation, text>>: what the operations give, without what repeats the source or each other, the first n."""
+    every = F.array(*(F.struct(F.lit(name).alias("operation"), make(x, modal, key).alias("text")) for name, make in operations.items()))
     awkward = lambda t: F.lower(t).rlike(r"\bis\s+going\s+to\b") & F.regexp_extract(t, r"^(\w+)", 1).endswith("s")
     good = F.filter(every, lambda c: c["text"].isNotNull() & (normal_form(c["text"]) != normal_form(x)) & ~awkward(c["text"]))
     fresh = F.filter(good, lambda c, i: ~F.exists(F.slice(good, F.lit(1), i), lambda d: normal_form(d["text"]) == normal_form(c["text"])))

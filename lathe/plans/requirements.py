@@ -65,6 +65,35 @@ def base_items(t: Tables):
     return D.top_k(fresh, "doc_id", [F.abs(F.col("words") - lx.TARGET_WORDS), "item_id"], 3).select("item_id", "doc_id", "modal", "words")
 
 
+_LONG = _REASON.replace("BETWEEN 8 AND 60", "BETWEEN 8 AND CASE WHEN source = '1-URGENT' THEN 100 ELSE 60 END")
+
+
+@query(
+    f"WITH {REQ}, r AS (SELECT *, {_WC} AS words, {_LONG} AS reason FROM req), k AS (SELECT *, row_number() OVER (PARTITION BY left(lower(text), 60) ORDER BY source, doc_id, item_id) AS dup FROM r WHERE reason IS NULL), "
+    "d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(words - 25), item_id) AS place FROM k WHERE dup = 1), s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || item_id), item_id) AS turn FROM d WHERE place <= 20), "
+    "a AS (SELECT source, reason AS status FROM r WHERE reason IS NOT NULL UNION ALL SELECT source, 'duplicate' FROM k WHERE dup > 1 UNION ALL SELECT source, 'document_limit' FROM d WHERE place > 20 UNION ALL SELECT source, CASE WHEN turn <= CASE source WHEN '5-LOW' THEN 150 ELSE 600 END THEN 'kept' ELSE 'source_limit' END FROM s) "
+    "SELECT source, status, count(*) AS n FROM a GROUP BY ALL"
+)
+def base_build(t: Tables):
+    """What becomes of each requirement: a reason, a duplicate, no modal's strength, beyond its document's or, by a seeded shuffle, its source's limit, or kept."""
+    most = F.when(F.col("source") == "1-URGENT", 100).otherwise(lx.MAX_WORDS)
+    x = requirements(t).withColumn("words", word_count(F.col("text")))
+    x = x.withColumn("reason", R.reason(F.col("text"), F.col("words"), most=most))
+    good = D.numbered(x.where("reason is null").withColumn("key", D.near_key(F.col("text"))), "key", ["source", "doc_id", "item_id"], "dup")
+    fresh = good.where("dup = 0").withColumn("strength", M.modal_strength(F.col("text")))
+    placed = D.numbered(fresh.where("strength > 0"), "doc_id", [F.abs(F.col("words") - lx.TARGET_WORDS), "item_id"], "place")
+    turned = D.numbered(placed.where(F.col("place") < lx.MAX_PER_DOC), "source", [D.shuffled(F.col("item_id")), "item_id"], "turn")
+    cap = F.when(F.col("source") == "5-LOW", 150).otherwise(lx.MAX_TOTAL)
+    parts = [
+        x.where("reason is not null").select("source", F.col("reason").alias("status")),
+        good.where("dup > 0").select("source", F.lit("duplicate").alias("status")),
+        fresh.where("strength = 0").select("source", F.lit("modal_strength_0").alias("status")),
+        placed.where(F.col("place") >= lx.MAX_PER_DOC).select("source", F.lit("document_limit").alias("status")),
+        turned.select("source", F.when(F.col("turn") < cap, "kept").otherwise("source_limit").alias("status")),
+    ]
+    return D.union_in_order(parts).groupBy("source", "status").agg(F.count("*").alias("n"))
+
+
 _FIRST = "regexp_replace(text, '(?i)\\b{0}\\b', '{1}')"
 
 

@@ -130,6 +130,14 @@ def test_neighbourhood_injection_and_fill(spark):
     assert injected[0]["probe_id"] == "own" and len(injected) == 5
 
 
+def test_operations_are_a_parameter(spark):
+    own = {"shout": lambda x, modal, key: F.upper(x), "same": lambda x, modal, key: x, "clause_expand": P.OPERATIONS["clause_expand"]}
+    got = values(spark, ["The user shall stop"], P.candidates(F.col("x"), F.lit("shall"), operations=own))
+    assert [(c["operation"], c["text"]) for c in got[0]] == [("clause_expand", "The end user shall stop")]
+    got = values(spark, ["The user shall stop"], P.candidates(F.col("x"), F.lit("shall"), operations={"loud": lambda x, modal, key: F.concat(x, F.lit("!"))}))
+    assert [(c["operation"], c["text"]) for c in got[0]] == [("loud", "The user shall stop!")]
+
+
 def test_lexical_substitution(spark):
     made = P.lexical_substitution(F.col("x"), {"show": ["display"], "all": ["each"]}, ["all"], F.lit(1))
     assert values(spark, ["show all now"], made) == ["display all now"]
