@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lathe.llm import common
 
 #: Words, and chunks between spaces, kept with their tokens in each worker; beyond that the later half, mostly rare ones, is forgotten.
-REMEMBERED, CHUNKS = 200_000, 1_200_000
+REMEMBERED, CHUNKS = 200_000, 700_000
 #: Words of at most so many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
@@ -184,8 +184,8 @@ class Remembered:
     white space, or with added tokens, are cut into words by the pattern. ``learn`` gives the ids of new words.
     """
 
-    def __init__(self, cutter: ByteBpe, learn, at_once: int = 400):
-        self.at_once = at_once
+    def __init__(self, cutter: ByteBpe, learn, at_once: int = 400, most: int | None = None):
+        self.at_once, self.most = at_once, CHUNKS if most is None else most
         self.pieces, self.plain, self.added, self.learn = cutter.pieces, cutter.words, tuple(cutter.added), learn
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -202,8 +202,8 @@ class Remembered:
 
     def _rows(self, texts: list[str]) -> list[bytes]:
         cut = [None if _RUN.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        if len(self.chunks) > CHUNKS:
-            self.chunks = dict(islice(self.chunks.items(), CHUNKS // 2))
+        if len(self.chunks) > self.most:
+            self.chunks = dict(islice(self.chunks.items(), self.most // 2))
         chunks, plain = self.chunks, self.plain
         # most new chunks are letters, or letters and a mark: there the pattern need not be asked
         letters, marked, others = [], [], {}

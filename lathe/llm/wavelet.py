@@ -246,7 +246,7 @@ class Encoder:
         self.kind = np.uint16 if self.library.get_vocab_size(True) <= 1 << 16 else np.uint32
         self.added = {t: k.to_bytes(4, "little") for t, k in bpe.vocabulary(path).added.items()}
         self.chars = str.maketrans(dict(enumerate(bpe.byte_characters())))
-        self.remembered = bpe.Remembered(bpe.vocabulary(path), self.learn, at_once=32)
+        self.remembered = bpe.Remembered(bpe.vocabulary(path), self.learn, at_once=32, most=1_200_000)
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Words by the library's model, which takes bytes as the characters that stand for them."""
