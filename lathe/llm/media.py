@@ -149,7 +149,7 @@ def to_png(payload: bytes) -> bytes:
     raw = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
     raw[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 3)) + _chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def from_png(png: bytes) -> bytes:
@@ -244,7 +244,7 @@ def described(media: DataFrame, packed: bool = False) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return common.stored(common.in_batches(media.where("media is not null").select("digest", "media"), run, schema).dropDuplicates(["digest"]), "described")
+    return common.stored(common.in_batches(media.where("media is not null").select("digest", "media"), run, schema).dropDuplicates(["digest"]), "described", compression="zstd")
 
 
 WHOLE, FIRST = "the whole text", "the first line"
@@ -262,7 +262,7 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = sequences(paged(common.documents(spark, sf_dir), text_page))
     brief = F.transform("items", lambda x: F.struct(x["position"].alias("position"), F.xxhash64(x["text"]).alias("text"), F.unhex(x["digest"]).alias("digest"), x["caption"].alias("caption")))
     # a key of its own tells rows of one id apart; written with the rows, so it is the same wherever they are read
-    table = common.stored(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", brief.alias("items"), "stored"), "pages")
+    table = common.stored(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", brief.alias("items"), "stored"), "pages", compression="zstd")
     facts = described(table.select(F.explode("stored").alias("_one")).select("_one.*"), packed=True)
     # the id and the size go along with the first item alone
     first = F.when(F.col("position") == 0, F.struct("doc_id", "n_bytes")).alias("of")
