@@ -43,6 +43,8 @@ BLOCK = 512
 #: A shard is closed at this many ids.
 SHARD_IDS = 2_000_000
 END_ID = 0
+#: Up to so many shards their starts are broadcast (8 MB); more are joined by shuffle.
+BROADCAST_SHARDS = 500_000
 _NO_ID = -(2**63)
 
 
@@ -353,9 +355,12 @@ def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "inner", "n_tokens", "ids_crc32", "last_id", "n_end_ids", *(["ids"] * ids)])
 
     # a row stands for a file of some MB: few to a task
-    listed = shards.select("place", "path").repartition(max(1, -(-shards.count() // 4)), "place")
+    n = shards.count()
+    listed = shards.select("place", "path").repartition(max(1, -(-n // 4)), "place")
     found = common.in_batches(listed, run, schema, rows=1)
-    joined = found.join(numbered(shards), "place")
+    # said outright: by the size of the list of files, Spark would take the documents to be the small side
+    starts = numbered(shards)
+    joined = found.join(F.broadcast(starts) if n <= BROADCAST_SHARDS else starts.hint("merge"), "place")
     return joined.select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "last_id", "n_end_ids", *(["ids"] * ids))
 
 

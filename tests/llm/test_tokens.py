@@ -102,7 +102,7 @@ def test_wavelet_matrix(n):
     assert [m.find(7, k) for k in range(0, len(where), 11)] == where[::11].tolist() and m.find(7, len(where)) == -1 == m.find(60000, 0) and m.count(60000) == 0
 
 
-def test_shards(spark, odd, empty, library, tmp_path):
+def test_shards(spark, odd, empty, library, tmp_path, monkeypatch):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     shards = wavelet.write_shards(odd, shard_ids=2_000)
     assert shards.count() > 1
@@ -114,6 +114,8 @@ def test_shards(spark, odd, empty, library, tmp_path):
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
         at += len(ids)
         assert r["last_id"] == 0 and r["n_end_ids"] == ids.count(0)
+    monkeypatch.setattr(wavelet, "BROADCAST_SHARDS", 0)
+    assert sorted(wavelet.read_documents(shards, ids=False).collect(), key=lambda r: r["start"]) == [tuple(r)[:6] for r in got]
     own = wavelet.write_shards(odd, folder=str(tmp_path / "files"))
     assert {r["path"] for r in own.collect()} <= {str(f) for f in (tmp_path / "files").iterdir()} and all(wavelet.read_shard(r["path"]).matrix.n == r["n_ids"] for r in own.collect())
     assert wavelet.read_documents(wavelet.write_shards(empty)).count() == 0
