@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions import lexicon as lx
-from lathe.functions.text import capitalised, normal_form, replace_first, strip, tokens
+from lathe.functions.text import capitalised, normal_form, once, replace_first, strip, tokens
 
 
 def pick(values: list[str], key: Column, seed: int = 42, op: str = "") -> Column:
@@ -27,7 +27,7 @@ def surrogate_id(prefix: str, model: Column, item: Column) -> Column:
 
 def changed(new: Column, old: Column) -> Column:
     """``new`` if it differs from ``old``, else null."""
-    return F.when(new != old, new)
+    return once(new, lambda n: F.when(n != old, n))
 
 
 def modal_synonym(x: Column, modal: Column, key: Column | None = None, seed: int = 42) -> Column:
@@ -40,7 +40,7 @@ def modal_synonym(x: Column, modal: Column, key: Column | None = None, seed: int
     for m, synonyms in lx.MODAL_SYNONYMS.items():
         narrow = [s for s in synonyms if not s.startswith("is ")]
         choose = lambda options: pick(options, key, seed, "modal_synonym") if key is not None else F.lit(options[0])  # noqa: E731, B023
-        put = lambda options: F.coalesce(*(F.when(choose(options) == s, replace_first(x, rf"\b{m}\b", s)) for s in options))  # noqa: E731, B023
+        put = lambda options: once(choose(options), lambda c: F.coalesce(*(F.when(c == s, replace_first(x, rf"\b{m}\b", s)) for s in options)))  # noqa: E731, B023
         stiff = plural | F.lower(x).rlike(rf"\b{m}\s+be\b")
         best = F.when(~stiff, put(synonyms))
         if narrow:
@@ -51,12 +51,15 @@ def modal_synonym(x: Column, modal: Column, key: Column | None = None, seed: int
 
 def condition_synonym(x: Column, key: Column | None = None, seed: int = 42) -> Column:
     """Another word for the condition that a sentence starts with; null without one."""
-    text = strip(x)
-    found = F.lit(None).cast("string")
-    for word, synonyms in reversed(lx.CONDITION_SYNONYMS.items()):
-        synonym = pick(synonyms, key, seed, "condition_synonym") if key is not None else F.lit(synonyms[0])
-        found = F.when(F.lower(text).startswith(word + " "), F.concat(capitalised(synonym), F.substring(text, len(word) + 1, 2**31 - 1))).otherwise(found)
-    return changed(found, text)
+
+    def other(text: Column, low: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for word, synonyms in reversed(lx.CONDITION_SYNONYMS.items()):
+            synonym = pick(synonyms, key, seed, "condition_synonym") if key is not None else F.lit(synonyms[0])
+            found = F.when(low.startswith(word + " "), F.concat(once(synonym, capitalised), F.substring(text, len(word) + 1, 2**31 - 1))).otherwise(found)
+        return changed(found, text)
+
+    return once(strip(x), lambda text: once(F.lower(text), lambda low: other(text, low)))
 
 
 def clause_expand(x: Column) -> Column:
@@ -69,14 +72,17 @@ def clause_expand(x: Column) -> Column:
 
 def subject_rephrase(x: Column, modal: Column) -> Column:
     """``X shall Y`` as ``It is required that X Y.``; shall and must only, no condition first, 8 words at least."""
-    text = strip(x)
-    found = F.lit(None).cast("string")
-    for m in ("shall", "must"):
-        pattern = rf"(?i)^(.{{4,60}}?)\s+{m}\s+(.+)$"
-        predicate = F.regexp_replace(strip(F.regexp_extract(text, pattern, 2)), r"\.+$", "")
-        new = F.concat(F.lit("It is required that "), strip(F.regexp_extract(text, pattern, 1)), F.lit(" "), predicate, F.lit("."))
-        found = F.when((modal == m) & text.rlike(pattern), new).otherwise(found)
-    return F.when(~text.rlike(r"(?i)^(if|when|while|where|unless)\b") & (F.size(tokens(found)) >= 8), found)
+
+    def rephrased(text: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for m in ("shall", "must"):
+            pattern = rf"(?i)^(.{{4,60}}?)\s+{m}\s+(.+)$"
+            predicate = F.regexp_replace(strip(F.regexp_extract(text, pattern, 2)), r"\.+$", "")
+            new = F.concat(F.lit("It is required that "), strip(F.regexp_extract(text, pattern, 1)), F.lit(" "), predicate, F.lit("."))
+            found = F.when((modal == m) & text.rlike(pattern), new).otherwise(found)
+        return F.when(~text.rlike(r"(?i)^(if|when|while|where|unless)\b"), once(found, lambda f: F.when(F.size(tokens(f)) >= 8, f)))
+
+    return once(strip(x), rephrased)
 
 
 #: Operations that keep the meaning, in the order in which they are tried: (text, modal, key or None) -> variant or null.
@@ -90,11 +96,12 @@ OPERATIONS: dict[str, Callable[[Column, Column, Column | None], Column]] = {
 
 def candidates(x: Column, modal: Column, n: int = 2, key: Column | None = None, operations: dict[str, Callable[[Column, Column, Column | None], Column]] = OPERATIONS) -> Column:
     """array<struct<operation, text>>: what the operations give, without what repeats the source or each other, the first n."""
-    every = F.array(*(F.struct(F.lit(name).alias("operation"), make(x, modal, key).alias("text")) for name, make in operations.items()))
     awkward = lambda t: F.lower(t).rlike(r"\bis\s+going\s+to\b") & F.regexp_extract(t, r"^(\w+)", 1).endswith("s")
-    good = F.filter(every, lambda c: c["text"].isNotNull() & (normal_form(c["text"]) != normal_form(x)) & ~awkward(c["text"]))
-    fresh = F.filter(good, lambda c, i: ~F.exists(F.slice(good, F.lit(1), i), lambda d: normal_form(d["text"]) == normal_form(c["text"])))
-    return F.slice(fresh, 1, n)
+    named = lambda name: lambda t: F.struct(F.lit(name).alias("operation"), t.alias("text"), normal_form(t).alias("form"))
+    every = F.array(*(once(make(x, modal, key), named(name)) for name, make in operations.items()))
+    good = once(normal_form(x), lambda own: F.filter(every, lambda c: c["text"].isNotNull() & (c["form"] != own) & ~awkward(c["text"])))
+    fresh = once(good, lambda g: F.filter(g, lambda c, i: ~F.exists(F.slice(g, F.lit(1), i), lambda d: d["form"] == c["form"])))
+    return F.transform(F.slice(fresh, 1, n), lambda c: F.struct(c["operation"].alias("operation"), c["text"].alias("text")))
 
 
 DIRECTION = "struct<operation:string,direction:string,original:string,new:string,text:string>"
@@ -109,19 +116,23 @@ def directional_modal(x: Column, modal: Column) -> Column:
     found = F.lit(None).cast(DIRECTION)
     moves = {m: (new, "strengthen") for m, new in lx.MODAL_STRENGTHEN.items()} | {m: (new, "weaken") for m, new in lx.MODAL_WEAKEN.items()}
     for m, (new, direction) in moves.items():
-        text = replace_first(x, rf"\b{m}\b", new)
-        found = F.when((modal == m) & (text != x), _direction("modal_substitution", direction, m, new, text)).otherwise(found)
+        made = lambda t: F.when(t != x, _direction("modal_substitution", direction, m, new, t))  # noqa: E731, B023
+        found = F.when(modal == m, once(replace_first(x, rf"\b{m}\b", new), made)).otherwise(found)
     return found
 
 
 def directional_scope(x: Column) -> Column:
     """The first listed change of a condition that changes the text: strengtheners, then weakeners."""
     steps = [("strengthen", a, b) for a, b in lx.CONDITION_STRENGTHENERS] + [("weaken", a, b) for a, b in lx.CONDITION_WEAKENERS]
-    found = F.lit(None).cast(DIRECTION)
-    for direction, old, new in reversed(steps):
-        text = replace_first(x, rf"\b{old}\b", new)
-        found = F.when(F.lower(x).contains(old) & (text != x), _direction(f"condition_scope_{direction}", direction, old, new, text)).otherwise(found)
-    return found
+
+    def first(low: Column) -> Column:
+        found = []
+        for direction, old, new in steps:
+            made = lambda t: F.when(t != x, _direction(f"condition_scope_{direction}", direction, old, new, t))  # noqa: E731, B023
+            found.append(F.when(low.contains(old), once(replace_first(x, rf"\b{old}\b", new), made)))
+        return F.coalesce(*found)
+
+    return once(F.lower(x), first)
 
 
 def directional(x: Column, modal: Column) -> Column:
@@ -131,13 +142,16 @@ def directional(x: Column, modal: Column) -> Column:
 
 
 def distractor_category(x: Column) -> Column:
-    found = F.when(F.lit(False), "")
-    for name, cues in lx.DISTRACTOR_CUES:
-        hit = F.lit(False)
-        for c in cues:
-            hit = hit | F.lower(x).contains(c)
-        found = found.when(hit, name)
-    return found.otherwise(lx.DISTRACTOR_DEFAULT)
+    def category(low: Column) -> Column:
+        found = F.when(F.lit(False), "")
+        for name, cues in lx.DISTRACTOR_CUES:
+            hit = F.lit(False)
+            for c in cues:
+                hit = hit | low.contains(c)
+            found = found.when(hit, name)
+        return found.otherwise(lx.DISTRACTOR_DEFAULT)
+
+    return once(F.lower(x), category)
 
 
 def distractor(category: Column, key: Column | None = None, seed: int = 42) -> Column:
@@ -151,17 +165,19 @@ def with_distractor(x: Column, phrase: Column, category: Column) -> Column:
     inside = F.concat(F.regexp_extract(x, clause, 1), F.lit(" "), phrase, F.regexp_extract(x, clause, 2))
     modal = r"(?is)^(.*?\b(?:shall|should|must|may|will|can)\b)(.*)$"
     after = strip(F.concat(F.regexp_extract(x, modal, 1), F.lit(" "), phrase, F.lit(" "), F.regexp_replace(F.regexp_extract(x, modal, 2), r"(?U)^\s+", "")))
-    end = F.regexp_replace(x, r"(?U)\s+$", "")
-    last = F.when(end.endswith("."), F.concat(F.expr("''"), F.regexp_replace(end, r"\.$", ""), F.lit(", "), phrase, F.lit("."))).otherwise(F.concat(end, F.lit(" "), phrase, F.lit(".")))
+    closed = lambda end: F.when(end.endswith("."), F.concat(F.expr("''"), F.regexp_replace(end, r"\.$", ""), F.lit(", "), phrase, F.lit("."))).otherwise(F.concat(end, F.lit(" "), phrase, F.lit(".")))
+    last = once(F.regexp_replace(x, r"(?U)\s+$", ""), closed)
     return F.when((category == "retry_trigger") & x.rlike(clause), inside).when(x.rlike(modal) & (F.size(tokens(phrase)) <= 3), after).otherwise(last)
 
 
 def shortcut(x: Column, key: Column | None = None, seed: int = 42) -> Column:
     """struct(text, distractor, category, risk)."""
-    category = distractor_category(x)
-    phrase = distractor(category, key, seed)
-    risk = F.coalesce(*(F.when(category == c, r) for c, r in lx.HALLUCINATION_RISK.items()))
-    return F.struct(with_distractor(x, phrase, category).alias("text"), phrase.alias("distractor"), category.alias("category"), risk.alias("risk"))
+
+    def made(category: Column, phrase: Column) -> Column:
+        risk = F.coalesce(*(F.when(category == c, r) for c, r in lx.HALLUCINATION_RISK.items()))
+        return F.struct(with_distractor(x, phrase, category).alias("text"), phrase.alias("distractor"), category.alias("category"), risk.alias("risk"))
+
+    return once(distractor_category(x), lambda category: once(distractor(category, key, seed), lambda phrase: made(category, phrase)))
 
 
 PROBE = "struct<probe_id:string,probe_family:string,probe_text:string,expected_relation:string,operation:string,generation_method:string,direction:string,distractor:string>"
@@ -170,20 +186,18 @@ PROBE = "struct<probe_id:string,probe_family:string,probe_text:string,expected_r
 def neighbourhood(x: Column, modal: Column, key: Column) -> Column:
     """array of probes: two of invariance, one directional, one shortcut, as far as they can be made."""
 
-    def probe(number: str, family: str, text: Column, relation: str, operation: Column, direction: Column | None = None, distractor_: Column | None = None) -> Column:
+    def probe(number: Column, family: str, text: Column, relation: str, operation: Column, direction: Column | None = None, distractor_: Column | None = None) -> Column:
         null = F.lit(None).cast("string")
         return F.struct(
-            F.lit(number).alias("probe_id"), F.lit(family).alias("probe_family"), text.alias("probe_text"), F.lit(relation).alias("expected_relation"), operation.alias("operation"),
+            number.alias("probe_id"), F.lit(family).alias("probe_family"), text.alias("probe_text"), F.lit(relation).alias("expected_relation"), operation.alias("operation"),
             F.lit("rule").alias("generation_method"), (null if direction is None else direction).alias("direction"), (null if distractor_ is None else distractor_).alias("distractor"),
         )
 
-    same = candidates(x, modal, 2, key)
-    invariance = [F.when(F.size(same) > i, probe(f"INV_{i + 1}", "invariance", F.get(same, F.lit(i))["text"], "stable", F.get(same, F.lit(i))["operation"])) for i in range(2)]
-    moved = directional(x, modal)
-    direction = F.when(moved.isNotNull(), probe("DIR_1", "directional", moved["text"], "directional", moved["operation"], moved["direction"]))
-    short = shortcut(x, key)
-    added = F.when(short["text"] != x, probe("SHC_1", "shortcut", short["text"], "no_shortcut", F.lit("distractor_insertion"), None, short["distractor"]))
-    return F.array_compact(F.array(*invariance, direction, added))
+    place = lambda i: F.concat(F.lit("INV_"), (i + 1).cast("string"))
+    same = F.transform(candidates(x, modal, 2, key), lambda c, i: probe(place(i), "invariance", c["text"], "stable", c["operation"]))
+    moved = once(directional(x, modal), lambda m: F.when(m.isNotNull(), probe(F.lit("DIR_1"), "directional", m["text"], "directional", m["operation"], m["direction"])))
+    added = once(shortcut(x, key), lambda s: F.when(s["text"] != x, probe(F.lit("SHC_1"), "shortcut", s["text"], "no_shortcut", F.lit("distractor_insertion"), None, s["distractor"])))
+    return F.array_compact(F.concat(same, F.array(moved, added)))
 
 
 def probe_stats(probes: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from lathe.functions import lexicon as lx
 _SPACE = r"(?U)\s+"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used there: an expression is otherwise copied to each use."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end: any Unicode white space, unlike ``trim``."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

@@ -51,9 +51,10 @@ REQUIREMENTS = f"SELECT o_orderkey AS item_id, o_custkey AS doc_id, o_orderprior
 REQ = f"req AS ({REQUIREMENTS.replace('STRING', 'VARCHAR')})"
 
 
-def requirements(tables: Tables) -> DataFrame:
+def requirements(tables: Tables, orders: DataFrame | None = None) -> DataFrame:
     """The sentence comes out of a generator, so that filters and projections above it read it and don't make it again."""
-    return tables.orders.selectExpr("o_orderkey AS item_id", "o_custkey AS doc_id", "o_orderpriority AS source", f"{MODAL} AS modal", f"explode(array({TEXT})) AS text")
+    orders = tables.orders if orders is None else orders
+    return orders.selectExpr("o_orderkey AS item_id", "o_custkey AS doc_id", "o_orderpriority AS source", f"{MODAL} AS modal", f"explode(array({TEXT})) AS text")
 
 
 #: Documents with the scores that labels give them: no label, no score.

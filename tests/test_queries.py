@@ -39,3 +39,14 @@ def test_entry_point(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+#: Regular expressions in the plan of each query, some two to each probe operation; hundreds of thousands where values are copied to each use.
+PROBES = ["probe_family_counts", "probe_integrity", "probe_neighbourhoods", "probe_stats", "probes_injected"]
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_probes_are_made_once(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    assert sum(plan.toString().lower().count(f) for f in ("regexp_replace(", "rlike", "regexp_extract(")) < 400
+    assert "RepartitionByExpression" in plan.toString()
