@@ -293,6 +293,9 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+common.forgetting[__name__] = vocabulary.cache_clear
+
+
 #: What ``tokenize`` can return for each text.
 OUTPUTS = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
 _SQL = {"ids": "array<int>", "n_tokens": "long"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -57,13 +58,33 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
             del b
             released()
 
+    owner = getattr(work, "__module__", "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn(owner)
         yield from work(sliced(batches))
         released()
 
     return df.mapInArrow(run, schema)
 
 
+#: What empties the memories of operators, by module; whose work this worker did last.
+forgetting: dict[str, Callable[[], None]] = {}
+_last = ""
+
+
+def turn(owner: str) -> None:
+    """Before another operator's work begins in a worker, what the others remember there goes: an operator's tasks come one after another."""
+    global _last
+    if owner != _last:
+        for module, forget in forgetting.items():
+            if module != owner:
+                forget()
+        _last = owner
+        gc.collect()
+        released()
+
+
 def released() -> None:
     """Gives back to the system what a worker has freed: workers live on, and several share an executor's memory."""
     pa.default_memory_pool().release_unused()

@@ -287,6 +287,9 @@ def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+common.forgetting[__name__] = vocabulary.cache_clear
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id", prefixes: bool = False, budgets: tuple[int, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row; with ``prefixes`` also the table (array<int>), and for each budget the
     code points of the normalised text that fit it (``fits``, array<long> in the order given)."""

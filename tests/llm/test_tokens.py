@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from lathe.llm import automaton, bpe, media, secret_scan, token_count, wavelet
+from lathe.llm import automaton, bpe, common, media, secret_scan, token_count, wavelet
 
 PIECES = ["'s", "'re", "'LL", " ", "  ", "\n", "\n ", "\t", "<|endoftext|>", "<|endof", "é", "the", " The", "123", "!!!", "###", "a", "中", "\x85", "🙂", "x" * 70, "ab" * 60, "Σ", "İ", "ﬁ", "word,", " next."]
 
@@ -320,3 +320,14 @@ def test_letters_are_the_librarys(library):
     own, counter, other = bpe.ByteBpe(bpe.default_vocabulary()), token_count.WordBpe(token_count.default_vocabulary()), Tokenizer.from_file(token_count.default_vocabulary())
     assert [x.tolist() for x in own.encode_many(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [counter.count(x) for x in texts] == [len(e.ids) for e in other.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_workers_forget_tokens_when_another_operator_begins():
+    path = bpe.default_vocabulary()
+    common.turn("lathe.llm.bpe")
+    mine = bpe.vocabulary(path)
+    mine.encode_many(["some words"])
+    common.turn("lathe.llm.bpe")
+    assert bpe.vocabulary(path) is mine
+    common.turn("lathe.llm.common")
+    assert bpe.vocabulary.cache_info().currsize == 0
