@@ -166,3 +166,10 @@ def test_windowed_counts_are_a_stream(spark, tmp_path):
     q = incremental.windowed_counts(read, "ts", []).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r["n"] for r in spark.table("windowed").collect()) == 10
+
+
+def test_reasons_print_what_the_sql_prints(spark):
+    """One bit below a half: the tenfold of 14.549999999999999 is 145.5."""
+    df = spark.createDataFrame([("directional",), ("invariance",)], "probe_family string").selectExpr("*", "'ose' probe_subtype", "'a b' base_text", "'b c' probe_text", "'a' critical_detail")
+    made = S.rule_scored(df, readability=lambda x: F.when(x == "b c", 14.549999999999999).otherwise(0.0))
+    assert [r["rule_reason"] for r in made.orderBy("probe_family").collect()] == ["read_shift=PASS(-14.6),diff=PASS(0.500)", "sim=FAIL(0.500),read_delta=FAIL(14.6)"]
