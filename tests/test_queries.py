@@ -41,7 +41,7 @@ def test_entry_point(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-#: Regular expressions in the plan of each query, some two to each probe operation; hundreds of thousands where values are copied to each use.
+#: Queries over all probes: few regular expressions are in the plan of each, as no value is copied to its uses.
 PROBES = ["probe_family_counts", "probe_integrity", "probe_neighbourhoods", "probe_stats", "probes_injected"]
 
 
