@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions import lexicon as lx
-from lathe.functions.text import capitalised, normal_form, once, replace_first, strip, tokens
+from lathe.functions.text import Steps, capitalised, collapse, has_tokens, in_column, in_frame, is_plain, once, replace_first, replacement_of, strip, together, tokens
 
 
 def pick(values: list[str], key: Column, seed: int = 42, op: str = "") -> Column:
@@ -25,133 +27,176 @@ def surrogate_id(prefix: str, model: Column, item: Column) -> Column:
     return F.concat_ws("_", F.lit(prefix), F.regexp_replace(model, "[^a-zA-Z0-9]", "_"), item.cast("string"), suffix)
 
 
-def changed(new: Column, old: Column) -> Column:
-    """``new`` if it differs from ``old``, else null."""
-    return once(new, lambda n: F.when(n != old, n))
-
-
 def modal_synonym(x: Column, modal: Column, key: Column | None = None, seed: int = 42) -> Column:
     """The first modal replaced by one of its synonyms; the first synonym that fits without a key.
 
     Forms with ``is`` don't go with a passive or a plural subject; null if nothing fits.
     """
-    plural = x.rlike(r"^[A-Z][a-z]+s\s")
-    found = F.lit(None).cast("string")
+    return in_column(_modal_synonym(x, modal, key, seed))
+
+
+def _modal_synonym(x: Column, modal: Column, key: Column | None = None, seed: int = 42) -> Steps:
+    choose = lambda options: pick([*map(replacement_of, options)], key, seed, "modal_synonym") if key is not None else F.lit(replacement_of(options[0]))
+    [low] = yield [F.lower(x)]
+    [stiff] = yield [x.rlike(r"^[A-Z][a-z]+s\s") | F.coalesce(*(F.when(modal == m, low.rlike(rf"\b{m}\s+be\b")) for m in lx.MODAL_SYNONYMS))]
+    chosen = F.lit(None).cast("string")
     for m, synonyms in lx.MODAL_SYNONYMS.items():
         narrow = [s for s in synonyms if not s.startswith("is ")]
-        choose = lambda options: pick(options, key, seed, "modal_synonym") if key is not None else F.lit(options[0])  # noqa: E731, B023
-        put = lambda options: once(choose(options), lambda c: F.coalesce(*(F.when(c == s, replace_first(x, rf"\b{m}\b", s)) for s in options)))  # noqa: E731, B023
-        stiff = plural | F.lower(x).rlike(rf"\b{m}\s+be\b")
-        best = F.when(~stiff, put(synonyms))
-        if narrow:
-            best = best.otherwise(put(narrow))
-        found = F.when(modal == m, best).otherwise(found)
-    return changed(found, x)
+        best = F.when(~stiff, choose(synonyms))
+        chosen = F.when(modal == m, best.otherwise(choose(narrow)) if narrow else best).otherwise(chosen)
+    [synonym] = yield [chosen]
+    [found] = yield [F.coalesce(*(F.when(modal == m, replace_first(x, rf"\b{m}\b", synonym)) for m in lx.MODAL_SYNONYMS))]
+    return F.when(found != x, found)
 
 
 def condition_synonym(x: Column, key: Column | None = None, seed: int = 42) -> Column:
     """Another word for the condition that a sentence starts with; null without one."""
+    return in_column(_condition_synonym(x, key, seed))
 
-    def other(text: Column, low: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for word, synonyms in reversed(lx.CONDITION_SYNONYMS.items()):
-            synonym = pick(synonyms, key, seed, "condition_synonym") if key is not None else F.lit(synonyms[0])
-            found = F.when(low.startswith(word + " "), F.concat(once(synonym, capitalised), F.substring(text, len(word) + 1, 2**31 - 1))).otherwise(found)
-        return changed(found, text)
 
-    return once(strip(x), lambda text: once(F.lower(text), lambda low: other(text, low)))
+def _condition_synonym(x: Column, key: Column | None = None, seed: int = 42) -> Steps:
+    choose = lambda options: pick(options, key, seed, "condition_synonym") if key is not None else F.lit(options[0])
+    [text] = yield [_stripped(x)]
+    [low] = yield [F.lower(text)]
+    first = lambda then: F.coalesce(*(F.when(low.startswith(word + " "), then(word, synonyms)) for word, synonyms in lx.CONDITION_SYNONYMS.items()))
+    [synonym] = yield [first(lambda word, synonyms: choose(synonyms))]
+    [found] = yield [F.concat(capitalised(synonym), first(lambda word, synonyms: F.substring(text, len(word) + 1, 2**31 - 1)))]
+    return F.when(found != text, found)
 
 
 def clause_expand(x: Column) -> Column:
     """A fuller subject for the first that occurs; case counts."""
-    found = F.lit(None).cast("string")
-    for short, long in reversed(lx.SUBJECT_EXPANSIONS):
-        found = F.when(x.rlike(rf"\b{short}\b"), replace_first(x, rf"\b{short}\b", long, flags="")).otherwise(found)
-    return changed(found, x)
+    return in_column(_clause_expand(x))
+
+
+def _clause_expand(x: Column) -> Steps:
+    has = lambda short: x.contains(short) & x.rlike(rf"\b{short}\b")  # noqa: E731 - the subjects are plain words
+    [found] = yield [F.coalesce(*(F.when(has(short), replace_first(x, rf"\b{short}\b", long, flags="")) for short, long in lx.SUBJECT_EXPANSIONS))]
+    return F.when(found != x, found)
 
 
 def subject_rephrase(x: Column, modal: Column) -> Column:
     """``X shall Y`` as ``It is required that X Y.``; shall and must only, no condition first, 8 words at least."""
+    return in_column(_subject_rephrase(x, modal))
 
-    def rephrased(text: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for m in ("shall", "must"):
-            pattern = rf"(?i)^(.{{4,60}}?)\s+{m}\s+(.+)$"
-            predicate = F.regexp_replace(strip(F.regexp_extract(text, pattern, 2)), r"\.+$", "")
-            new = F.concat(F.lit("It is required that "), strip(F.regexp_extract(text, pattern, 1)), F.lit(" "), predicate, F.lit("."))
-            found = F.when((modal == m) & text.rlike(pattern), new).otherwise(found)
-        return F.when(~text.rlike(r"(?i)^(if|when|while|where|unless)\b"), once(found, lambda f: F.when(F.size(tokens(f)) >= 8, f)))
 
-    return once(strip(x), rephrased)
+def _subject_rephrase(x: Column, modal: Column) -> Steps:
+    [text] = yield [_stripped(x)]
+    part = lambda group: F.coalesce(*(F.when(modal == m, F.regexp_extract(text, rf"(?i)^(.{{4,60}}?)\s+{m}\s+(.+)$", group)) for m in ("shall", "must")))
+    [subject] = yield [F.when(~text.rlike(r"(?i)^(if|when|while|where|unless)\b"), part(1))]
+    predicate = F.regexp_replace(strip(part(2)), r"\.+$", "")
+    [found] = yield [F.when(subject != "", F.concat(F.lit("It is required that "), strip(subject), F.lit(" "), predicate, F.lit(".")))]
+    return F.when(has_tokens(found, 8), found)
 
 
-#: Operations that keep the meaning, in the order in which they are tried: (text, modal, key or None) -> variant or null.
-OPERATIONS: dict[str, Callable[[Column, Column, Column | None], Column]] = {
-    "modal_synonym": modal_synonym,
-    "condition_syn": lambda x, modal, key: condition_synonym(x, key),
-    "clause_expand": lambda x, modal, key: clause_expand(x),
-    "subject_rephrase": lambda x, modal, key: subject_rephrase(x, modal),
+#: Operations that keep the meaning, in the order in which they are tried: (text, modal, key or None) -> variant or null, as a column or in steps.
+OPERATIONS: dict[str, Callable[[Column, Column, Column | None], Column | Steps]] = {
+    "modal_synonym": _modal_synonym,
+    "condition_syn": lambda x, modal, key: _condition_synonym(x, key),
+    "clause_expand": lambda x, modal, key: _clause_expand(x),
+    "subject_rephrase": lambda x, modal, key: _subject_rephrase(x, modal),
 }
 
 
-def candidates(x: Column, modal: Column, n: int = 2, key: Column | None = None, operations: dict[str, Callable[[Column, Column, Column | None], Column]] = OPERATIONS) -> Column:
+def candidates(x: Column, modal: Column, n: int = 2, key: Column | None = None, operations: dict[str, Callable[[Column, Column, Column | None], Column | Steps]] = OPERATIONS) -> Column:
     """array<struct<operation, text>>: what the operations give, without what repeats the source or each other, the first n."""
-    awkward = lambda t: F.lower(t).rlike(r"\bis\s+going\s+to\b") & F.regexp_extract(t, r"^(\w+)", 1).endswith("s")
-    named = lambda name: lambda t: F.struct(F.lit(name).alias("operation"), t.alias("text"), normal_form(t).alias("form"))
-    every = F.array(*(once(make(x, modal, key), named(name)) for name, make in operations.items()))
-    good = once(normal_form(x), lambda own: F.filter(every, lambda c: c["text"].isNotNull() & (c["form"] != own) & ~awkward(c["text"])))
-    fresh = once(good, lambda g: F.filter(g, lambda c, i: ~F.exists(F.slice(g, F.lit(1), i), lambda d: d["form"] == c["form"])))
-    return F.transform(F.slice(fresh, 1, n), lambda c: F.struct(c["operation"].alias("operation"), c["text"].alias("text")))
+
+    def listed() -> Steps:
+        found = yield from _candidates(x, modal, n, key, operations)
+        return F.array_compact(F.array(*(F.when(kept, F.struct(F.lit(name).alias("operation"), text.alias("text"))) for name, text, kept, _ in found)))
+
+    return in_column(listed())
+
+
+def _candidates(x: Column, modal: Column, n: int, key: Column | None, operations: dict) -> Generator[list[Column], list[Column], list[tuple[str, Column, Column, Column]]]:
+    """(operation, text, whether it is one of the first n, how many are before it) of each operation."""
+
+    def whole(made: Column | Steps) -> Steps:
+        return (yield from made) if isinstance(made, Generator) else (yield [made])[0]
+
+    texts = yield from together(*(whole(make(x, modal, key)) for make in operations.values()))
+    texts = yield texts
+    own, *lows = yield [F.lower(x), *map(F.lower, texts)]
+    form = lambda low: F.when(is_plain(low), low).otherwise(collapse(low))
+    own, *forms = yield [*map(form, [own, *lows])]
+    awkward = lambda t, low: low.contains("going") & low.rlike(r"\bis\s+going\s+to\b") & F.regexp_extract(t, r"^(\w+)", 1).endswith("s")
+    good = yield [F.coalesce(t.isNotNull() & (f != own) & ~awkward(t, low), F.lit(False)) for t, low, f in zip(texts, lows, forms)]
+    repeated = lambda i: reduce(or_, (good[j] & (forms[j] == forms[i]) for j in range(i)), F.lit(False))
+    fresh = yield [g & ~repeated(i) for i, g in enumerate(good)]
+    before = yield [sum((f.cast("int") for f in fresh[:i]), F.lit(0)) for i in range(len(fresh))]
+    return [(name, t, f & (b < n), b) for name, t, f, b in zip(operations, texts, fresh, before)]
+
+
+def _moves(kind: str) -> list[tuple[str, str, str, str]]:
+    """(operation, direction, original, new) of all moves of the scope or of the modal."""
+    if kind == "scope":
+        return [(f"condition_scope_{d}", d, old, new) for d, pairs in (("strengthen", lx.CONDITION_STRENGTHENERS), ("weaken", lx.CONDITION_WEAKENERS)) for old, new in pairs]
+    moves = {m: (new, "strengthen") for m, new in lx.MODAL_STRENGTHEN.items()} | {m: (new, "weaken") for m, new in lx.MODAL_WEAKEN.items()}
+    return [("modal_substitution", d, m, new) for m, (new, d) in moves.items()]
 
 
-DIRECTION = "struct<operation:string,direction:string,original:string,new:string,text:string>"
+def _moved(x: Column, which: Column, moves: list[tuple[str, str, str, str]]) -> Steps:
+    """struct(operation, direction, original, new, text) of the move with this number, null if it changes nothing."""
+    [number] = yield [which]
+    [text] = yield [F.coalesce(*(F.when(number == i, _replaced(x, move)) for i, move in enumerate(moves)))]
+    named = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("operation", "direction", "original", "new"), move))) for move in moves))
+    [move] = yield [F.when(text != x, F.get(named, number))]
+    return F.when(move.isNotNull(), F.struct(*(move[k].alias(k) for k in ("operation", "direction", "original", "new")), text.alias("text")))
 
 
-def _direction(operation: str, direction: str, original: str, new: str, text: Column) -> Column:
-    return F.struct(F.lit(operation).alias("operation"), F.lit(direction).alias("direction"), F.lit(original).alias("original"), F.lit(new).alias("new"), text.alias("text"))
+def _replaced(x: Column, move: tuple[str, str, str, str]) -> Column:
+    return replace_first(x, rf"\b{move[2]}\b", move[3])
+
+
+def _of_modal(modal: Column, moves: list[tuple[str, str, str, str]], first: int = 0) -> Column:
+    return F.coalesce(*(F.when(modal == m, F.lit(first + i)) for i, (_, _, m, _) in enumerate(moves)))
+
+
+def _of_scope(x: Column, low: Column, moves: list[tuple[str, str, str, str]]) -> Column:
+    return F.coalesce(*(F.when(low.contains(move[2]) & (_replaced(x, move) != x), F.lit(i)) for i, move in enumerate(moves)))
 
 
 def directional_modal(x: Column, modal: Column) -> Column:
     """The first modal made weaker, or stronger if no weaker one is listed."""
-    found = F.lit(None).cast(DIRECTION)
-    moves = {m: (new, "strengthen") for m, new in lx.MODAL_STRENGTHEN.items()} | {m: (new, "weaken") for m, new in lx.MODAL_WEAKEN.items()}
-    for m, (new, direction) in moves.items():
-        made = lambda t: F.when(t != x, _direction("modal_substitution", direction, m, new, t))  # noqa: E731, B023
-        found = F.when(modal == m, once(replace_first(x, rf"\b{m}\b", new), made)).otherwise(found)
-    return found
+    moves = _moves("modal")
+    return in_column(_moved(x, _of_modal(modal, moves), moves))
 
 
 def directional_scope(x: Column) -> Column:
     """The first listed change of a condition that changes the text: strengtheners, then weakeners."""
-    steps = [("strengthen", a, b) for a, b in lx.CONDITION_STRENGTHENERS] + [("weaken", a, b) for a, b in lx.CONDITION_WEAKENERS]
+    moves = _moves("scope")
 
-    def first(low: Column) -> Column:
-        found = []
-        for direction, old, new in steps:
-            made = lambda t: F.when(t != x, _direction(f"condition_scope_{direction}", direction, old, new, t))  # noqa: E731, B023
-            found.append(F.when(low.contains(old), once(replace_first(x, rf"\b{old}\b", new), made)))
-        return F.coalesce(*found)
+    def steps() -> Steps:
+        [low] = yield [F.lower(x)]
+        return (yield from _moved(x, _of_scope(x, low, moves), moves))
 
-    return once(F.lower(x), first)
+    return in_column(steps())
 
 
 def directional(x: Column, modal: Column) -> Column:
     """By the scope where there is a condition and it can be changed, else by the modal."""
-    conditional = x.rlike(rf"(?i)\b({'|'.join(lx.CONDITION_KEYWORDS)})\b")
-    return F.coalesce(F.when(conditional, directional_scope(x)), directional_modal(x, modal))
+    return in_column(_directional(x, modal))
+
+
+def _directional(x: Column, modal: Column) -> Steps:
+    scope, modals = _moves("scope"), _moves("modal")
+    [low, conditional] = yield [F.lower(x), x.rlike(rf"(?i)\b({'|'.join(lx.CONDITION_KEYWORDS)})\b")]
+    which = F.coalesce(F.when(conditional, _of_scope(x, low, scope)), _of_modal(modal, modals, len(scope)))
+    return (yield from _moved(x, which, [*scope, *modals]))
 
 
 def distractor_category(x: Column) -> Column:
-    def category(low: Column) -> Column:
-        found = F.when(F.lit(False), "")
-        for name, cues in lx.DISTRACTOR_CUES:
-            hit = F.lit(False)
-            for c in cues:
-                hit = hit | low.contains(c)
-            found = found.when(hit, name)
-        return found.otherwise(lx.DISTRACTOR_DEFAULT)
+    return once(F.lower(x), _category)
+
 
-    return once(F.lower(x), category)
+def _category(low: Column) -> Column:
+    found = F.when(F.lit(False), "")
+    for name, cues in lx.DISTRACTOR_CUES:
+        hit = F.lit(False)
+        for c in cues:
+            hit = hit | low.contains(c)
+        found = found.when(hit, name)
+    return found.otherwise(lx.DISTRACTOR_DEFAULT)
 
 
 def distractor(category: Column, key: Column | None = None, seed: int = 42) -> Column:
@@ -161,23 +206,41 @@ def distractor(category: Column, key: Column | None = None, seed: int = 42) -> C
 
 def with_distractor(x: Column, phrase: Column, category: Column) -> Column:
     """Inside the condition for retry triggers; after the first modal if it is short; else at the end."""
-    clause = r"(?is)^(.*?\b(?:if|when|while|unless)\b\s+[^,\.]{3,40}?)(\s*[,\.].*)$"
-    inside = F.concat(F.regexp_extract(x, clause, 1), F.lit(" "), phrase, F.regexp_extract(x, clause, 2))
-    modal = r"(?is)^(.*?\b(?:shall|should|must|may|will|can)\b)(.*)$"
-    after = strip(F.concat(F.regexp_extract(x, modal, 1), F.lit(" "), phrase, F.lit(" "), F.regexp_replace(F.regexp_extract(x, modal, 2), r"(?U)^\s+", "")))
-    closed = lambda end: F.when(end.endswith("."), F.concat(F.expr("''"), F.regexp_replace(end, r"\.$", ""), F.lit(", "), phrase, F.lit("."))).otherwise(F.concat(end, F.lit(" "), phrase, F.lit(".")))
-    last = once(F.regexp_replace(x, r"(?U)\s+$", ""), closed)
-    return F.when((category == "retry_trigger") & x.rlike(clause), inside).when(x.rlike(modal) & (F.size(tokens(phrase)) <= 3), after).otherwise(last)
+    return in_column(_with_distractor(x, phrase, category))
+
+
+def _with_distractor(x: Column, phrase: Column, category: Column) -> Steps:
+    clause = r"(?is)^(.*?\b(?:if|when|while|unless)\b\s+[^,\.]{3,40}?)\s*[,\.]"
+    modal = r"(?is)^(.*?\b(?:shall|should|must|may|will|can)\b)"
+    rest = lambda head: F.substr(x, F.length(head) + 1)
+    [condition] = yield [F.when(category == "retry_trigger", F.regexp_extract(x, clause, 1)).otherwise("")]
+    [opening] = yield [F.when((condition == "") & ~has_tokens(phrase, 4), F.regexp_extract(x, modal, 1)).otherwise("")]
+    [after, end] = yield [
+        F.when(opening != "", F.concat(opening, F.lit(" "), phrase, F.lit(" "), F.regexp_replace(rest(opening), r"(?U)^\s+", ""))),
+        F.when((condition == "") & (opening == ""), F.regexp_replace(x, r"(?U)\s+$", "")),
+    ]
+    inside = F.concat(condition, F.lit(" "), phrase, rest(condition))
+    closed = F.when(end.endswith("."), F.concat(F.substr(end, F.lit(1), F.length(end) - 1), F.lit(", "), phrase, F.lit("."))).otherwise(F.concat(end, F.lit(" "), phrase, F.lit(".")))
+    return F.when(condition != "", inside).when(opening != "", _stripped(after)).otherwise(closed)
 
 
 def shortcut(x: Column, key: Column | None = None, seed: int = 42) -> Column:
     """struct(text, distractor, category, risk)."""
+    return in_column(_shortcut(x, key, seed))
+
+
+def _shortcut(x: Column, key: Column | None = None, seed: int = 42) -> Steps:
+    [low] = yield [F.lower(x)]
+    [category] = yield [_category(low)]
+    [phrase] = yield [distractor(category, key, seed)]
+    text = yield from _with_distractor(x, phrase, category)
+    risk = F.coalesce(*(F.when(category == c, r) for c, r in lx.HALLUCINATION_RISK.items()))
+    return F.struct(text.alias("text"), phrase.alias("distractor"), category.alias("category"), risk.alias("risk"))
 
-    def made(category: Column, phrase: Column) -> Column:
-        risk = F.coalesce(*(F.when(category == c, r) for c, r in lx.HALLUCINATION_RISK.items()))
-        return F.struct(with_distractor(x, phrase, category).alias("text"), phrase.alias("distractor"), category.alias("category"), risk.alias("risk"))
 
-    return once(distractor_category(x), lambda category: once(distractor(category, key, seed), lambda phrase: made(category, phrase)))
+def _stripped(x: Column) -> Column:
+    """``strip``, for a column that holds its value: most texts are left alone at a glance."""
+    return F.when(is_plain(x), x).otherwise(strip(x))
 
 
 PROBE = "struct<probe_id:string,probe_family:string,probe_text:string,expected_relation:string,operation:string,generation_method:string,direction:string,distractor:string>"
@@ -185,7 +248,15 @@ PROBE = "struct<probe_id:string,probe_family:string,probe_text:string,expected_r
 
 def neighbourhood(x: Column, modal: Column, key: Column) -> Column:
     """array of probes: two of invariance, one directional, one shortcut, as far as they can be made."""
+    return in_column(_neighbourhood(x, modal, key))
+
+
+def with_neighbourhood(df: DataFrame, text_col: str, modal_col: str, id_col: str, out: str = "probes") -> DataFrame:
+    """``df`` with the probes of ``neighbourhood``, made in projections that Spark compiles: for many rows."""
+    return in_frame(df, _neighbourhood(F.col(text_col), F.col(modal_col), F.col(id_col)), out, text_col)
+
 
+def _neighbourhood(x: Column, modal: Column, key: Column) -> Steps:
     def probe(number: Column, family: str, text: Column, relation: str, operation: Column, direction: Column | None = None, distractor_: Column | None = None) -> Column:
         null = F.lit(None).cast("string")
         return F.struct(
@@ -193,11 +264,12 @@ def neighbourhood(x: Column, modal: Column, key: Column) -> Column:
             F.lit("rule").alias("generation_method"), (null if direction is None else direction).alias("direction"), (null if distractor_ is None else distractor_).alias("distractor"),
         )
 
-    place = lambda i: F.concat(F.lit("INV_"), (i + 1).cast("string"))
-    same = F.transform(candidates(x, modal, 2, key), lambda c, i: probe(place(i), "invariance", c["text"], "stable", c["operation"]))
-    moved = once(directional(x, modal), lambda m: F.when(m.isNotNull(), probe(F.lit("DIR_1"), "directional", m["text"], "directional", m["operation"], m["direction"])))
-    added = once(shortcut(x, key), lambda s: F.when(s["text"] != x, probe(F.lit("SHC_1"), "shortcut", s["text"], "no_shortcut", F.lit("distractor_insertion"), None, s["distractor"])))
-    return F.array_compact(F.concat(same, F.array(moved, added)))
+    found, move, added = yield from together(_candidates(x, modal, 2, key, OPERATIONS), _directional(x, modal), _shortcut(x, key))
+    m, s = yield [move, added]
+    same = [F.when(kept, probe(F.concat(F.lit("INV_"), (before + 1).cast("string")), "invariance", text, "stable", F.lit(name))) for name, text, kept, before in found]
+    moved = F.when(m.isNotNull(), probe(F.lit("DIR_1"), "directional", m["text"], "directional", m["operation"], m["direction"]))
+    distracted = F.when(s["text"] != x, probe(F.lit("SHC_1"), "shortcut", s["text"], "no_shortcut", F.lit("distractor_insertion"), None, s["distractor"]))
+    return F.array_compact(F.array(*same, moved, distracted))
 
 
 def probe_stats(probes: Column) -> Column:
@@ -207,11 +279,9 @@ def probe_stats(probes: Column) -> Column:
     return F.struct(of("invariance").alias("invariance"), of("directional").alias("directional"), of("shortcut").alias("shortcut"), missing.alias("failed"))
 
 
-def injected(items: DataFrame, extra: DataFrame, excluded: DataFrame, id_col: str = "item_id", probes_col: str = "probes") -> DataFrame:
-    """``items`` with a probe before their own: ``extra`` (id, probe) by id, but for ids that ``excluded`` has."""
-    allowed = extra.join(excluded.select(id_col).distinct(), id_col, "left_anti").select(id_col, F.col("probe").alias("_extra"))
-    found = items.join(allowed, id_col, "left")
-    return found.withColumn(probes_col, inject(F.col(probes_col), F.col("_extra"), F.lit(True))).drop("_extra")
+def admitted(items: DataFrame, extra: DataFrame, excluded: DataFrame, id_col: str = "item_id") -> DataFrame:
+    """``items`` with what ``extra`` has for their ids, but for ids that ``excluded`` has. Rows are narrow before their probes are made."""
+    return items.join(extra.join(excluded.select(id_col).distinct(), id_col, "left_anti"), id_col, "left")
 
 
 def inject(probes: Column, extra: Column, when: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions import lexicon as lx
@@ -17,6 +17,59 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
 
 
+#: An expression made in steps: it yields lists of values, gets columns that hold them, each computed once, and returns the result.
+Steps = Generator[list[Column], list[Column], Column]
+
+
+def together(*parts: Steps) -> Generator[list[Column], list[Column], list]:
+    """What each part returns; their steps are taken side by side."""
+    results, held, running = [None] * len(parts), [None] * len(parts), list(range(len(parts)))
+    while True:
+        asked: dict[int, list[Column]] = {}
+        for i in running:
+            try:
+                asked[i] = parts[i].send(held[i])
+            except StopIteration as end:
+                results[i] = end.value
+        if not asked:
+            return results
+        got = iter((yield [v for values in asked.values() for v in values]))
+        for i, values in asked.items():
+            held[i] = [next(got) for _ in values]
+        running = list(asked)
+
+
+def in_column(steps: Steps) -> Column:
+    """Steps as one expression. Spark interprets it; ``in_frame`` has it compiled."""
+
+    def following(held: list[Column] | None) -> Column:
+        try:
+            values = steps.send(held)
+        except StopIteration as end:
+            return end.value
+        names = [f"v{i}" for i in range(len(values))]
+        return once(F.struct(*(v.alias(n) for n, v in zip(names, values))), lambda s: following([s[n] for n in names]))
+
+    return following(None)
+
+
+def in_frame(df: DataFrame, steps: Steps, out: str, text_col: str) -> DataFrame:
+    """``df`` with ``out``, which steps make that read ``text_col``: each step is a projection of its own.
+
+    Spark would compile all of them into one method, too long for the JVM to make machine code of. An expression that Spark
+    only interprets, of the text alone, has each projection compiled by itself, into short methods. ``out`` comes out of a
+    generator, so that a filter of it isn't pushed below, with all steps copied into it.
+    """
+    kept, held, n = [F.col(c) for c in df.columns if c != out], None, 0
+    while True:
+        try:
+            values = steps.send(held)
+        except StopIteration as end:
+            return df.select(*kept, F.explode(F.array(end.value)).alias(out))
+        new = {f"_step_{n + i}": v for i, v in enumerate(values)}
+        df, held, n = df.withColumns(new | {text_col: once(F.col(text_col), lambda x: x)}), [F.col(c) for c in new], n + len(values)
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end: any Unicode white space, unlike ``trim``."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -40,14 +93,33 @@ def normal_form(x: Column) -> Column:
     return collapse(F.lower(x))
 
 
+def is_plain(x: Column) -> Column:
+    """Visible ASCII characters with single blanks between them: neither ``strip`` nor ``collapse`` changes such a text."""
+    return x.rlike(r"\A(?:[!-~]++ )*+[!-~]++\z")
+
+
+def has_tokens(x: Column, least: int) -> Column:
+    """Whether there are so many tokens: ``size(tokens(x)) >= least`` in one pass."""
+    return x.rlike(rf"\A(?U)\s*+(?:\S++\s++){{{least - 1}}}\S")
+
+
 def whole_word(word: str) -> str:
     return rf"(?i)\b{word}\b"
 
 
-def replace_first(x: Column, pattern: str, replacement: str, flags: str = "is") -> Column:
-    """Only the first match: everything before it is captured and put back. ``pattern`` has no groups of its own."""
+def replacement_of(value: str) -> str:
+    """What ``regexp_replace`` reads as ``value``."""
+    return value.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def replace_first(x: Column, pattern: str, replacement: str | Column, flags: str = "is") -> Column:
+    """Only the first match: everything before it is captured and put back. ``pattern`` has no groups of its own.
+
+    A replacement that is a column has to be one that ``replacement_of`` made.
+    """
     opening = f"(?{flags})" if flags else ""
-    return F.regexp_replace(x, f"{opening}^((?s:.)*?)(?:{pattern})", "$1" + replacement.replace("\\", "\\\\").replace("$", "\\$"))
+    put = F.lit("$1" + replacement_of(replacement)) if isinstance(replacement, str) else F.concat(F.lit("$1"), replacement)
+    return F.regexp_replace(x, F.lit(f"{opening}^((?s:.)*?)(?:{pattern})"), put)
 
 
 def capitalised(x: Column) -> Column:

@@ -172,3 +172,21 @@ def test_spearman_p():
     assert spearman_p(0.0476, 8) == pytest.approx(0.9108, abs=2e-4)
     assert spearman_p(0.9286, 8) == pytest.approx(0.0009, abs=2e-4)
     assert spearman_p(None, 8) is None and spearman_p(1.0, 8) == 0.0
+
+
+def test_probes_in_steps_are_those_of_the_expression(spark):
+    texts = [
+        "When it fails, the user shall call  all desks.", " If access is denied\u00a0the system must be off ", "Units can FAILS every\ttime", "The system may\nstop",
+        "While on, The user should keep a long log of every error, then stop.", "The unit shall keep a log of all that it did.\n", "", "ſhall K é \\d $1 shall.", None,
+    ]
+    rows = [(i, t, m) for i, t in enumerate(texts) for m in ("shall", "must", "may", "none", None)]
+    df = spark.createDataFrame(rows, "id int, x string, m string")
+    want = df.select("id", "x", "m", P.neighbourhood(F.col("x"), F.col("m"), F.col("id")).alias("probes")).collect()
+    assert sorted(map(repr, P.with_neighbourhood(df, "x", "m", "id").select("id", "x", "m", "probes").collect())) == sorted(map(repr, want))
+    assert {p["probe_id"] for r in want for p in r["probes"]} == {"INV_1", "INV_2", "DIR_1", "SHC_1"}
+
+
+def test_tokens_and_plain_texts(spark):
+    texts = ["a b", "a  b", " a", "a ", "", "a", "a\u00a0b c", "a\nb"]
+    assert values(spark, texts, X.has_tokens(F.col("x"), 2)) == [True, True, False, False, False, False, True, True]
+    assert values(spark, texts, X.is_plain(F.col("x"))) == [True, False, False, False, False, True, False, False]

@@ -1,6 +1,7 @@
 """Every query runs; those with SQL give the rows that DuckDB gives."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -50,3 +51,19 @@ def test_probes_are_made_once(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
     assert sum(plan.toString().lower().count(f) for f in ("regexp_replace(", "rlike", "regexp_extract(")) < 400
     assert "RepartitionByExpression" in plan.toString()
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_probes_are_made_in_compiled_steps(spark, sf_dir, name):
+    """No projection has most of the regular expressions, none is in a lambda, and none but the scan's is compiled with others into one method."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().lower().splitlines()
+    counts = [sum(line.count(f) for f in ("regexp_replace(", "rlike", "regexp_extract(")) for line in plan]
+    steps = [line for line, n in zip(plan, counts) if n]
+    assert len(steps) > 4 and max(counts) < 60
+    assert not any(re.search(r"lambdafunction\([^,]*(regexp_|rlike)", line) for line in steps)
+    assert all("lambdafunction(" in line for line in steps)
+
+
+def test_probes_are_joined_while_rows_are_narrow(spark, sf_dir):
+    plan = catalog.QUERIES["probes_injected"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_" not in plan[plan.index("Join LeftOuter") :].lower()
