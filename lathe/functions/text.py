@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Generator
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +54,39 @@ def in_column(steps: Steps) -> Column:
     return following(None)
 
 
-def in_frame(df: DataFrame, steps: Steps, out: str, text_col: str) -> DataFrame:
-    """``df`` with ``out``, which steps make that read ``text_col``: each step is a projection of its own.
+#: Columns of steps by name, in their order, and the result: (gateway of the JVM that has them, steps, result).
+_BUILT: dict[tuple, tuple[object, list[dict[str, Column]], Column]] = {}
+
+
+def _built(steps: Callable[[], Steps], key: tuple) -> tuple[object, list[dict[str, Column]], Column]:
+    """The columns of steps. They belong to no frame or session, and thousands of calls to the JVM make them: they are made once in a process."""
+    gateway = SparkContext._gateway
+    if key not in _BUILT or _BUILT[key][0] is not gateway:
+        running, held, found, n = steps(), None, [], 0
+        while True:
+            try:
+                values = running.send(held)
+            except StopIteration as end:
+                _BUILT[key] = (gateway, found, end.value)
+                break
+            found.append({f"_step_{n + i}": v for i, v in enumerate(values)})
+            held, n = [F.col(c) for c in found[-1]], n + len(values)
+    return _BUILT[key]
+
+
+def in_frame(df: DataFrame, steps: Callable[[], Steps], out: str, text_col: str, key: tuple) -> DataFrame:
+    """``df`` with ``out``, which steps make that read ``text_col``: each step is a projection of its own. ``key`` tells steps apart.
 
     Spark would compile all of them into one method, too long for the JVM to make machine code of. An expression that Spark
     only interprets, of the text alone, has each projection compiled by itself, into short methods. ``out`` comes out of a
     generator, so that a filter of it isn't pushed below, with all steps copied into it.
     """
-    kept, held, n = [F.col(c) for c in df.columns if c != out], None, 0
-    while True:
-        try:
-            values = steps.send(held)
-        except StopIteration as end:
-            return df.select(*kept, F.explode(F.array(end.value)).alias(out))
-        new = {f"_step_{n + i}": v for i, v in enumerate(values)}
-        df, held, n = df.withColumns(new | {text_col: once(F.col(text_col), lambda x: x)}), [F.col(c) for c in new], n + len(values)
+    kept = [F.col(c) for c in df.columns if c != out]
+    _, found, made = _built(steps, (*key, steps.__code__))
+    text = once(F.col(text_col), lambda x: x)
+    for new in found:
+        df = df.withColumns(new | {text_col: text})
+    return df.withColumns({out: made, text_col: text}).select(*kept, F.explode(F.array(out)).alias(out))
 
 
 def strip(x: Column) -> Column:
@@ -95,7 +114,7 @@ def normal_form(x: Column) -> Column:
 
 def is_plain(x: Column) -> Column:
     """Visible ASCII characters with single blanks between them: neither ``strip`` nor ``collapse`` changes such a text."""
-    return x.rlike(r"\A(?:[!-~]++ )*+[!-~]++\z")
+    return x.rlike(r"\A[!-~]++(?: [!-~]++)*+\z")
 
 
 def has_tokens(x: Column, least: int) -> Column:

@@ -67,3 +67,13 @@ def test_probes_are_made_in_compiled_steps(spark, sf_dir, name):
 def test_probes_are_joined_while_rows_are_narrow(spark, sf_dir):
     plan = catalog.QUERIES["probes_injected"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_" not in plan[plan.index("Join LeftOuter") :].lower()
+
+
+@pytest.mark.parametrize("name", ["probe_neighbourhoods", "probe_stats", "probes_injected"])
+def test_probes_take_little_to_plan_and_put_together(spark, sf_dir, name, monkeypatch):
+    """Patterns take a row's words, one for a list; probes are put together by compiled code; a second query makes no step's columns again."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().lower()
+    assert sum(plan.count(f) for f in ("regexp_replace(", "rlike", "regexp_extract(")) < 80
+    assert not any("lambdafunction(" in line for line in plan.splitlines() if "probe_id" in line or "- generate " in line)
+    monkeypatch.setattr("lathe.functions.probes._neighbourhood", lambda *_: pytest.fail("made again"))
+    catalog.QUERIES[name](spark, sf_dir)
