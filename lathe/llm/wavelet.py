@@ -28,9 +28,11 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,10 @@ BLOCK = 512
 #: A shard is closed at this many ids.
 SHARD_IDS = 2_000_000
 END_ID = 0
+#: Chunks between spaces kept with their ids in each worker; beyond that the later half, mostly rare ones, is forgotten.
+CHUNKS = 1_200_000
+#: Texts are encoded in batches of at most so many rows, of some so many bytes.
+ROWS, TEXT_BYTES = 1_600, 8_000_000
 #: Up to so many shards their starts are broadcast (8 MB); more are joined by shuffle.
 BROADCAST_SHARDS = 500_000
 _NO_ID = -(2**63)
@@ -235,9 +241,14 @@ class Shard:
 
 class Encoder:
     """The tokenizers library for words it hasn't seen, and its tokens for those it has: what it gives for a text is what
-    it gives for the text's words, one after the other, as its pattern parts them."""
+    it gives for the text's words, one after the other, as its pattern parts them.
 
-    def __init__(self, path: str):
+    Texts are cut at their spaces (see ``bpe.Remembered``) and the chunks told apart by compiled code, a batch at once. Only
+    new chunks are cut into words, and only new words meet the library's model. Ids of known ones stand one after the other in
+    ``flat``, those of code k from ``at[k]`` on: ``codes`` has chunks with a space before them, ``bare`` words without.
+    """
+
+    def __init__(self, path: str, most: int = CHUNKS):
         from tokenizers import Tokenizer
 
         from lathe.llm import bpe
@@ -246,9 +257,17 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = np.uint16 if self.library.get_vocab_size(True) <= 1 << 16 else np.uint32
-        self.added = {t: k.to_bytes(4, "little") for t, k in bpe.vocabulary(path).added.items()}
+        own = bpe.vocabulary(path)
+        self.added = {t: k.to_bytes(4, "little") for t, k in own.added.items()}
         self.chars = str.maketrans(dict(enumerate(bpe.byte_characters())))
-        self.remembered = bpe.Remembered(bpe.vocabulary(path), self.learn, at_once=32, most=1_200_000)
+        self.shown = np.array([ord(c) for c in bpe.byte_characters()], dtype="<u2")
+        self.remembered = bpe.Remembered(own, self.learn)
+        # a byte that no text has, and that merges with nothing, keeps words apart
+        self.apart, model = own.first[255], self.library.model
+        if model.dropout or model.ignore_merges or any(self.apart in divmod(pair, own.merges.n) for pair in own.merges.rank):
+            raise ValueError("words of this vocabulary cannot be encoded side by side")
+        self.most, self.n, self.codes, self.bare = most, 0, {}, {}
+        self.flat, self.at, self.open = np.zeros(1 << 20, dtype=self.kind), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=bool)
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Words by the library's model, which takes bytes as the characters that stand for them."""
@@ -256,11 +275,118 @@ class Encoder:
         tokenize = model.tokenize
         return [added.get(w) or array("I", [t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(chars))]).tobytes() for w in words]
 
-    def many(self, texts: list[str], end_id: int) -> tuple[np.ndarray, list[int]]:
-        """All ids of the texts, each followed by ``end_id``, and how many each text has."""
-        end = end_id.to_bytes(4, "little")
-        rows = [r + end for r in self.remembered.rows(texts)]
-        return np.frombuffer(b"".join(rows), dtype="<u4"), [len(r) // 4 for r in rows]
+    def learn_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many words of texts, some of them at a time: all ids, and how many each word has."""
+        tokenize, sep = self.library.model.tokenize, chr(self.shown[255])
+        data = b"\xff".join([w.encode("utf-8", "surrogatepass") for w in words])
+        shown = self.shown[np.frombuffer(data, dtype=np.uint8)].tobytes().decode("utf-16-le").split(sep)
+        found = array("I")
+        for k in range(0, len(shown), 32):
+            found.extend([t.id for t in tokenize(sep.join(shown[k : k + 32]) + sep)])
+        ids = np.frombuffer(found, dtype=np.uint32)
+        ends = np.flatnonzero(ids == self.apart)
+        return ids[ids != self.apart], np.diff(ends, prepend=-1) - 1
+
+    def _room(self, name: str, n: int) -> np.ndarray:
+        held = getattr(self, name)
+        if n > len(held):
+            held = np.concatenate([held, np.zeros(max(n, len(held) * 3 // 2) - len(held), dtype=held.dtype)])
+            setattr(self, name, held)
+        return held
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray, opened: list[bool]) -> range:
+        """Codes for new words or chunks."""
+        codes, start = range(self.n, self.n + len(counts)), int(self.at[self.n])
+        self._room("flat", start + len(ids))[start : start + len(ids)] = ids
+        self._room("at", codes.stop + 1)[codes.start + 1 : codes.stop + 1] = start + np.cumsum(counts)
+        self._room("open", codes.stop)[codes.start : codes.stop] = opened
+        self.n = codes.stop
+        return codes
+
+    def _take(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Stretches of ``flat``, one after the other."""
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(start - ends + n, n) + np.arange(ends[-1])]
+
+    def _know(self, chunks: list[str]) -> np.ndarray:
+        """Codes for new chunks."""
+        plain, codes, bare = self.remembered.plain, self.codes, self.bare
+        # the pattern parts chunks at the spaces between them, but for those that end in white space
+        opened = np.array([not x or x[-1].isspace() for x in chunks])
+        order = np.argsort(opened, kind="stable")
+        chunks, alone = [chunks[k] for k in order.tolist()], len(chunks) - int(opened.sum())
+        words = plain(" " + " ".join(chunks[:alone])) if alone else []
+        for x in chunks[alone:]:
+            words += plain(" " + x)
+        starts = np.flatnonzero(np.fromiter([w[0] == " " for w in words], bool, len(words)))
+        size = np.diff(starts, append=len(words))
+        # a chunk of one word is as new as the word
+        found = [-1 if one else codes.get(w[1:], -1) if w[0] == " " else bare.get(w, -1) for w, one in zip(words, np.repeat(size == 1, size).tolist(), strict=True)]
+        missing = [w for w, c in zip(words, found, strict=True) if c < 0]
+        new = sorted(dict.fromkeys(missing), key=lambda w: w[0] == " ", reverse=True)
+        word = np.array(found)
+        if new:
+            made = dict(zip(new, self._add(*self.learn_many(new), [w[-1].isspace() for w in new]), strict=True))
+            word[word < 0] = list(map(made.__getitem__, missing))
+            n_spaced = sum(w[0] == " " for w in new)
+            codes.update(zip([w[1:] for w in islice(made, n_spaced)], made.values(), strict=False))
+            bare.update(islice(made.items(), n_spaced, None))
+            del made
+        code = word[starts]
+        if len(several := np.flatnonzero(size > 1)):
+            word = word[np.repeat(size > 1, size)]
+            start, n = self.at[word], self.at[word + 1] - self.at[word]
+            of_chunk = np.add.reduceat(n, np.cumsum(size[several]) - size[several])
+            made = self._add(self._take(start, n), of_chunk, opened[order][several])
+            codes.update(zip([chunks[k] for k in several.tolist()], made, strict=True))
+            code[several] = made
+        out = np.empty_like(code)
+        out[order] = code
+        return out
+
+    def many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (none of them null), each followed by ``end_id``, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+        if self.n > self.most:
+            self.n = n = self.most // 2
+            self.codes, self.bare = ({x: c for x, c in known.items() if c < n} for known in (self.codes, self.bare))
+        parts = pc.split_pattern(texts, " ")
+        edges = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        which, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        first, last = edges[:-1], edges[1:] - 1
+        # first chunks have no space before them: they are words of their own
+        heads = names[which[first]].tolist()
+        spaced = np.ones(len(which), dtype=bool)
+        spaced[first] = False
+        needed = np.zeros(len(names), dtype=bool)
+        needed[which[spaced]] = True
+        code = np.fromiter(map(self.codes.get, names, repeat(-1)), np.int64, len(names))
+        if len(new := np.flatnonzero(needed & (code < 0))):
+            code[new] = self._know(names[new].tolist())
+        # chunks that are first ones only may have no code: theirs isn't read below
+        code[code < 0] = 0
+        start, n, opened = self.at[code][which], (self.at[code + 1] - self.at[code])[which], self.open[code][which]
+        # where white space comes before a space, or with added tokens, the whole text is cut by the pattern
+        opened[first] = opened[last] = False
+        odd = set((np.searchsorted(edges, np.flatnonzero(opened), "right") - 1).tolist())
+        odd.update(k for k, x in enumerate(heads) if x[-1:].isspace() and last[k] > first[k])
+        for token in self.added:
+            odd.update(np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist())
+        for k in odd:
+            n[edges[k] : edges[k + 1]] = 0
+        cut = [self.remembered.pieces(texts[k].as_py()) if k in odd else self.remembered.plain(x) for k, x in enumerate(heads)]
+        self.remembered.know({w for ws in cut for w in ws})
+        word, used = self.remembered.words.__getitem__, int(self.at[self.n])
+        rows = [b"".join(map(word, ws)) for ws in cut]
+        ids = np.frombuffer(b"".join(rows), dtype="<u4")
+        # they stand beyond what is known, until the next batch
+        self._room("flat", used + len(ids))[used : used + len(ids)] = ids
+        n[first] = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        start[first] = used + np.cumsum(n[first]) - n[first]
+        counts = np.add.reduceat(n, first)
+        return np.insert(self._take(start, n), np.cumsum(counts), end_id), counts + 1
 
 
 @lru_cache(maxsize=2)
@@ -275,6 +401,15 @@ def opened(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def by_size(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of some ``TEXT_BYTES`` of text; a longer text ends its piece or begins one."""
+    sizes = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(), dtype=np.int64)
+    edges = np.flatnonzero(np.diff(sizes // TEXT_BYTES, prepend=0)).tolist()
+    for a, z in zip([0, *edges], [*edges, len(sizes)], strict=True):
+        if a < z:
+            yield batch.slice(a, z - a)
+
+
 def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID, shard_ids: int = SHARD_IDS, folder: str | None = None) -> DataFrame:
     """A stored table (place, first_id, last_id, n_docs, n_ids, path): the shards written, in ascending order of ``place``."""
     from lathe.llm import bpe
@@ -301,12 +436,11 @@ def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text
             row = [[place], [doc_ids[0]], [doc_ids[-1]], [len(doc_ids)], [int(starts[-1])], [f"{folder}/{name}"]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 5, pa.string()], strict=True)], names=names)
 
-        for b in batches:
-            read, own_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            tokens, n = own.many(read, end_id)
-            tokens = tokens.astype(own.kind)
+        for b in (piece for rows in batches for piece in by_size(rows, "text")):
+            own_ids = b.column("doc_id").to_pylist()
+            tokens, n = own.many(b.column("text"), end_id)
             at = 0
-            for doc_id, k in zip(own_ids, n, strict=True):
+            for doc_id, k in zip(own_ids, n.tolist(), strict=True):
                 ids.append(tokens[at : at + k])
                 doc_ids.append(doc_id)
                 counts.append(k)
@@ -317,7 +451,7 @@ def write_shards(docs: DataFrame, path: str | None = None, text_col: str = "text
         if doc_ids:
             yield close()
 
-    return common.stored(common.in_batches(ordered, run, "place long, first_id long, last_id long, n_docs long, n_ids long, path string"), "shards")
+    return common.stored(common.in_batches(ordered, run, "place long, first_id long, last_id long, n_docs long, n_ids long, path string", rows=ROWS), "shards")
 
 
 def read_shard(path: str) -> Shard:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,6 +103,33 @@ def test_wavelet_matrix(n):
     assert [m.find(7, k) for k in range(0, len(where), 11)] == where[::11].tolist() and m.find(7, len(where)) == -1 == m.find(60000, 0) and m.count(60000) == 0
 
 
+def test_shards_look_up_distinct_chunks(library):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    own = wavelet.Encoder(bpe.default_vocabulary())
+    own.codes = Counting()
+    texts = ["one two, three.\nFour " * 5_000] * 3
+    ids, n = own.many(pa.array(texts), 0)
+    want = [*library.encode(texts[0], add_special_tokens=False).ids, 0]
+    assert ids.tolist() == want * 3 and n.tolist() == [len(want)] * 3
+    # 45,003 chunks, five of them distinct; parts of the chunk of several words are looked up too
+    assert own.codes.asked <= 10
+    for most in (5, 100_000):
+        own, texts = wavelet.Encoder(bpe.default_vocabulary(), most=most), mixed_texts(300, seed=most)
+        for lo in range(0, 300, 40):
+            ids, n = own.many(pa.array(texts[lo : lo + 40]), 0)
+            want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts[lo : lo + 40]]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [k for w in want for k in w]
+    rows = pa.RecordBatch.from_pydict({"text": ["", "a" * 9_000_000, "b", "", "c" * 7_000_000]})
+    assert [k for b in wavelet.by_size(rows, "text") for k in b.column(0).to_pylist()] == rows.column(0).to_pylist()
+    assert not list(wavelet.by_size(rows.slice(0, 0), "text"))
+
+
 def test_shards(spark, odd, empty, library, tmp_path, monkeypatch):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     shards = wavelet.write_shards(odd, shard_ids=2_000)
